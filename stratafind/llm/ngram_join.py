@@ -27,11 +27,10 @@ from pyspark.sql.types import StructType
 
 from .common import BROADCAST_ROWS, Workspace, chunks
 from .components import connected_components
-from .shingles import bitmap, shingle_sets
+from .shingles import bitmap, distance, folded, shingle_sets
 
 #: Buckets of the token order: a table of counts of 2 MB, whatever the corpus.
 ORDER_BITS, CHUNK = 18, 4096
-BITS = 512
 
 
 def _texts(batch) -> list:
@@ -98,9 +97,9 @@ def _signatures(k: int, num: int, den: int, order):
                     else:
                         s2, c2 = s, c
                     prefixes.append(s2[np.argsort(c2, kind="stable")][:p].view(np.int64))
-                    maps.append(bitmap(s, BITS))
+                    maps.append(bitmap(s))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[a:b], batch.column("row_hash")[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))],
+                    [batch.column("doc_id")[a:b], batch.column("row_hash")[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
                     names=["doc_id", "row_hash", "n", "cid", "prefix", "bits"],
                 )
 
@@ -141,7 +140,7 @@ def _list_runs(batches, columns):
     """Whole index lists (runs of one token) as dicts of arrays, from sorted batches."""
     held = None
     for batch in batches:
-        got = {c: (batch.column(c).to_numpy(zero_copy_only=False) if c != "bits" else batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)) for c in columns}
+        got = {c: (batch.column(c).to_numpy(zero_copy_only=False) if c != "bits" else np.array([*batch.column(c).to_pylist(), None], dtype=object)[:-1]) for c in columns}
         if held is not None:
             got = {c: np.concatenate([held[c], got[c]]) for c in columns}
         token = got["token"]
@@ -156,8 +155,30 @@ def _list_runs(batches, columns):
         yield held
 
 
-def _hamming(x, y):
-    return np.bitwise_count(x ^ y).sum(axis=-1)
+def _apart(bits, i: int, j: np.ndarray) -> np.ndarray:
+    """Hamming distances of entry i to entries j, each at the narrower width of the two."""
+    out = np.empty(len(j), dtype=np.int64)
+    sizes = np.array([min(len(bits[x]), len(bits[i])) for x in j])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        others = np.stack([folded(bits[x], size) for x in j[at]])
+        out[at] = np.bitwise_count(others ^ folded(bits[i], size)).sum(axis=1)
+    return out
+
+
+def _near_enough(num: int, den: int):
+    """Pairs that size and parity bitmaps do not rule out."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            need = _required(na, nb, num, den)
+            x, y = batch.column("xa").to_pylist(), batch.column("xb").to_pylist()
+            fits = np.minimum(na, nb) >= need
+            good = [i for i in np.flatnonzero(fits) if na[i] + nb[i] - distance(x[i], y[i]) >= 2 * need[i]]
+            yield batch.select(["a", "b", "na", "nb"]).take(pa.array(good, pa.int64()))
+
+    return run
 
 
 def _residual(num: int, den: int):
@@ -184,7 +205,7 @@ def _residual(num: int, den: int):
                 j = j[most >= need]
                 if len(j):
                     need = _required(n[i], n[j], num, den)
-                    j = j[n[i] + n[j] - _hamming(bits[i], bits[j]) >= 2 * need]
+                    j = j[n[i] + n[j] - _apart(bits, i, j) >= 2 * need]
                 if len(j):
                     left.append(np.full(len(j), node[i]))
                     right.append(node[j])
@@ -211,7 +232,7 @@ class NgramJoin:
         self.docs = docs.select("doc_id", "text", (row_hash if row_hash is not None else F.lit(0).cast("long")).alias("row_hash"))
         order = spark.sparkContext.broadcast(bucket_counts(docs, k))
         own = self.docs.select("doc_id", "row_hash").schema.fields
-        schema = StructType([*own, *StructType.fromDDL("n long, cid binary, prefix array<long>, bits array<long>").fields])
+        schema = StructType([*own, *StructType.fromDDL("n long, cid binary, prefix array<long>, bits binary").fields])
         signed = work.keep(self.docs.mapInArrow(_signatures(k, num, den, order), schema), "signed")
         self.rows = signed.select("doc_id", "row_hash", "n", "cid")
         first = signed.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
@@ -223,9 +244,14 @@ class NgramJoin:
         lists = self.classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
         in_list = W.partitionBy("token").orderBy("block", "n", "pos", "node")
         block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
-        lists = lists.withColumn("block", block).withColumn("prev", F.lag(F.struct("node", "n", "pos")).over(in_list)).withColumn("more", F.lead("node").over(in_list))
+        lists = lists.withColumn("block", block).withColumn("prev", F.lag(F.struct("node", "n", "pos")).over(in_list)).withColumn("after", F.lead("n").over(in_list))
+        third = F.coalesce(F.lag("n", 2).over(in_list), F.lead("n", 2).over(in_list), F.when(F.col("prev").isNotNull(), F.col("after")))
+        lists = lists.withColumn("third", third.isNotNull())
         head = F.first(F.struct("node", "n", "pos")).over(W.partitionBy("token", "block").orderBy("n", "pos", "node"))
-        lists = lists.filter("prev is not null or more is not null").withColumn("head", head).drop("more")
+        # Sizes ascend in a list: an entry has a partner by size only if its neighbour is one.
+        before = F.coalesce(den * F.col("prev.n") >= num * F.col("n"), F.lit(False))
+        behind = F.coalesce(den * F.col("n") >= num * F.col("after"), F.lit(False))
+        lists = lists.filter(before | behind).withColumn("head", head).drop("after")
         lists = work.keep(lists, "lists")
         # Linear candidates: the head of the size block, and the neighbour in the list.
         tries = lists.select("node", "n", "pos", F.explode(F.array("head", "prev")).alias("o")).filter("o is not null and o.node <> node")
@@ -249,15 +275,10 @@ class NgramJoin:
 
     def _bounded(self, pairs: DataFrame) -> DataFrame:
         """Adds sizes and keeps pairs that the parity bitmaps do not rule out."""
-        words = [F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(BITS // 64)]
-        side = self.classes.select("node", "n", *words)
         for x in "ab":
-            own = side.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"w{i}").alias(f"{x}{i}") for i in range(BITS // 64)])
-            pairs = pairs.join(own, x)
-        apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITS // 64)), F.lit(0))
-        both = F.col("na") + F.col("nb")
-        need = F.ceil(both * self.num / (self.num + self.den))
-        return pairs.filter((both - apart >= 2 * need) & (F.least("na", "nb") >= need)).select("a", "b", "na", "nb")
+            pairs = pairs.join(self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"x{x}")), x)
+        pairs = pairs.select("a", "b", "na", "nb", "xa", "xb")
+        return pairs.mapInArrow(_near_enough(self.num, self.den), "a long, b long, na long, nb long")
 
     def _verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """Exact overlaps of pairs (a, b, na, nb), from the whole texts of their nodes."""
@@ -278,7 +299,8 @@ class NgramJoin:
         """Pairs across components that no bound or derived answer settles, with sizes."""
         got = tried.select(F.col("a").alias("x"), F.col("b").alias("y"), "common")
         got = got.union(got.select("y", "x", "common")).withColumnRenamed("common", "shared")
-        entries = lists.select("token", "node", "n", "pos", F.col("head.node").alias("head"))
+        # In a list of two the one pair was tried.
+        entries = lists.filter("third").select("token", "node", "n", "pos", F.col("head.node").alias("head"))
         entries = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # Lists whose entries are all of one component are answered already.
         split = entries.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")

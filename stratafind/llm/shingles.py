@@ -66,10 +66,28 @@ def shingle_sets(texts: list, k: int) -> list[np.ndarray]:
     return out
 
 
-def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
-    """Parity bitmap: each token flips one of bits bits; as int64 words.
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parity bitmap: each token flips one bit. Its width follows the size of the set.
 
-    The Hamming distance of two bitmaps never exceeds the symmetric difference of the sets.
+    The Hamming distance of two bitmaps of one width never exceeds the symmetric difference of
+    the sets; a wide one is folded to a narrower width by XOR of its halves.
     """
-    at = np.bincount((tokens >> np.uint64(7)) % np.uint64(bits), minlength=bits).astype(np.uint8) & 1
-    return np.packbits(at, bitorder="little").view(np.int64)
+    bits = 512
+    while bits < min(len(tokens), 1 << 17):
+        bits *= 2
+    at = np.bincount(((tokens >> np.uint64(7)) % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(at, bitorder="little").tobytes()
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """A bitmap as 64-bit words, folded to size bytes."""
+    x = np.frombuffer(raw, dtype=np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """Hamming distance at the narrower width."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
