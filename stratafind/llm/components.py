@@ -2,27 +2,57 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Workspace
 
+#: Edges that one task may join (8 MB); beyond, all rounds are distributed.
+ONE_TASK_EDGES = 500_000
+
 
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _stars(batches):
+    """Union-find over the edges of one partition."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    for at in range(0, len(nodes), 100_000):
+        part = nodes[at : at + 100_000]
+        yield pa.RecordBatch.from_pydict({"node": pa.array(part, pa.int64()), "root": pa.array([find(x) for x in part], pa.int64())})
+
+
 def connected_components(work: Workspace, edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, root): root is the smallest node reachable; nodes without edges are absent.
 
     Alternates two contractions: every node hands its larger neighbours, then its smaller
     ones, to the smallest neighbour it knows, which keeps components whole and ends with stars
     after about log(n) rounds. Each round aggregates with map-side combining and is cut by a
-    table in the shared folder; only a count and a checksum reach the driver.
+    table in the shared folder; only a count and a checksum reach the driver. An edge table
+    whose counted size is within ONE_TASK_EDGES is joined by one task instead.
     """
     now = work.keep(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{label}-0"
     )
     seen, turn = _signature(now), 0
+    if seen[0] <= ONE_TASK_EDGES:
+        return now.coalesce(1).mapInArrow(_stars, "node long, root long")
     while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -178,7 +178,11 @@ def test_keep_one(spark, odd):
         assert len([r for r in kept if not words(r.text)]) == empty
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_components(spark, monkeypatch, bound):
+    from stratafind.llm import components
+
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", bound)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 103)]
     got = connected_components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.root for r in got} == {**{i: 0 for i in range(41)}, 100: 100, 105: 100, 103: 100}
