@@ -10,6 +10,8 @@ their length.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 
 import numpy as np
@@ -21,41 +23,68 @@ from .common import Workspace, chunks
 WINDOW, GRID, DEPTH, END_ID = 4096, 128, 4, 2
 #: Parts in which the pieces of one length are numbered.
 PARTS = 256
-#: Most words whose ids a Python worker keeps.
-KEPT_WORDS = 250_000
+#: Most words, and most parts of words, whose ids a Python worker keeps per generation.
+KEPT_WORDS = 200_000
+
+
+#: Words of these characters alone are cut by the rule below; all others go through encode().
+_PLAIN = re.compile(r"[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PART = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SYMBOLS = dict(zip((b for b in range(256) if b not in _PRINTS), map(chr, range(256, 512))))
+
+
+class _Kept(dict):
+    """A dictionary of two generations: what is asked for stays, the rest goes with its generation."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.old, self.make, self.most = {}, make, most
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class WordIds:
     """Little-endian uint32 ids of texts, word by word.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those
-    of its words in turn; the ids of frequent words are kept.
+    of its words in turn. Within a plain word (ASCII without apostrophes, Latin-1 letters) its
+    letters, digits and other runs are tokens' bounds too, so the merge model is asked for each
+    run alone; every other word goes through the whole tokenizer. Frequent words are kept.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.kept: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.parts = _Kept(self._part, KEPT_WORDS)
+        self.words = _Kept(self._word, KEPT_WORDS)
+
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(_SYMBOLS)
+        return np.array([t.id for t in self.model.tokenize(part)], dtype="<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.parts.__getitem__, _PART.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def texts(self, texts: list) -> list[bytes]:
-        split = [text.encode("utf-8", "replace").split() if text else [] for text in texts]
-        kept = self.kept
-        missing = list({w for words in split for w in words if w not in kept})
-        if len(kept) + len(missing) > KEPT_WORDS:
-            fresh = dict(kept) if len(kept) <= KEPT_WORDS // 2 else {}
-            if not fresh:
-                self.kept = kept = {}
-                missing = list({w for words in split for w in words})
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for word, got in zip(part, self.encode([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                kept[word] = np.array(got.ids, dtype="<u4").tobytes()
-        return [b"".join(map(kept.__getitem__, words)) for words in split]
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, text.encode("utf-8", "replace").split())) if text else b"" for text in texts]
 
 
 _by_path: dict[str, WordIds] = {}
