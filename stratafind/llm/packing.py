@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -53,6 +54,10 @@ class _Kept(dict):
         return value
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """Little-endian uint32 ids of texts, word by word.
 
@@ -74,13 +79,13 @@ class WordIds:
     def _part(self, part: str) -> bytes:
         if not part.isascii():
             part = part.encode().decode("latin-1").translate(_SYMBOLS)
-        return np.array([t.id for t in self.model.tokenize(part)], dtype="<u4").tobytes()
+        return _packed([t.id for t in self.model.tokenize(part)])
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
         if _PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join(map(self.parts.__getitem__, _PART.findall(text.lower())))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def texts(self, texts: list) -> list[bytes]:
         ids = self.words.__getitem__
