@@ -41,6 +41,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        bounded_batches(spark)
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -79,13 +80,29 @@ def join_dimension(rows: DataFrame, dim: DataFrame, key: str, how: str = "left",
     return left.join(right, on, how).drop("_dim_key", "_dim_salt", "_salt")
 
 
-def chunks(texts: list, limit: int = 4 << 20):
-    """Yields (first, last) index ranges of about limit bytes; a longer text stands alone."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text) if text else 0
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole texts travel in batches: fewer rows of them at once bound both sides' memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def chunks(column, limit: int = 2 << 20):
+    """Yields (first, last, texts) of a batch's text column, about limit bytes at a time.
+
+    A longer text stands alone. After the last chunk, freed memory goes back to the system, as
+    Python workers outlive their tasks.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = len(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < n:
+        before = int(ends[start - 1]) if start else 0
+        end = min(n, max(start, int(np.searchsorted(ends, before + limit, side="left"))) + 1)
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end
+    pa.default_memory_pool().release_unused()

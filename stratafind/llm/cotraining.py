@@ -108,10 +108,9 @@ def _columns(docs: DataFrame) -> list:
 def _sample(rows: DataFrame, names: list) -> "object":
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             meta = [batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
-            for a, b in chunks(texts):
-                x, m = content_features(texts[a:b]), metadata_features(*[c[a:b] for c in meta])
+            for a, b, texts in chunks(batch.column("text")):
+                x, m = content_features(texts), metadata_features(*[c[a:b] for c in meta])
                 yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(m.tolist(), pa.list_(pa.float64())), *[batch.column(c)[a:b] for c in names]], names=["x", "m", *names])
 
     schema = "x array<double>, m array<double>" + "".join(f", {c} int" for c in names)
@@ -156,13 +155,12 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, **how) -> D
     def run(batches):
         fitted = model.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
             meta = [batch.column(f"_m_{i}").to_pylist() for i in range(3)]
-            for a, b in chunks(texts):
+            for a, b, texts in chunks(batch.column(at)):
                 if fitted is None:
                     got = [np.full(b - a, 0.5)] * 3
                 else:
-                    got = fitted.scores(content_features(texts[a:b]), metadata_features(*[c[a:b] for c in meta]))
+                    got = fitted.scores(content_features(texts), metadata_features(*[c[a:b] for c in meta]))
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(names))], *[pa.array(g, pa.float64()) for g in got]], names=[*names, *added])
 
     return wide.mapInArrow(run, StructType([*base.schema.fields, *[StructField(c, DoubleType()) for c in added]]))

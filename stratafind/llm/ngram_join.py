@@ -33,17 +33,12 @@ from .shingles import bitmap, distance, folded, shingle_sets
 ORDER_BITS, CHUNK = 18, 4096
 
 
-def _texts(batch) -> list:
-    return batch.column("text").to_pylist()
-
-
 def _count_buckets(k: int):
     def run(batches):
         counts = np.zeros(1 << ORDER_BITS, dtype=np.int64)
         for batch in batches:
-            texts = _texts(batch)
-            for a, b in chunks(texts):
-                sets = shingle_sets(texts[a:b], k)
+            for a, b, texts in chunks(batch.column("text")):
+                sets = shingle_sets(texts, k)
                 if sets:
                     counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(counts))
         if counts.any():
@@ -78,9 +73,8 @@ def _signatures(k: int, num: int, den: int, order):
     def run(batches):
         counts = order.value
         for batch in batches:
-            texts = _texts(batch)
-            for a, b in chunks(texts):
-                sets = shingle_sets(texts[a:b], k)
+            for a, b, texts in chunks(batch.column("text")):
+                sets = shingle_sets(texts, k)
                 ids, prefixes, maps = [], [], []
                 for s in sets:
                     n = len(s)
@@ -109,9 +103,8 @@ def _signatures(k: int, num: int, den: int, order):
 def _full_sets(k: int):
     def run(batches):
         for batch in batches:
-            texts = _texts(batch)
-            for a, b in chunks(texts):
-                sets = shingle_sets(texts[a:b], k)
+            for a, b, texts in chunks(batch.column("text")):
+                sets = shingle_sets(texts, k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                     names=["cid", "tokens"],
@@ -121,14 +114,15 @@ def _full_sets(k: int):
 
 
 def _overlaps(batches):
-    for batch in batches:
-        a, b = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-        common = []
-        for x, y in zip(a, b):
-            both = np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)])
-            both.sort(kind="stable")
-            common.append(int((both[1:] == both[:-1]).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            common = []
+            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
+                both = np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)])
+                both.sort(kind="stable")
+                common.append(int((both[1:] == both[:-1]).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "na", "nb")] + [pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
 
 
 def _required(na, nb, num, den):

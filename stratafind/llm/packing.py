@@ -110,10 +110,10 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, grid:
             _by_path[tokenizer_path] = WordIds(tokenizer_path)
         words = _by_path[tokenizer_path]
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            for a, b in chunks(texts):
+            ids = batch.column("doc_id")
+            for a, b, texts in chunks(batch.column("text")):
                 at, start, length, crc, total = [], [], [], [], []
-                for i, raw in enumerate(words.texts(texts[a:b]), a):
+                for i, raw in enumerate(words.texts(texts), a):
                     raw, place = raw + end, 0
                     for n in cut_lengths(len(raw) // 4, window, grid):
                         at.append(i), start.append(place), length.append(n), total.append(len(raw) // 4)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .common import bounded_batches, chunks
+
 KINDS = ("email", "card", "iban", "phone", "ip", "ssn", "date")
 ROUNDS = 8
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
@@ -168,6 +170,7 @@ def pseudonymise(docs: DataFrame, key: bytes = b"public test key") -> DataFrame:
     repeated rows, null ids and an empty table need nothing special. Other columns pass
     through; columns named n_<kind> are replaced. No shuffle; memory is one batch.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.drop(*[f"n_{k}" for k in KINDS])
     schema = StructType([*base.schema.fields, *[StructField(f"n_{k}", LongType()) for k in KINDS]])
     names = base.columns
@@ -176,13 +179,14 @@ def pseudonymise(docs: DataFrame, key: bytes = b"public test key") -> DataFrame:
     def run(batches):
         own = Pseudonyms(key)
         for batch in batches:
-            out, counts = [], {k: [] for k in KINDS}
-            for text in batch.column(at).to_pylist():
-                got: dict[str, int] = {}
-                out.append(own.text(text, got) if text else text)
-                for k in KINDS:
-                    counts[k].append(got.get(k, 0))
-            arrays = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(counts[k], pa.int64()) for k in KINDS]], names=[*names, *[f"n_{k}" for k in KINDS]])
+            for a, b, texts in chunks(batch.column(at)):
+                out, counts = [], {k: [] for k in KINDS}
+                for text in texts:
+                    got: dict[str, int] = {}
+                    out.append(own.text(text, got) if text else text)
+                    for k in KINDS:
+                        counts[k].append(got.get(k, 0))
+                arrays = [pa.array(out, pa.string()) if i == at else c.slice(a, b - a) for i, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(counts[k], pa.int64()) for k in KINDS]], names=[*names, *[f"n_{k}" for k in KINDS]])
 
     return base.mapInArrow(run, schema)

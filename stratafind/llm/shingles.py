@@ -11,7 +11,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _STEP = np.uint64(0x94D049BB133111EB)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Most words whose hash a Python worker keeps; others are hashed anew.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 
 
 class WordHashes(dict):

@@ -23,7 +23,7 @@ _HIDDEN = re.compile(r"[^\W\d_][\d@$!*._-]+[^\W\d_]")
 
 INSULT, LEARNED, HIDDEN, YOU, CAPITAL = 1, 2, 4, 8, 16
 #: Most labelled rows that are fitted, words that are learned, and words a worker keeps.
-MOST_LABELS, MOST_WORDS, KEPT_WORDS = 20_000, 500, 300_000
+MOST_LABELS, MOST_WORDS, KEPT_WORDS = 20_000, 500, 100_000
 NEAR = 5
 FEATURES = ("insults_per_100", "learned_per_100", "kinds", "hits", "hidden_per_100", "you_per_100", "near_you", "capitals", "exclaims_per_100", "punctuation", "digits", "log_words")
 
@@ -149,9 +149,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, held: int = 0,
     def measure(batches):
         codes = WordCodes(learned)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                x = features(texts[a:b], codes)
+            for a, b, texts in chunks(batch.column("text")):
+                x = features(texts, codes)
                 yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column("toxic")[a:b], batch.column("fold")[a:b]], names=["x", "toxic", "fold"])
 
     got = rows.select("text", "toxic", F.col("fold").cast("int").alias("fold")).mapInArrow(measure, "x array<double>, toxic int, fold int").orderBy("x", "toxic", "fold").toPandas()
@@ -175,9 +174,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches):
         model = sent.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in chunks(texts):
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], pa.array(model.score(texts[a:b]), pa.float64())], names=[*names, "toxicity"])
+            for a, b, texts in chunks(batch.column(at)):
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], pa.array(model.score(texts), pa.float64())], names=[*names, "toxicity"])
 
     return base.mapInArrow(run, StructType([*base.schema.fields, StructField("toxicity", DoubleType())]))
 
