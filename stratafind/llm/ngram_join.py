@@ -175,8 +175,11 @@ def _near_enough(num: int, den: int):
     return run
 
 
-def _residual(num: int, den: int):
-    """Pairs of one list that lie in different components and that no bound settles."""
+def _residual(num: int, den: int, one: bool):
+    """Pairs of one list that lie in different components and that no bound settles.
+
+    one: of each entry's partners only the smallest node of each other component.
+    """
 
     def run(batches):
         for got in _list_runs(batches, ("token", "node", "n", "pos", "root", "head", "shared", "bits")):
@@ -200,6 +203,9 @@ def _residual(num: int, den: int):
                 if len(j):
                     need = _required(n[i], n[j], num, den)
                     j = j[n[i] + n[j] - _apart(bits, i, j) >= 2 * need]
+                if one and len(j) > 1:
+                    j = j[np.argsort(node[j], kind="stable")]
+                    j = j[np.unique(root[j], return_index=True)[1]]
                 if len(j):
                     left.append(np.full(len(j), node[i]))
                     right.append(node[j])
@@ -256,13 +262,17 @@ class NgramJoin:
         tried = self._verify(pairs, "tried")
         self.links = self._true(tried)
         roots = work.keep(connected_components(work, self.links), "roots-1")
-        rest = work.keep(self._rest(lists, roots, tried), "rest")
-        if rest.isEmpty():
-            self.components = roots
-            return
-        more = self._verify(rest, "verified")
-        self.links = self.links.unionByName(self._true(more))
-        self.components = work.keep(connected_components(work, self.links, "cc2"), "roots-2")
+        # One candidate per entry and foreign component first, which joins groups of copies;
+        # then every pair that is still open.
+        for turn, one in enumerate((True, False)):
+            rest = work.keep(self._rest(lists, roots, tried, one), f"rest-{turn}")
+            if rest.isEmpty():
+                break
+            more = self._verify(rest, f"verified-{turn}")
+            tried = tried.unionByName(more)
+            self.links = self.links.unionByName(self._true(more))
+            roots = work.keep(connected_components(work, self.links, f"cc-{turn}"), f"roots-{turn + 2}")
+        self.components = roots
 
     def _true(self, pairs: DataFrame) -> DataFrame:
         return pairs.filter(self.den * F.col("common") >= self.num * (F.col("na") + F.col("nb") - F.col("common")))
@@ -289,7 +299,7 @@ class NgramJoin:
         work.drop(f"{name}-sets", f"{name}-nodes")
         return out
 
-    def _rest(self, lists: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
+    def _rest(self, lists: DataFrame, roots: DataFrame, tried: DataFrame, one: bool) -> DataFrame:
         """Pairs across components that no bound or derived answer settles, with sizes."""
         got = tried.select(F.col("a").alias("x"), F.col("b").alias("y"), "common")
         got = got.union(got.select("y", "x", "common")).withColumnRenamed("common", "shared")
@@ -303,7 +313,7 @@ class NgramJoin:
         shared = F.when(F.col("node") == F.col("head"), F.col("n")).otherwise(F.coalesce("shared", F.lit(-1)))
         entries = entries.withColumn("shared", shared.cast("long")).join(self.classes.select("node", "bits"), "node")
         entries = entries.select("token", "node", "n", F.col("pos").cast("long").alias("pos"), "root", "head", "shared", "bits")
-        pairs = entries.repartition("token").sortWithinPartitions("token", "n", "pos", "node").mapInArrow(_residual(self.num, self.den), "a long, b long").distinct()
+        pairs = entries.repartition("token").sortWithinPartitions("token", "n", "pos", "node").mapInArrow(_residual(self.num, self.den, one), "a long, b long").distinct()
         pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         size = self.classes.select("node", "n")
         return pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", "na", "nb")
