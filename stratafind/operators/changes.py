@@ -43,6 +43,20 @@ def record_ops(journal: DataFrame) -> DataFrame:
     return journal.select("*", F.posexplode(F.filter(ops, lambda x: x.isNotNull())).alias("sub", "op"))
 
 
+def record_events(journal: DataFrame, root_frn: int = ROOT_FRN) -> DataFrame:
+    """Ensure(parent) and Claim of every Upsert, Kill of every Delete, each on its record number."""
+    ops = record_ops(journal)
+    claim = ops.filter("op = 'Upsert'")
+    null = {c: F.lit(None).cast(t).alias(c) for c, t in (("parent", "bigint"), ("name", "string"), ("is_dir", "boolean"))}
+    events = (
+        claim.select("volume", "usn", F.lit(0).alias("step"), F.col("parent_frn").alias("frn"), F.lit("Ensure").alias("kind"), *null.values())
+        .unionByName(claim.select("volume", "usn", F.lit(1).alias("step"), "frn", F.lit("Claim").alias("kind"), F.col("parent_frn").alias("parent"), "name", (F.col("attributes").bitwiseAND(F.lit(DIRECTORY)) != 0).alias("is_dir")))
+        .unionByName(ops.filter("op = 'Delete'").select("volume", "usn", F.lit(1).alias("step"), "frn", F.lit("Kill").alias("kind"), *null.values()))
+        .dropDuplicates(["volume", "usn", "step", "frn", "kind"])
+    )
+    return events.filter(F.col("frn").isNotNull() & (F.col("frn") != root_frn)).withColumn("record_no", frn_parts(F.col("frn"))[0])
+
+
 def latest_state(journal: DataFrame, root_frn: int = ROOT_FRN) -> tuple[DataFrame, DataFrame]:
     """(final, counters) of a journal alone: who holds each record number at its end.
 
@@ -52,16 +66,7 @@ def latest_state(journal: DataFrame, root_frn: int = ROOT_FRN) -> tuple[DataFram
     the last claim since it last vanished (none: a placeholder directory). Repeats are harmless:
     the last event decides.
     """
-    ops = record_ops(journal)
-    claim = ops.filter("op = 'Upsert'")
-    events = (
-        claim.select("volume", "usn", F.lit(0).alias("step"), F.col("parent_frn").alias("frn"), F.lit("Ensure").alias("kind"), F.lit(None).cast("bigint").alias("parent"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("boolean").alias("is_dir"))
-        .unionByName(claim.select("volume", "usn", F.lit(1).alias("step"), "frn", F.lit("Claim").alias("kind"), F.col("parent_frn").alias("parent"), "name", (F.col("attributes").bitwiseAND(F.lit(DIRECTORY)) != 0).alias("is_dir")))
-        .unionByName(ops.filter("op = 'Delete'").select("volume", "usn", F.lit(1).alias("step"), "frn", F.lit("Kill").alias("kind"), F.lit(None).cast("bigint").alias("parent"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("boolean").alias("is_dir")))
-        .dropDuplicates(["volume", "usn", "step", "frn", "kind"])
-        .filter(F.col("frn").isNotNull() & (F.col("frn") != root_frn))
-        .withColumn("record_no", frn_parts(F.col("frn"))[0])
-    )
+    events = record_events(journal, root_frn)
     at = F.struct("usn", "step")
     # Per reference: all aggregates combine map-side, so a hot record costs one row per task.
     per_frn = events.groupBy("volume", "record_no", "frn").agg(
@@ -130,24 +135,26 @@ def apply_journal(entries: DataFrame, journal: DataFrame, root_frn: int = ROOT_F
     nothing more. entries come out without derived columns being recomputed for rows at rest.
     """
     final, _ = latest_state(journal, root_frn)
-    ops = record_ops(journal)
-    touched = final.select(F.col("volume").alias("v"), F.col("record_no").alias("r"), F.col("frn").alias("f"), F.struct("parent_frn", "name", "is_dir", "is_placeholder").alias("new"))
-    killed = ops.filter("op = 'Delete'").groupBy(F.col("volume").alias("kv"), F.col("frn").alias("kf")).agg(F.max("usn").alias("killed"))
+    events = record_events(journal, root_frn)
+    kills = events.filter("kind = 'Kill'").select(F.col("volume").alias("kv"), F.col("frn").alias("kf")).distinct()
+    seen = events.filter("kind <> 'Kill'").groupBy(F.col("volume").alias("sv"), F.col("record_no").alias("sr")).agg(F.min("frn").alias("low"), F.max("frn").alias("high"))
+    # Gone are references that were deleted and those whose record another one took, even for a while.
+    left = entries.join(kills, (F.col("volume") == F.col("kv")) & (F.col("frn") == F.col("kf")), "left_anti")
+    left = left.join(seen, (F.col("volume") == F.col("sv")) & (F.col("record_no") == F.col("sr")), "left")
+    left = left.filter(F.col("low").isNull() | ((F.col("low") == F.col("frn")) & (F.col("high") == F.col("frn"))))
+    touched = final.select(F.col("volume").alias("v"), F.col("frn").alias("f"), F.struct("parent_frn", "name", "is_dir", "is_placeholder").alias("new"))
     links = entries.groupBy(F.col("volume").alias("lv"), F.col("frn").alias("lf")).agg(F.count("*").alias("links"))
-    old = entries.join(touched, (F.col("volume") == F.col("v")) & (F.col("record_no") == F.col("r")), "left")
-    old = old.join(killed, (F.col("volume") == F.col("kv")) & (F.col("frn") == F.col("kf")), "left")
-    # A reference that was deleted and claimed again starts anew (without size and time).
-    stays = F.when(F.col("f").isNotNull(), (F.col("f") == F.col("frn")) & F.col("killed").isNull()).otherwise(F.col("killed").isNull())
-    old = old.filter(stays).join(links, (F.col("volume") == F.col("lv")) & (F.col("frn") == F.col("lf")), "left")
+    kept = left.join(touched, (F.col("volume") == F.col("v")) & (F.col("frn") == F.col("f")), "left").join(links, (F.col("volume") == F.col("lv")) & (F.col("frn") == F.col("lf")), "left")
     rewrite = F.col("f").isNotNull() & ~F.col("new.is_placeholder") & (F.coalesce("links", F.lit(1)) == 1)
-    kept = old.select(
+    kept = kept.select(
         "volume", "frn",
         *[F.when(rewrite, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("parent_frn", "name", "is_dir", "is_placeholder")],
         "size", "mtime_ft",
     )
-    there = entries.join(killed, (F.col("volume") == F.col("kv")) & (F.col("frn") == F.col("kf")), "left_anti").select(F.col("volume").alias("ev"), F.col("frn").alias("ef")).distinct()
+    there = left.select(F.col("volume").alias("ev"), F.col("frn").alias("ef")).distinct()
     fresh = final.join(there, (F.col("volume") == F.col("ev")) & (F.col("frn") == F.col("ef")), "left_anti")
-    fresh = fresh.select("volume", "frn", "parent_frn", "name", "is_dir", "is_placeholder", F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("mtime_ft"))
+    null = F.lit(None).cast("bigint")
+    fresh = fresh.select("volume", "frn", "parent_frn", "name", "is_dir", "is_placeholder", null.alias("size"), null.alias("mtime_ft"))
     return completed(kept.unionByName(fresh))
 
 
