@@ -80,11 +80,12 @@ def join_dimension(rows: DataFrame, dim: DataFrame, key: str, how: str = "left",
     return left.join(right, on, how).drop("_dim_key", "_dim_salt", "_salt")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Whole texts travel in batches: fewer rows of them at once bound both sides' memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Whole texts and sets travel in batches: fewer rows and bytes of them at once bound both sides' memory."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("bB")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def chunks(column, limit: int = 2 << 20):
