@@ -263,11 +263,12 @@ class NgramJoin:
         self.links = self._true(tried)
         roots = work.keep(connected_components(work, self.links), "roots-1")
         # One candidate per entry and foreign component first, which joins groups of copies;
-        # then every pair that is still open.
+        # then every pair that is still open. The second turn always runs: the first is empty
+        # too where the one candidate was tried before and others of its component were not.
         for turn, one in enumerate((True, False)):
             rest = work.keep(self._rest(lists, roots, tried, one), f"rest-{turn}")
             if rest.isEmpty():
-                break
+                continue
             more = self._verify(rest, f"verified-{turn}")
             tried = tried.unionByName(more)
             self.links = self.links.unionByName(self._true(more))

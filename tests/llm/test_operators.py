@@ -167,6 +167,25 @@ def test_ngram_join(spark, sf_dir, odd, k, num):
         assert Counter((r.doc_id, r.n, r.component) for r in got) == brute_components(frame.collect(), k, num, 100)
 
 
+def test_ngram_join_goes_on_after_an_empty_turn(spark, monkeypatch):
+    """3 links to 2 only; the first turn offers it 1, which was tried and is false."""
+    from stratafind.llm import ngram_join
+
+    def bits(text):
+        return ngram_join.bitmap(ngram_join.shingle_sets([text], 1)[0])
+
+    monkeypatch.setattr(ngram_join.F, "monotonically_increasing_id", lambda: F.col("rep"))
+    rare, core, other = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("t", 4), ("c", 15), ("d", 15)))
+    first = f"{rare} {core} x0 x1"
+    third, ends = next((t, e) for e in (f"y{i} y{i + 1} y{i + 2}" for i in range(10_000)) for t in [f"{rare} {core} {e}"] if ngram_join.distance(bits(first), bits(t)) <= 3)
+    rows = [(1, first), (2, f"{rare} {core} u0"), (3, third), (4, f"{rare} {other}")]
+    rows += [(i, f"{core} {other} u0 x0 x1 {ends} " + " ".join(f"z{i}n{j}" for j in range(100))) for i in range(10, 15)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = NgramJoin(spark, frame, 1, 80, 100).labelled().collect()
+    assert {r.component for r in got if r.doc_id <= 3} == {1}
+    assert Counter((r.doc_id, r.n, r.component) for r in got) == brute_components(frame.collect(), 1, 80, 100)
+
+
 def test_keep_one(spark, odd):
     for frame in (odd, copies(spark)):
         rows = frame.collect()
