@@ -17,17 +17,35 @@ ROUNDS = 8
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 _EMAIL = re.compile(r"(?<![\w.%+-])([\w.%+-]{1,64})(@(?:[\w-]{1,63}\.)+[A-Za-z]{2,24})(?![\w-])")
-_NUMBER = re.compile(
-    r"(?<!\w)(?<!\d[./-])(?:"
-    r"(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4})"
-    r"|(?P<ymd>\d{4}([-/.])\d{2}\3\d{2})"
-    r"|(?P<dmy>\d{1,2}([/.-])\d{1,2}\5\d{4})"
-    r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})"
-    r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
-    r")(?!\w|[./-]\d)"
-)
+#: Numbers by layout. A card or an IBAN may end at any group, so theirs are listed by length.
+_LAYOUTS = {
+    "phone": [r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}"],
+    "ymd": [r"\d{4}(?:-\d{2}-|/\d{2}/|\.\d{2}\.)\d{2}"],
+    "dmy": [r"\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4}"],
+    "ip": [r"\d{1,3}(?:\.\d{1,3}){3}"],
+    "ssn": [r"\d{3}-\d{2}-\d{4}"],
+    "card": [rf"\d(?:[ -]?\d){{{n - 1}}}" for n in range(19, 12, -1)],
+    "iban": [rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n in range(30, 10, -1)],
+}
+_USUAL_CARD = [r"\d{4}(?:(?: \d{4}){3}|(?:-\d{4}){3})", r"\d{4}(?: \d{6} |-\d{6}-)\d{5}", r"\d{13,19}"]
+_IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+_REST = {k: v for k, v in _LAYOUTS.items() if k != "iban"}
+_ANY = "|".join([*[v[0] for k, v in _REST.items() if k != "card"], r"\d(?:[ -]?\d){12,18}"])
+
+
+def _pass(before: str, after: str, places: str, layouts: dict) -> tuple:
+    """A pattern of places with a candidate, and every layout that may be valid there."""
+    return re.compile(f"{before}(?:{places}){after}"), [(k, re.compile(p + after)) for k, ps in layouts.items() for p in ps]
+
+
+#: What one pass leaves goes to the next: IBANs, cards as they are printed, numbers that stand
+#: by themselves, numbers that a mark (but a decimal point) joins to other digits.
+_PASSES = [
+    _pass(r"(?<!\w)", r"(?!\w)", _IBAN, {"iban": _LAYOUTS["iban"]}),
+    _pass(r"(?<![\w+])(?<!\d\.)", r"(?!\w|\.\d)", "|".join(_USUAL_CARD), {"card": _USUAL_CARD}),
+    _pass(r"(?<!\w)(?<!\d[./-])", r"(?!\w|[./-]\d)", _ANY, _REST),
+    _pass(r"(?<!\w)(?<!\d\.)", r"(?!\w|\.\d)", _ANY, _REST),
+]
 _DIGIT = re.compile(r"\d")
 _ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])), "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)]))]
 _CLASS = {c: (i, a) for a in _ALPHABETS for i, c in enumerate(a)}
@@ -121,30 +139,52 @@ class Pseudonyms:
         """text with every validated value replaced by its pseudonym."""
         counts = {} if counts is None else counts
 
-        def number(m):
-            kind = m.lastgroup if m.lastgroup in m.groupdict() else next(k for k, v in m.groupdict().items() if v)
-            new = self.number(kind, m.group())
-            if new is None:
-                return m.group()
-            name = "date" if kind in ("ymd", "dmy") else kind
-            counts[name] = counts.get(name, 0) + 1
-            return new
-
         def email(m):
             counts["email"] = counts.get("email", 0) + 1
             return self.letters("email", m.group(1)) + m.group(2)
 
         if _DIGIT.search(text):
-            text = _NUMBER.sub(number, text)
+            text = self._numbers(text, counts)
         if "@" in text:
             text = _EMAIL.sub(email, text)
         return text
 
+    def _numbers(self, text: str, counts: dict) -> str:
+        """text with its valid numbers replaced, a pass after the other over what is left.
+
+        Where no layout at a place is valid the search goes on one character later, so a number
+        is found behind and before other digits.
+        """
+        taken: list[tuple[int, int, str]] = []
+        for places, layouts in _PASSES:
+            found, ends = [], [(a, b) for a, b, _ in taken] + [(len(text), len(text))]
+            at = 0
+            for stop, after in ends:
+                while m := places.search(text, at, stop):
+                    at = m.start() + 1
+                    for kind, layout in layouts:
+                        if (c := layout.match(text, m.start(), stop)) and (new := self.number(kind, c.group())) is not None:
+                            name = "date" if kind in ("ymd", "dmy") else kind
+                            counts[name] = counts.get(name, 0) + 1
+                            found.append((m.start(), c.end(), new))
+                            at = c.end()
+                            break
+                at = after
+            taken = sorted(taken + found) if found else taken
+        out, at = [], 0
+        for a, b, new in taken:
+            out += text[at:a], new
+            at = b
+        return "".join([*out, text[at:]]) if taken else text
+
+
+#: Digits as themselves and as the digit sums of their doubles, as bytes.
+_ONCE, _TWICE = (bytes.maketrans(b"0123456789", bytes(sum(divmod(f * d, 10)) for d in range(10))) for f in (1, 2))
+
 
 def luhn(digits: str) -> bool:
-    odd = digits[-1::-2]
-    even = digits[-2::-2]
-    return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
+    raw = (digits if digits.isascii() else "".join(str(int(d)) for d in digits)).encode()
+    return (sum(raw[-1::-2].translate(_ONCE)) + sum(raw[-2::-2].translate(_TWICE))) % 10 == 0
 
 
 def _mod97(iban: str) -> int:
@@ -164,7 +204,10 @@ def pseudonymise(docs: DataFrame, key: bytes = b"public test key") -> DataFrame:
     (mod 97, made anew), IPv4 addresses, phone numbers (+ country code), national numbers of
     the form 3-2-4, dates from 1900 to 2099 (permuted among those days, same layout), and the
     local part of e-mail addresses. A pseudonym is again valid in its format. Equal values
-    have equal pseudonyms in all documents; invalid numbers stay.
+    have equal pseudonyms in all documents; invalid numbers stay. A valid number next to other
+    digits or words, behind or before a blank, - or /, is replaced too: IBANs first, then
+    cards of 4-4-4-4, 4-6-5 or one group, then the first from the left and its longest form.
+    Digits next to a decimal point and more digits are no number.
 
     A null text stays null with counts 0, an empty one stays empty. Every row is its own:
     repeated rows, null ids and an empty table need nothing special. Other columns pass

@@ -236,6 +236,25 @@ def test_pseudonyms_keep_formats():
     assert pii._mod97(iban) == 1
 
 
+def test_pseudonyms_next_to_other_digits():
+    own = pii.Pseudonyms(b"k")
+    card, plain, iban, ip = "4111 1111 1111 1111", "4111111111111111", "BE68 5390 0754 7034", "10.20.30.40"
+    forms = [
+        (card, "{} 123", "card"), (card, "2 {}", "card"), (plain, "123 {}", "card"), (card, "2020 {}", "card"), (plain, "123-{}", "card"), (card, "{}/12/27", "card"),
+        (card.replace(" ", "-"), "{}-123", "card"), (card, "2024-02-30 {}", "card"), (card, "1 2 3 4 5 6 {} 7 8 9", "card"), ("3782 822463 10005", "{} 1234", "card"),
+        (iban, "{} THE", "iban"), (iban, "{} PLEASE PAY", "iban"), (iban, "ZZ99 {}", "iban"), ("DE89 3704 0044 0532 0130 00", "{} 12", "iban"), (ip, "{}/24", "ip"), ("1985-03-14", "{}/", "date"),
+    ]
+    for value, form, kind in forms:
+        counts = {}
+        assert own.text(form.format(value), counts) == form.format(own.text(value)) and own.text(value) != value, form
+        assert counts == {kind: 1}, form
+    counts = {}
+    twice = own.text(f"{card} {card} {ip}-{ip} 1985-03-14/1985-03-20", counts)
+    assert counts == {"card": 2, "ip": 2, "date": 2} and twice.startswith(f"{own.text(card)} {own.text(card)} {own.text(ip)}-{own.text(ip)} ")
+    for same in ("0.4111111111111111", "54111111111111111", "4111111111111111x", "1.10.20.30.40", "1 " * 500):
+        assert own.text(same) == same
+
+
 def test_pii_rows(spark, odd, docs):
     for frame in (odd, docs):
         got = pii.pseudonymise(frame)
