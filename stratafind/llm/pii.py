@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from datetime import date, timedelta
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 _EMAIL = re.compile(r"(?<![\w.%+-])([\w.%+-]{1,64})(@(?:[\w-]{1,63}\.)+[A-Za-z]{2,24})(?![\w-])")
 #: Numbers by layout. A card or an IBAN may end at any group, so theirs are listed by length.
 _LAYOUTS = {
-    "phone": [r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}"],
+    "phone": [r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}", r"\+\d{1,3}[ .-]\d{1,2}(?:[ .-]\d{2}){3,5}"],
     "ymd": [r"\d{4}(?:-\d{2}-|/\d{2}/|\.\d{2}\.)\d{2}"],
     "dmy": [r"\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4}"],
     "ip": [r"\d{1,3}(?:\.\d{1,3}){3}"],
@@ -30,12 +32,14 @@ _LAYOUTS = {
 _USUAL_CARD = [r"\d{4}(?:(?: \d{4}){3}|(?:-\d{4}){3})", r"\d{4}(?: \d{6} |-\d{6}-)\d{5}", r"\d{13,19}"]
 _IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 _REST = {k: v for k, v in _LAYOUTS.items() if k != "iban"}
-_ANY = "|".join([*[v[0] for k, v in _REST.items() if k != "card"], r"\d(?:[ -]?\d){12,18}"])
+_ANY = "|".join([*[p for k, v in _REST.items() if k != "card" for p in v], r"\d(?:[ -]?\d){12,18}"])
 
 
 def _pass(before: str, after: str, places: str, layouts: dict) -> tuple:
     """A pattern of places with a candidate, and every layout that may be valid there."""
-    return re.compile(f"{before}(?:{places}){after}"), [(k, re.compile(p + after)) for k, ps in layouts.items() for p in ps]
+    ends = {"ymd": rf"(?:(?=T\d\d:?\d\d)|{after})"}  # a time may follow a date
+    stamp = f"|{layouts['ymd'][0]}{ends['ymd']}" if "ymd" in layouts else ""
+    return re.compile(f"{before}(?:(?:{places}){after}{stamp})"), [(k, re.compile(p + ends.get(k, after))) for k, ps in layouts.items() for p in ps]
 
 
 #: What one pass leaves goes to the next: IBANs, cards as they are printed, numbers that stand
@@ -51,6 +55,19 @@ _ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01234
 _CLASS = {c: (i, a) for a in _ALPHABETS for i, c in enumerate(a)}
 
 
+@lru_cache(maxsize=1 << 16)
+def _alphabet(c: str) -> tuple[int, str, str] | None:
+    """(place, alphabet, its name) of a letter or digit: others than Latin ones share it with their kind among 128 neighbours."""
+    if c in _CLASS:
+        at, alphabet = _CLASS[c]
+        return at, alphabet, str(_ALPHABETS.index(alphabet))
+    if not c.isalnum():
+        return None
+    first, kind = ord(c) & ~127, unicodedata.category(c)
+    alphabet = "".join(x for x in map(chr, range(first, first + 128)) if x not in _CLASS and x.isalnum() and unicodedata.category(x) == kind)
+    return alphabet.index(c), alphabet, f"{first:x}{kind}"
+
+
 class Pseudonyms:
     """Keyed permutations: one of every domain (kind and size), by a Feistel network.
 
@@ -78,16 +95,15 @@ class Pseudonyms:
 
     def letters(self, kind: str, text: str) -> str:
         """Permutes the letters and digits of text within their classes; the rest stays."""
-        value, size = 0, 1
-        for c in text:
-            if c in _CLASS:
-                at, alphabet = _CLASS[c]
-                value, size = value * len(alphabet) + at, size * len(alphabet)
-        value, out = self.permute(kind + ":" + "".join(str(_ALPHABETS.index(_CLASS[c][1])) if c in _CLASS else "-" for c in text), value, size), []
-        for c in reversed(text):
-            if c in _CLASS:
-                value, at = divmod(value, len(_CLASS[c][1]))
-                c = _CLASS[c][1][at]
+        value, size, classes = 0, 1, [_alphabet(c) for c in text]
+        for found in classes:
+            if found:
+                value, size = value * len(found[1]) + found[0], size * len(found[1])
+        value, out = self.permute(kind + ":" + "".join(found[2] if found else "-" for found in classes), value, size), []
+        for c, found in zip(reversed(text), reversed(classes)):
+            if found:
+                value, at = divmod(value, len(found[1]))
+                c = found[1][at]
             out.append(c)
         return "".join(reversed(out))
 
@@ -123,17 +139,19 @@ class Pseudonyms:
                 return None
             body = self.letters("iban" + plain[:2], plain[4:])
             return _filled(text, plain[:2] + f"{98 - _mod97(plain[:2] + '00' + body):02d}" + body)
-        first = kind == "ymd"
         parts = re.split(r"[-/.]", text)
-        try:
-            day = date(*map(int, parts if first else parts[::-1]))
-        except ValueError:
-            return None
-        if not 0 <= (day - FIRST_DAY).days < DAYS:
-            return None
-        new = FIRST_DAY + timedelta(days=self.permute("date", (day - FIRST_DAY).days, DAYS))
-        mark = re.search(r"[-/.]", text).group()
-        return mark.join([f"{new.year}", f"{new.month:02d}", f"{new.day:02d}"] if first else [f"{new.day:02d}", f"{new.month:02d}", f"{new.year}"])
+        # the places of year, month and day: a date that is not day-first may be month-first
+        for order in [(0, 1, 2)] if kind == "ymd" else [(2, 1, 0), (2, 0, 1)]:
+            try:
+                day = date(*(int(parts[i]) for i in order))
+            except ValueError:
+                continue
+            if not 0 <= (day - FIRST_DAY).days < DAYS:
+                return None
+            new = FIRST_DAY + timedelta(days=self.permute("date", (day - FIRST_DAY).days, DAYS))
+            shown = dict(zip(order, (f"{new.year}", f"{new.month:02d}", f"{new.day:02d}")))
+            return re.search(r"[-/.]", text).group().join(shown[i] for i in range(3))
+        return None
 
     def text(self, text: str, counts: dict | None = None) -> str:
         """text with every validated value replaced by its pseudonym."""
@@ -201,9 +219,11 @@ def pseudonymise(docs: DataFrame, key: bytes = b"public test key") -> DataFrame:
     """docs with pseudonyms in text, and n_<kind> counts of what was replaced.
 
     Validated are: card numbers (13 to 19 digits, Luhn; the check digit is made anew), IBANs
-    (mod 97, made anew), IPv4 addresses, phone numbers (+ country code), national numbers of
-    the form 3-2-4, dates from 1900 to 2099 (permuted among those days, same layout), and the
-    local part of e-mail addresses. A pseudonym is again valid in its format. Equal values
+    (mod 97, made anew), IPv4 addresses, phone numbers (only with + and country code; then 2-4,
+    3-4 and 3-4 digits, or pairs as in +33 6 12 34 56 78), national numbers of the form 3-2-4,
+    dates from 1900 to 2099 (permuted among those days, same layout: year-month-day, also before
+    a time T00:00, day-month-year, else month-day-year; joined by -, / or .), and the local part
+    of e-mail addresses (letters and digits of any script, within it). A pseudonym is again valid in its format. Equal values
     have equal pseudonyms in all documents; invalid numbers stay. A valid number next to other
     digits or words, behind or before a blank, - or /, is replaced too: IBANs first, then
     cards of 4-4-4-4, 4-6-5 or one group, then the first from the left and its longest form.

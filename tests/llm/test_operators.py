@@ -255,6 +255,23 @@ def test_pseudonyms_next_to_other_digits():
         assert own.text(same) == same
 
 
+def test_pseudonyms_of_further_layouts():
+    own = pii.Pseudonyms(b"k")
+    counts = {}
+    us, iso, stamp = (own.text(x, counts) for x in ("03/14/1985", "1985-03-14", "at 1985-03-14T10:00:00Z"))
+    assert counts == {"date": 3} and iso != "1985-03-14" and stamp == f"at {iso}T10:00:00Z"
+    assert datetime.datetime.strptime(us, "%m/%d/%Y").date() == datetime.date.fromisoformat(iso)
+    assert own.text("14/14/1985") == "14/14/1985" and own.text("1985-03-14Tx") == "1985-03-14Tx"
+    counts = {}
+    phone = own.text("+33 6 12 34 56 78 2024", counts)
+    assert counts == {"phone": 1} and re.fullmatch(r"\+33 \d( \d\d){4} 2024", phone) and "12 34 56 78" not in phone
+    for local in ("иван.петров", "γιώργος", "jo.李雷"):
+        counts = {}
+        out = own.text(f"{local}@mail.example.com", counts).split("@")[0]
+        assert counts == {"email": 1} and len(out) == len(local)
+        assert out != local and out == own.text(f"{local}@mail.example.com").split("@")[0]
+
+
 def test_pii_rows(spark, odd, docs):
     for frame in (odd, docs):
         got = pii.pseudonymise(frame)
