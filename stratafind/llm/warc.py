@@ -21,8 +21,8 @@ from .common import BROADCAST_ROWS, Workspace, shared_root
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
-#: Bytes of a read range, bytes read at once, bytes within which a header must show itself.
-RANGE, STEP, HEADER = 8 << 20, 1 << 18, 1 << 16
+#: Bytes of a read range, bytes read at once.
+RANGE, STEP = 8 << 20, 1 << 18
 
 
 def _filesystem(uri: str):
@@ -143,7 +143,7 @@ class _Members:
                     return None
                 checked = True
         data = out.getvalue()
-        cut = data.find(b"\r\n\r\n", 0, HEADER)
+        cut = data.find(b"\r\n\r\n")
         if not data.startswith(VERSION[:6]) or cut < 0:
             return None
         head = {}
@@ -226,6 +226,18 @@ def read_warc(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE, w
     return ranges.repartition(tasks, "path", "start").mapInArrow(run, schema)
 
 
+def read_all(work: Workspace, manifest: DataFrame, range_bytes: int = RANGE) -> DataFrame:
+    """Records of the archives of a manifest (path, bytes, records), without bodies.
+
+    They are written down and counted: the read fails unless it found as many as are listed.
+    """
+    rows = work.keep(read_warc(work.spark, manifest, range_bytes).drop("body"), "read")
+    listed, found = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], rows.count()
+    if found != listed:
+        raise ValueError(f"{found} records were read of {listed} in the manifest")
+    return rows
+
+
 def archive_round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 1000, range_bytes: int = 2 << 20) -> DataFrame:
     """Writes all pages as WARC below the shared folder and reads the archives back.
 
@@ -235,4 +247,4 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 1
     """
     work = Workspace(spark, "warc")
     manifest = work.keep(write_warc(plan_records(pages, work, min_bytes), f"{work.path}/archives"), "manifest")
-    return read_warc(spark, manifest, range_bytes).drop("body", "url")
+    return read_all(work, manifest, range_bytes).drop("url")

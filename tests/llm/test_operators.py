@@ -354,6 +354,18 @@ def test_warc(spark, sf_dir):
         assert got == brute_warc(frame.collect())
 
 
+def test_warc_long_header_and_lost_member(spark):
+    rows = spark.createDataFrame([(i, "u" * n, "x" * 50) for i, n in enumerate((3, 70_000, 300_000))], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.archive_round_trip(spark, rows).collect()) == [0, 1, 2]
+    work = Workspace(spark, "t")
+    manifest = work.keep(warc.write_warc(warc.plan_records(rows.coalesce(1), work), f"{work.path}/archives"), "manifest")
+    assert warc.read_all(work, manifest).count() == 3
+    with open(manifest.first().path, "r+b") as f:
+        f.write(b"\0")
+    with pytest.raises(ValueError, match="2 records were read of 3"):
+        warc.read_all(work, manifest)
+
+
 def test_warc_ranges_own_each_record(tmp_path):
     rng = random.Random(1)
     data, count = b"", 200
