@@ -88,6 +88,21 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20)
             spark.conf.set(name, str(most))
 
 
+def release() -> None:
+    """At the end of a task: freed memory goes back to the system, as Python workers outlive tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def chunks(column, limit: int = 2 << 20):
     """Yields (first, last, texts) of a batch's text column, about limit bytes at a time.
 
