@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 
 def fold_text(name: str) -> str:
@@ -25,10 +26,76 @@ def _fold_any(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else fold_text(x))
 
 
+@F.pandas_udf(BinaryType())
+def _fold_raw(names: pd.Series) -> pd.Series:
+    return names.map(lambda x: None if x is None else fold_raw(bytes(x)))
+
+
+def fold_raw(raw: bytes) -> bytes:
+    """fold_text of a name's exact bytes: unpaired surrogates stay, what is no text at all too."""
+    try:
+        return fold_text(raw.decode("utf-8", "surrogatepass")).encode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return raw
+
+
+@lru_cache(maxsize=1)
+def _letters() -> tuple[str, str, str]:
+    """From the folding rule, over all characters: those that fold to another one, what they fold to, and a
+    class of those whose folding depends on their neighbours (marks and what joins with them) or has more
+    than one character."""
+    shown, folded, others = [], [], []
+    for code in range(0x80, 0x20000):  # of what comes later, nothing is common in names
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:  # surrogates; syllables fold to themselves
+            continue
+        c = chr(code)
+        out = fold_text(c)
+        if len(out) != 1 or unicodedata.combining(out) or unicodedata.category(c) in ("Mn", "Mc") or 0x1100 <= code < 0x1200:
+            others.append(code)
+        elif out != c:
+            shown.append(c), folded.append(out)
+    spans: list[list[int]] = [[0x20000, 0x10FFFF]]
+    for code in others:
+        if spans and spans[-1][1] == code - 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "".join(shown), "".join(folded), "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+
+
+def joins_letters(name: Column) -> Column:
+    """Names whose characters can't be folded one by one; none is ASCII."""
+    return F.coalesce((F.octet_length(name) != F.char_length(name)) & name.rlike(_letters()[2]), F.lit(False))
+
+
+def fold_letters(name: Column) -> Column:
+    """fold_text of names without such characters, in generated code."""
+    shown, folded, _ = _letters()
+    return F.when(F.octet_length(name) == F.char_length(name), F.lower(name)).otherwise(F.translate(_ascii_lower(name), shown, folded))
+
+
+def _ascii_lower(name: Column) -> Column:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(name, upper, upper.lower())
+
+
 def fold(name: Column) -> Column:
-    """fold_text as a column; rows that are ASCII stay inside generated code."""
-    ascii_only = F.octet_length(name) == F.char_length(name)
-    return F.when(name.isNull() | ascii_only, F.lower(name)).otherwise(_fold_any(F.when(~ascii_only, name)))
+    """fold_text as a column, by Python: for single values. Tables go through with_folded()."""
+    return _fold_any(name)
+
+
+def with_folded(rows: DataFrame, name: str, out: str, raw: str | None = None, raw_out: str | None = None) -> DataFrame:
+    """rows with the folded name; only names with joining marks, or with raw bytes, go through Python.
+
+    They are a branch of their own, so that the plan of all other rows has no Python step.
+    """
+    odd = joins_letters(F.col(name)) | (F.col(raw).isNotNull() if raw else F.lit(False))
+    plain = rows.filter(~odd).withColumn(out, fold_letters(F.col(name)))
+    rare = rows.filter(odd).withColumn(out, _fold_any(F.col(name)))
+    if raw:
+        plain = plain.withColumn(raw_out, F.lit(None).cast("binary"))
+        rare = rare.withColumn(raw_out, _fold_raw(F.col(raw)))
+    return plain.unionByName(rare)
 
 
 def fold_ascii(name: Column) -> Column:
@@ -36,6 +103,11 @@ def fold_ascii(name: Column) -> Column:
     return F.lower(name)
 
 
+def folded_file_name(path: Column) -> Column:
+    """The folded last component of a path whose characters fold one by one."""
+    return fold_letters(F.substring_index(path, "\\", -1))
+
+
 def extension(name_fold: Column) -> Column:
     """Text after the last dot; null without one, '' for a trailing dot."""
     return F.when(F.instr(name_fold, ".") > 0, F.substring_index(name_fold, ".", -1))

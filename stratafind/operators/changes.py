@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import extension, fold, fold_ascii, frn_parts
-from ..schema import DIRECTORY
+from ..functions.text import extension, fold_ascii, frn_parts, with_folded
+from ..schema import DIRECTORY, ENTRY_COLUMNS
 from .paths import ROOT_FRN
 
 # Reason bits.
@@ -45,12 +45,13 @@ def record_ops(journal: DataFrame) -> DataFrame:
 
 def record_events(journal: DataFrame, root_frn: int = ROOT_FRN) -> DataFrame:
     """Ensure(parent) and Claim of every Upsert, Kill of every Delete, each on its record number."""
-    ops = record_ops(journal)
+    raw = journal if "name_raw" in journal.columns else journal.withColumn("name_raw", F.lit(None).cast("binary"))
+    ops = record_ops(raw)
     claim = ops.filter("op = 'Upsert'")
-    null = {c: F.lit(None).cast(t).alias(c) for c, t in (("parent", "bigint"), ("name", "string"), ("is_dir", "boolean"))}
+    null = {c: F.lit(None).cast(t).alias(c) for c, t in (("parent", "bigint"), ("name", "string"), ("name_raw", "binary"), ("is_dir", "boolean"))}
     events = (
         claim.select("volume", "usn", F.lit(0).alias("step"), F.col("parent_frn").alias("frn"), F.lit("Ensure").alias("kind"), *null.values())
-        .unionByName(claim.select("volume", "usn", F.lit(1).alias("step"), "frn", F.lit("Claim").alias("kind"), F.col("parent_frn").alias("parent"), "name", (F.col("attributes").bitwiseAND(F.lit(DIRECTORY)) != 0).alias("is_dir")))
+        .unionByName(claim.select("volume", "usn", F.lit(1).alias("step"), "frn", F.lit("Claim").alias("kind"), F.col("parent_frn").alias("parent"), "name", "name_raw", (F.col("attributes").bitwiseAND(F.lit(DIRECTORY)) != 0).alias("is_dir")))
         .unionByName(ops.filter("op = 'Delete'").select("volume", "usn", F.lit(1).alias("step"), "frn", F.lit("Kill").alias("kind"), *null.values()))
         .dropDuplicates(["volume", "usn", "step", "frn", "kind"])
     )
@@ -72,7 +73,7 @@ def latest_state(journal: DataFrame, root_frn: int = ROOT_FRN) -> tuple[DataFram
     per_frn = events.groupBy("volume", "record_no", "frn").agg(
         F.max(F.when(F.col("kind") != "Kill", at)).alias("seen"),
         F.max(F.when(F.col("kind") == "Kill", at)).alias("killed"),
-        F.max(F.when(F.col("kind") == "Claim", F.struct("usn", "step", "parent", "name", "is_dir"))).alias("claim"),
+        F.max(F.when(F.col("kind") == "Claim", F.struct("usn", "step", "parent", "name", "name_raw", "is_dir"))).alias("claim"),
     )
     tenant = per_frn.filter("seen is not null").groupBy("volume", "record_no").agg(F.max(F.struct("seen", "frn", "killed", "claim")).alias("t"))
     alive = tenant.filter(F.col("t.killed").isNull() | (F.col("t.seen") > F.col("t.killed")))
@@ -87,91 +88,128 @@ def latest_state(journal: DataFrame, root_frn: int = ROOT_FRN) -> tuple[DataFram
     valid = F.col("t.claim").isNotNull() & (since.isNull() | (claim_at > since))
     final = lost.select(
         "volume", "record_no", F.col("t.frn").alias("frn"), F.col("t.seen.usn").alias("usn"),
-        F.when(valid, F.col("t.claim.parent")).alias("parent_frn"), F.when(valid, F.col("t.claim.name")).alias("name"),
+        F.when(valid, F.col("t.claim.parent")).alias("parent_frn"), F.when(valid, F.col("t.claim.name")).alias("name"), F.when(valid, F.col("t.claim.name_raw")).alias("name_raw"),
         F.when(valid, F.col("t.claim.is_dir")).otherwise(F.lit(True)).alias("is_dir"), (~valid).alias("is_placeholder"),
     )
-    counters = drift(events)
-    return final, counters
+    return final, drift(events, record_ops(journal))
 
 
-def drift(events: DataFrame) -> DataFrame:
-    """stale_slots and delete_of_unknown by the order of events of each record number."""
+def drift(events: DataFrame, ops: DataFrame) -> DataFrame:
+    """Per volume stale_slots, delete_of_unknown and placeholders_created, by the order of events of each
+    record number, and rename_old_seen, all for a journal that starts from nothing."""
     w = W.partitionBy("volume", "record_no").orderBy("usn", "step")
     before = F.lag(F.struct("frn", "kind")).over(w)
     rows = events.withColumn("p", before)
     live = F.col("p").isNotNull() & (F.col("p.kind") != "Kill")
-    return rows.groupBy("volume").agg(
-        F.sum((live & (F.col("kind") != "Kill") & (F.col("p.frn") != F.col("frn"))).cast("long")).alias("stale_slots"),
-        F.sum(((F.col("kind") == "Kill") & ~F.coalesce(live & (F.col("p.frn") == F.col("frn")), F.lit(False))).cast("long")).alias("delete_of_unknown"),
+    held = F.coalesce(live & (F.col("p.frn") == F.col("frn")), F.lit(False))
+    old = ops.filter("op = 'RenameOld'").select("volume", "usn", "frn").distinct().select("volume", *[F.lit(0).cast("long").alias(c) for c in ("a", "b", "c")], F.lit(1).cast("long").alias("d"))
+    seen = rows.select(
+        "volume",
+        (live & (F.col("kind") != "Kill") & (F.col("p.frn") != F.col("frn"))).cast("long").alias("a"),
+        ((F.col("kind") == "Kill") & ~held).cast("long").alias("b"),
+        ((F.col("kind") == "Ensure") & ~held).cast("long").alias("c"),
+        F.lit(0).cast("long").alias("d"),
     )
+    names = {"a": "stale_slots", "b": "delete_of_unknown", "c": "placeholders_created", "d": "rename_old_seen"}
+    return seen.unionByName(old).groupBy("volume").agg(*[F.sum(c).alias(n) for c, n in names.items()])
 
 
 def completed(rows: DataFrame, ascii_names: bool = False) -> DataFrame:
-    """Derives all computed columns of ENTRIES from (volume, frn, parent_frn, name, is_dir, is_placeholder, size, mtime_ft)."""
-    record, seq = frn_parts(F.col("frn"))
-    low = fold_ascii(F.col("name")) if ascii_names else fold(F.col("name"))
-    rows = rows.withColumn("record_no", record).withColumn("seq", seq).withColumn("name_fold", low)
+    """ENTRIES rows from (volume, frn, parent_frn, name, is_dir, is_placeholder, size, mtime_ft), and
+    name_raw and entry_id where they are there: all other columns are derived anew."""
     have = set(rows.columns)
-    null = F.lit(None).cast("binary")
-    rows = rows.withColumn("ext_fold", extension(F.col("name_fold")))
-    if "entry_id" not in have:
-        rows = rows.withColumn("entry_id", F.xxhash64("volume", "frn", "parent_frn", "name"))
-    for c in ("name_raw", "name_fold_raw"):
-        if c not in have:
-            rows = rows.withColumn(c, null)
-    if "non_unicode" not in have:
-        rows = rows.withColumn("non_unicode", F.lit(False))
-    return rows.select(
-        "volume", "entry_id", "frn", "record_no", "seq", "parent_frn", "name", "name_raw", "name_fold", "name_fold_raw", "ext_fold", "is_dir", "is_placeholder", "non_unicode", "size", "mtime_ft"
-    )
+    if "name_raw" not in have:
+        rows = rows.withColumn("name_raw", F.lit(None).cast("binary"))
+    rows = rows.drop("name_fold", "name_fold_raw")
+    if ascii_names:
+        rows = rows.withColumn("name_fold", fold_ascii(F.col("name"))).withColumn("name_fold_raw", F.lit(None).cast("binary"))
+    else:
+        rows = with_folded(rows, "name", "name_fold", "name_raw", "name_fold_raw")
+    record, seq = frn_parts(F.col("frn"))
+    rows = rows.withColumn("record_no", record).withColumn("seq", seq).withColumn("ext_fold", extension(F.col("name_fold")))
+    fresh = F.xxhash64("volume", "frn", "parent_frn", "name", "name_raw")
+    rows = rows.withColumn("entry_id", F.coalesce("entry_id", fresh) if "entry_id" in have else fresh).withColumn("non_unicode", F.col("name_raw").isNotNull())
+    return rows.select(*ENTRY_COLUMNS)
+
+
+#: What completed() asks for.
+_GIVEN = ("volume", "entry_id", "frn", "parent_frn", "name", "name_raw", "is_dir", "is_placeholder", "size", "mtime_ft")
+
+
+def snapshot(records: DataFrame) -> DataFrame:
+    """ENTRIES of a full enumeration: records (volume, position, place, frn, parent_frn, attributes, name, name_raw).
+
+    Of records of one number, a slot that was reused meanwhile, the last one by position and place counts.
+    Unknown parents need no row: whatever lies below them is an orphan when it is looked up.
+    """
+    newest = F.max_by(F.struct("frn", "parent_frn", "attributes", "name", "name_raw"), F.struct("position", "place")).alias("r")
+    last = records.withColumn("record_no", frn_parts(F.col("frn"))[0]).groupBy("volume", "record_no").agg(newest)
+    null = F.lit(None).cast("bigint")
+    is_dir = F.col("r.attributes").bitwiseAND(F.lit(DIRECTORY)) != 0
+    return completed(last.select("volume", "r.frn", "r.parent_frn", "r.name", "r.name_raw", is_dir.alias("is_dir"), F.lit(False).alias("is_placeholder"), null.alias("size"), null.alias("mtime_ft")))
+
+
+def touched_records(journal: DataFrame, root_frn: int = ROOT_FRN) -> DataFrame:
+    """(volume, record_no) of all record numbers that a batch acts on."""
+    return record_events(journal, root_frn).select("volume", "record_no").distinct()
 
 
 def apply_journal(entries: DataFrame, journal: DataFrame, root_frn: int = ROOT_FRN) -> DataFrame:
     """The entry table after a batch of change records, applied as one.
 
     Upsert of an unknown reference inserts; of a single-link one it renames in place and keeps
-    size and time; files with several links wait for reconcile_links. A record number that
+    size, time and row id; files with several links wait for reconcile_links. A record number that
     another reference claims or ensures loses its old tenant. Applying a batch twice changes
-    nothing more. entries come out without derived columns being recomputed for rows at rest.
+    nothing more. Rows that the batch does not rename come out with all their columns as they
+    are, raw names included; rows of untouched record numbers take no part in any join but the
+    one that tells them apart. What is derived is computed for new and renamed rows only.
     """
     final, _ = latest_state(journal, root_frn)
     events = record_events(journal, root_frn)
-    kills = events.filter("kind = 'Kill'").select(F.col("volume").alias("kv"), F.col("frn").alias("kf")).distinct()
     seen = events.filter("kind <> 'Kill'").groupBy(F.col("volume").alias("sv"), F.col("record_no").alias("sr")).agg(F.min("frn").alias("low"), F.max("frn").alias("high"))
+    kills = events.filter("kind = 'Kill'").select(F.col("volume").alias("kv"), F.col("frn").alias("kf")).distinct()
+    touched = touched_records(journal, root_frn).select(F.col("volume").alias("tv"), F.col("record_no").alias("tr"))
+    of_batch = (F.col("volume") == F.col("tv")) & (F.col("record_no") == F.col("tr"))
+    rest = entries.join(touched, of_batch, "left_anti")
+    mine = entries.join(touched, of_batch, "left_semi")
     # Gone are references that were deleted and those whose record another one took, even for a while.
-    left = entries.join(kills, (F.col("volume") == F.col("kv")) & (F.col("frn") == F.col("kf")), "left_anti")
+    left = mine.join(kills, (F.col("volume") == F.col("kv")) & (F.col("frn") == F.col("kf")), "left_anti")
     left = left.join(seen, (F.col("volume") == F.col("sv")) & (F.col("record_no") == F.col("sr")), "left")
-    left = left.filter(F.col("low").isNull() | ((F.col("low") == F.col("frn")) & (F.col("high") == F.col("frn"))))
-    touched = final.select(F.col("volume").alias("v"), F.col("frn").alias("f"), F.struct("parent_frn", "name", "is_dir", "is_placeholder").alias("new"))
-    links = entries.groupBy(F.col("volume").alias("lv"), F.col("frn").alias("lf")).agg(F.count("*").alias("links"))
-    kept = left.join(touched, (F.col("volume") == F.col("v")) & (F.col("frn") == F.col("f")), "left").join(links, (F.col("volume") == F.col("lv")) & (F.col("frn") == F.col("lf")), "left")
-    rewrite = F.col("f").isNotNull() & ~F.col("new.is_placeholder") & (F.coalesce("links", F.lit(1)) == 1)
-    kept = kept.select(
-        "volume", "frn",
-        *[F.when(rewrite, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("parent_frn", "name", "is_dir", "is_placeholder")],
-        "size", "mtime_ft",
-    )
+    left = left.filter(F.col("low").isNull() | ((F.col("low") == F.col("frn")) & (F.col("high") == F.col("frn")))).select(*ENTRY_COLUMNS)
+    new = final.select(F.col("volume").alias("v"), F.col("frn").alias("f"), F.struct("parent_frn", "name", "name_raw", "is_dir", "is_placeholder").alias("new"))
+    links = mine.groupBy(F.col("volume").alias("lv"), F.col("frn").alias("lf")).agg(F.count("*").alias("links"))
+    both = left.join(new, (F.col("volume") == F.col("v")) & (F.col("frn") == F.col("f")), "left").join(links, (F.col("volume") == F.col("lv")) & (F.col("frn") == F.col("lf")), "left")
+    changes = [~F.col(c).eqNullSafe(F.col(f"new.{c}")) for c in ("parent_frn", "name", "name_raw", "is_dir", "is_placeholder")]
+    renamed = F.col("f").isNotNull() & ~F.col("new.is_placeholder") & (F.coalesce("links", F.lit(1)) == 1)
+    renamed = F.coalesce(renamed & (changes[0] | changes[1] | changes[2] | changes[3] | changes[4]), F.lit(False))
+    same = both.filter(~renamed).select(*ENTRY_COLUMNS)
+    moved = both.filter(renamed).select("volume", "entry_id", "frn", *[F.col(f"new.{c}").alias(c) for c in ("parent_frn", "name", "name_raw", "is_dir", "is_placeholder")], "size", "mtime_ft")
     there = left.select(F.col("volume").alias("ev"), F.col("frn").alias("ef")).distinct()
     fresh = final.join(there, (F.col("volume") == F.col("ev")) & (F.col("frn") == F.col("ef")), "left_anti")
     null = F.lit(None).cast("bigint")
-    fresh = fresh.select("volume", "frn", "parent_frn", "name", "is_dir", "is_placeholder", null.alias("size"), null.alias("mtime_ft"))
-    return completed(kept.unionByName(fresh))
+    fresh = fresh.select("volume", null.alias("entry_id"), "frn", "parent_frn", "name", "name_raw", "is_dir", "is_placeholder", null.alias("size"), null.alias("mtime_ft"))
+    return rest.select(*ENTRY_COLUMNS).unionByName(same).unionByName(completed(moved.select(*_GIVEN).unionByName(fresh.select(*_GIVEN))))
 
 
 def enrich(entries: DataFrame, layout: DataFrame) -> DataFrame:
-    """Adds missing hard links and sets size (files) and time of every link; never removes or renames."""
+    """Adds missing hard links and sets size (files) and time of every link; never removes or renames.
+
+    Rows at rest keep all their columns; names are told apart by their exact bytes.
+    """
     facts = layout.select(F.col("volume").alias("v"), F.col("frn").alias("f"), F.col("size").alias("new_size"), F.col("mtime_ft").alias("new_time"))
-    names = layout.select("volume", "frn", F.explode("names").alias("n")).filter("not n.dos_only").select("volume", "frn", F.col("n.parent_frn").alias("parent_frn"), F.col("n.name").alias("name"))
-    known = entries.select(F.col("volume").alias("kv"), F.col("frn").alias("kf"), F.col("is_dir").alias("kd"), F.col("parent_frn").alias("kp"), F.col("name").alias("kn"))
+    names = layout.select("volume", "frn", F.explode("names").alias("n")).filter("not n.dos_only")
+    raw = F.col("n.name_raw") if "name_raw" in names.schema["n"].dataType.names else F.lit(None).cast("binary")
+    names = names.select("volume", "frn", F.col("n.parent_frn").alias("parent_frn"), F.col("n.name").alias("name"), raw.alias("name_raw"))
+    known = entries.select(F.col("volume").alias("kv"), F.col("frn").alias("kf"), F.col("is_dir").alias("kd"), F.col("parent_frn").alias("kp"), F.col("name").alias("kn"), F.col("name_raw").alias("kr"))
+    of_frn = (F.col("volume") == F.col("kv")) & (F.col("frn") == F.col("kf"))
     files = known.filter("not kd").select("kv", "kf").distinct()
-    lack = names.join(files, (F.col("volume") == F.col("kv")) & (F.col("frn") == F.col("kf")), "left_semi")
-    lack = lack.join(known, (F.col("volume") == F.col("kv")) & (F.col("frn") == F.col("kf")) & (F.col("parent_frn") == F.col("kp")) & (F.col("name") == F.col("kn")), "left_anti").distinct()
+    lack = names.join(files, of_frn, "left_semi")
+    lack = lack.join(known, of_frn & (F.col("parent_frn") == F.col("kp")) & (F.col("name") == F.col("kn")) & F.col("name_raw").eqNullSafe(F.col("kr")), "left_anti").distinct()
     null = F.lit(None).cast("bigint")
     lack = lack.select("*", F.lit(False).alias("is_dir"), F.lit(False).alias("is_placeholder"), null.alias("size"), null.alias("mtime_ft"))
-    base = entries.select("volume", "frn", "parent_frn", "name", "is_dir", "is_placeholder", "size", "mtime_ft").unionByName(lack)
-    out = base.join(facts, (F.col("volume") == F.col("v")) & (F.col("frn") == F.col("f")), "left")
+    out = entries.select(*ENTRY_COLUMNS).unionByName(completed(lack)).join(facts, (F.col("volume") == F.col("v")) & (F.col("frn") == F.col("f")), "left")
     size = F.when(~F.col("is_dir"), F.coalesce("new_size", "size")).otherwise(F.col("size"))
-    return completed(out.withColumn("size", size).withColumn("mtime_ft", F.coalesce("new_time", "mtime_ft")))
+    return out.withColumn("size", size).withColumn("mtime_ft", F.coalesce("new_time", "mtime_ft")).select(*ENTRY_COLUMNS)
 
 
 def set_stats(entries: DataFrame, stats: DataFrame) -> DataFrame:
@@ -191,15 +229,22 @@ def reconcile_links(entries: DataFrame, actual: DataFrame) -> tuple[DataFrame, D
     """
     dirs = entries.filter("is_dir").select(F.col("volume").alias("dv"), F.col("frn").alias("df")).distinct()
     links = actual.filter("links is not null").select("volume", "frn", F.explode_outer("links").alias("l"))
+    raw = F.col("l.name_raw") if "name_raw" in links.schema["l"].dataType.names else F.lit(None).cast("binary")
     checked = links.join(dirs, (F.col("volume") == F.col("dv")) & (F.col("l.parent_frn") == F.col("df")), "left")
     bad = checked.filter("l is not null and df is null").select(F.col("volume").alias("bv"), F.col("frn").alias("bf")).distinct()
     good = checked.join(bad, (F.col("volume") == F.col("bv")) & (F.col("frn") == F.col("bf")), "left_anti")
-    facts = entries.groupBy("volume", "frn").agg(F.max("size").alias("size"), F.max("mtime_ft").alias("mtime_ft"), F.bool_or("is_dir").alias("is_dir"))
-    new = good.filter("l is not null").select("volume", "frn", F.col("l.parent_frn").alias("parent_frn"), F.col("l.name").alias("name")).distinct().join(facts, ["volume", "frn"]).withColumn("is_placeholder", F.lit(False))
+    want = good.filter("l is not null").select("volume", "frn", F.col("l.parent_frn").alias("parent_frn"), F.col("l.name").alias("name"), raw.alias("name_raw")).distinct()
     done = good.select(F.col("volume").alias("gv"), F.col("frn").alias("gf")).distinct()
-    rest = entries.join(done, (F.col("volume") == F.col("gv")) & (F.col("frn") == F.col("gf")), "left_anti")
-    same = ["volume", "frn", "parent_frn", "name", "is_dir", "is_placeholder", "size", "mtime_ft"]
+    of_done = (F.col("volume") == F.col("gv")) & (F.col("frn") == F.col("gf"))
+    rest = entries.join(done, of_done, "left_anti").select(*ENTRY_COLUMNS)
+    mine = entries.join(done, of_done, "left_semi")
+    keys = want.select(*[F.col(c).alias(f"w_{c}") for c in want.columns])
+    equal = (F.col("volume") == F.col("w_volume")) & (F.col("frn") == F.col("w_frn")) & (F.col("parent_frn") == F.col("w_parent_frn")) & (F.col("name") == F.col("w_name")) & F.col("name_raw").eqNullSafe(F.col("w_name_raw"))
+    stay = mine.join(keys, equal, "left_semi").select(*ENTRY_COLUMNS)
+    had = mine.select(*[F.col(c).alias(f"w_{c}") for c in want.columns])
+    facts = mine.groupBy("volume", "frn").agg(F.max("size").alias("size"), F.max("mtime_ft").alias("mtime_ft"), F.bool_or("is_dir").alias("is_dir"))
+    new = want.join(had, equal, "left_anti").join(facts, ["volume", "frn"]).withColumn("is_placeholder", F.lit(False))
     flags = actual.select(F.col("links").isNull().cast("long").alias("skipped"), F.lit(0).cast("long").alias("dropped"))
     flags = flags.unionByName(bad.select(F.lit(0).cast("long").alias("skipped"), F.lit(1).cast("long").alias("dropped")))
     counters = flags.agg(F.sum("skipped").alias("skipped"), F.sum("dropped").alias("dropped"))
-    return completed(rest.select(same).unionByName(new.select(same))), counters
+    return rest.unionByName(stay).unionByName(completed(new)), counters

@@ -4,26 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import fold
 from ..tables import keep, work_folder
 
 # Fixed value: reference of the root directory (record 5, sequence 5).
 ROOT_FRN = 0x0005_0000_0000_0005
+# Fixed value: most entries on the way from an entry to the root, both counted.
+MOST_HOPS = 4096
 SEP = "\\"
 
 
-def dir_paths(entries: DataFrame, root_frn: int = ROOT_FRN, names_are_ascii: bool = False) -> DataFrame:
-    """(volume, frn, path, path_fold, depth, ancestors, status) of every directory, and the root.
+def dir_paths(entries: DataFrame, root_frn: int = ROOT_FRN, most_hops: int = MOST_HOPS) -> DataFrame:
+    """(volume, frn, path, path_fold, path_raw, depth, ancestors, status) of every directory, and the root.
 
     Only directories take part. In each round a row jumps from its present ancestor to that
     one's ancestor, so k rounds cover 2^k levels. Rows whose chain ends at the root are Ok, at a
-    missing or reused parent InLostFound; when a round no longer lowers the number of moving
-    rows, all of them are on or below a cycle. Only ids travel in the loop: names are joined
-    for rows that resolve. Directories are about a tenth of all entries.
+    missing, null or reused parent InLostFound; a chain of more than most_hops entries is
+    CycleDetected (also where it is only deep), so it never grows beyond twice that. Only ids travel
+    in the loop: names are joined for rows that resolve. Directories are about a tenth of all
+    entries. path_raw has the exact bytes where a name on the way is no Unicode, else null.
     """
     spark = entries.sparkSession
     folder = work_folder(spark)
-    dirs = entries.filter("is_dir and not is_placeholder").select("volume", "frn", "parent_frn", "name")
+    dirs = entries.filter("is_dir and not is_placeholder").select("volume", "frn", "parent_frn", "name", "name_fold", "name_raw")
     state = keep(
         dirs.filter(F.col("frn") != root_frn).select("volume", "frn", F.col("parent_frn").alias("anc"), F.array("frn").alias("chain"), F.lit("moving").alias("status")),
         f"{folder}/r0",
@@ -33,16 +35,19 @@ def dir_paths(entries: DataFrame, root_frn: int = ROOT_FRN, names_are_ascii: boo
         known = state.select(F.col("volume").alias("v"), F.col("frn").alias("f"), F.col("anc").alias("next"), F.col("chain").alias("more"), F.col("status").alias("s"))
         moving = state.filter("status = 'moving'")
         done = state.filter("status <> 'moving'")
-        at_root = (F.col("anc") == root_frn) | F.col("anc").isNull()
+        at_root = F.coalesce(F.col("anc") == root_frn, F.lit(False))
         hop = moving.join(known, (F.col("volume") == F.col("v")) & (F.col("anc") == F.col("f")), "left")
+        ends = at_root | F.col("f").isNull()
+        # the root is one entry of the way more
+        length = F.size("chain") + F.when(ends, 0).otherwise(F.size("more"))
         status = (
             F.when(at_root, "Ok").when(F.col("f").isNull(), "InLostFound").when(F.col("s") != "moving", F.col("s")).otherwise("moving")
         )
         hop = hop.select(
             "volume", "frn",
-            F.when(at_root | F.col("f").isNull(), F.col("anc")).otherwise(F.col("next")).alias("anc"),
-            F.when(at_root | F.col("f").isNull() | (F.size("chain") > 4096), F.col("chain")).otherwise(F.concat("chain", "more")).alias("chain"),
-            status.alias("status"),
+            F.when(ends, F.col("anc")).otherwise(F.col("next")).alias("anc"),
+            F.when(ends, F.col("chain")).otherwise(F.concat("chain", "more")).alias("chain"),
+            F.when(length + 1 > most_hops, "CycleDetected").otherwise(status).alias("status"),
         )
         turn += 1
         state = keep(done.unionByName(hop), f"{folder}/r{turn}")
@@ -53,16 +58,19 @@ def dir_paths(entries: DataFrame, root_frn: int = ROOT_FRN, names_are_ascii: boo
     state = state.withColumn("status", F.when(F.col("status") == "moving", "CycleDetected").otherwise(F.col("status")))
     # chain runs from the row upwards; names are joined for resolved rows only
     good = state.filter("status = 'Ok'").select("volume", "frn", F.posexplode("chain").alias("up", "a"))
-    named = good.join(dirs.select(F.col("volume").alias("v"), F.col("frn").alias("f"), "name"), (F.col("volume") == F.col("v")) & (F.col("a") == F.col("f")))
-    whole = named.groupBy("volume", "frn").agg(F.sort_array(F.collect_list(F.struct("up", "name", "a")), asc=False).alias("p"))
-    path = F.array_join(F.transform("p", lambda x: x["name"]), SEP)
+    named = good.join(dirs.select(F.col("volume").alias("v"), F.col("frn").alias("f"), "name", "name_fold", "name_raw"), (F.col("volume") == F.col("v")) & (F.col("a") == F.col("f")))
+    whole = named.groupBy("volume", "frn").agg(F.sort_array(F.collect_list(F.struct("up", "name", "name_fold", "name_raw", "a")), asc=False).alias("p"))
+    joined_names = lambda c: F.array_join(F.transform("p", lambda x: x[c]), SEP)
+    path, folded = joined_names("name"), joined_names("name_fold")
+    exact = lambda x: F.coalesce(x["name_raw"], F.encode(x["name"], "utf-8"))
+    joined = F.aggregate("p", F.lit(b""), lambda way, x: F.when(F.octet_length(way) == 0, exact(x)).otherwise(F.concat(way, F.lit(SEP.encode()), exact(x))))
+    path_raw = F.when(F.exists("p", lambda x: x["name_raw"].isNotNull()), joined)
     ancestors = F.concat(F.array(F.lit(root_frn)), F.slice(F.transform("p", lambda x: x["a"]), F.lit(1), F.size("p") - 1))
-    ok = whole.select("volume", "frn", path.alias("path"), F.size("p").alias("depth"), ancestors.alias("ancestors"), F.lit("Ok").alias("status"))
-    lost = state.filter("status <> 'Ok'").select("volume", "frn", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<bigint>").alias("ancestors"), "status")
-    top = entries.select("volume").distinct().select("volume", F.lit(root_frn).alias("frn"), F.lit("").alias("path"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("ancestors"), F.lit("Ok").alias("status"))
-    out = ok.unionByName(lost).unionByName(top)
-    folded = F.lower("path") if names_are_ascii else fold(F.col("path"))
-    return keep(out.withColumn("path_fold", folded), f"{folder}/paths")
+    ok = whole.select("volume", "frn", path.alias("path"), folded.alias("path_fold"), path_raw.alias("path_raw"), F.size("p").alias("depth"), ancestors.alias("ancestors"), F.lit("Ok").alias("status"))
+    none = {"path": "string", "path_fold": "string", "path_raw": "binary", "depth": "int", "ancestors": "array<bigint>"}
+    lost = state.filter("status <> 'Ok'").select("volume", "frn", *[F.lit(None).cast(t).alias(c) for c, t in none.items()], "status")
+    top = entries.select("volume").distinct().select("volume", F.lit(root_frn).alias("frn"), F.lit("").alias("path"), F.lit("").alias("path_fold"), F.lit(None).cast("binary").alias("path_raw"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("ancestors"), F.lit("Ok").alias("status"))
+    return keep(ok.unionByName(lost).unionByName(top), f"{folder}/paths")
 
 
 def orphans(entries: DataFrame, paths: DataFrame) -> DataFrame:

@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import fold_text, starts_ignoring_case
 from ..plans.predicates import entry_predicate, path_predicate
 from ..plans.query_text import ParsedQuery, parse_query
-from ..schema import COMPLETE, Sort
+from ..schema import COMPLETE, Sort, phase_text
+from .paths import MOST_HOPS
 
-#: Directory tables up to this size are broadcast; larger ones are joined by a shuffle.
-BROADCAST_PATHS = 500_000
+#: Directory tables up to these rows and bytes of paths are broadcast; larger ones are joined by a shuffle.
+BROADCAST_PATHS, BROADCAST_BYTES = 500_000, 64 << 20
 #: Most rows (offset + limit) of a page that is taken as a top-k.
 TOP_K = 100_000
 
 
 @dataclass
 class Result:
-    """hits: the page, ordered. total: all matches, counted when asked for."""
+    """hits: the page, ordered; path_raw has the exact bytes of a path that is no Unicode, else null.
+    total: all matches, counted when asked for."""
 
     hits: DataFrame
     matches: DataFrame
@@ -47,8 +49,10 @@ class Engine:
         # deep pages are range-sorted: a top-k keeps offset + limit rows on the heap
         spark.conf.set("spark.sql.execution.topKSortFallbackThreshold", str(TOP_K))
         self.volumes = [v for v in volumes.collect() if v.is_fixed and v.is_ntfs]
-        ok = paths.filter("status = 'Ok'")
-        self.small = ok.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
+        # an entry below a directory is one more on the way, and so is the root
+        ok = paths.filter("status = 'Ok'").filter(F.col("depth") + 2 <= MOST_HOPS)
+        rows, size = ok.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("path") + F.octet_length("path_fold")), F.lit(0))).first()
+        self.small = rows <= BROADCAST_PATHS and size <= BROADCAST_BYTES
         self.ok = F.broadcast(ok) if self.small else ok
 
     @staticmethod
@@ -74,7 +78,7 @@ class Engine:
         targets = self.route(scope)
         mounts = {v.volume: self.mount(v).rstrip("\\") for v, _ in targets}
         rows = self.entries.filter(F.col("volume").isin(list(mounts)) & F.col("parent_frn").isNotNull() & entry_predicate(query))
-        dirs = self.ok.select(F.col("volume").alias("_v"), F.col("frn").alias("_f"), F.col("path").alias("dir_path"), F.col("path_fold").alias("dir_path_fold"))
+        dirs = self.ok.select(F.col("volume").alias("_v"), F.col("frn").alias("_f"), F.col("path").alias("dir_path"), F.col("path_fold").alias("dir_path_fold"), F.col("path_raw").alias("dir_path_raw"))
         rows = rows.join(dirs, (F.col("volume") == F.col("_v")) & (F.col("parent_frn") == F.col("_f"))).drop("_v", "_f")
         parts = targets[0][1] if scope is not None and targets else []
         if parts:
@@ -111,16 +115,31 @@ class Engine:
         if limit is not None:
             page = page.limit(limit)
         null = F.lit(None).cast("bigint")
+        exact = lambda raw, text: F.coalesce(raw, F.encode(text, "utf-8"))
+        lead = F.encode(F.when(F.col("mount") != "", F.concat("mount", F.lit("\\"))).otherwise(F.lit("")), "utf-8")
+        above = F.when(F.col("dir_path") == "", F.lit(b"")).otherwise(F.concat(exact(F.col("dir_path_raw"), F.col("dir_path")), F.lit(b"\\")))
+        whole = F.concat(lead, above, exact(F.col("name_raw"), F.col("name")))
         hits = page.select(
-            F.concat_ws("\\", F.when(F.col("mount") != "", F.col("mount")), "path_in_volume").alias("path"), "is_dir",
+            F.concat_ws("\\", F.when(F.col("mount") != "", F.col("mount")), "path_in_volume").alias("path"),
+            F.when(F.col("non_unicode") | F.col("dir_path_raw").isNotNull(), whole).alias("path_raw"), "is_dir",
             (F.col("size") if want_size else null).alias("size"), (F.col("mtime_ft") if want_mtime else null).alias("mtime_ft"),
         )
         of = [v for v, _ in self.route(scope)]
         return Result(hits, found, any(v.phase not in COMPLETE for v in of), any(bool(v.metadata_pending) for v in of), max((v.generation or 0 for v in of), default=0))
 
-    def status(self) -> DataFrame:
-        """Entries per volume (with the two synthetic rows each), phase, readiness."""
+    def lookup(self, volume: str, frn: int) -> DataFrame:
+        """All links of a reference, with their directory's path; none if its record number has another tenant by now."""
+        found = self.entries.filter((F.col("volume") == volume) & (F.col("frn") == F.lit(frn)) & ~F.col("is_placeholder"))
+        dirs = self.ok.select(F.col("volume").alias("_v"), F.col("frn").alias("_f"), F.col("path").alias("dir_path"))
+        return found.join(dirs, (F.col("volume") == F.col("_v")) & (F.col("parent_frn") == F.col("_f")), "left").drop("_v", "_f")
+
+    def status(self, drift: DataFrame | None = None) -> DataFrame:
+        """Entries per volume (with the two synthetic rows each), phase, readiness, and counters of drift (volume, ...) if given."""
         counts = self.entries.groupBy("volume").agg((F.count("*") + 2).alias("entries"), F.sum(F.col("is_placeholder").cast("long")).alias("placeholders"))
-        rows = [(v.volume, self.mount(v), v.phase, v.phase_reason, bool(v.metadata_pending), v.phase in COMPLETE) for v in self.volumes]
-        known = self.spark.createDataFrame(rows, "volume string, mount string, phase string, phase_reason string, metadata_pending boolean, ready boolean")
-        return F.broadcast(known).join(counts, "volume", "left").withColumn("entries", F.coalesce("entries", F.lit(2).cast("long")))
+        rows = [(v.volume, self.mount(v), v.phase, phase_text(v.phase, v.phase_reason), v.phase_reason, bool(v.metadata_pending), v.phase in COMPLETE, v.generation) for v in self.volumes]
+        known = self.spark.createDataFrame(rows, "volume string, mount string, phase string, phase_text string, phase_reason string, metadata_pending boolean, ready boolean, generation bigint")
+        out = F.broadcast(known).join(counts, "volume", "left").withColumn("entries", F.coalesce("entries", F.lit(2).cast("long")))
+        if drift is None:
+            return out
+        names = [c for c in drift.columns if c != "volume"]
+        return out.join(drift, "volume", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in names})

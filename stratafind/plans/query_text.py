@@ -71,9 +71,9 @@ def tokens(text: str) -> list[tuple[str, bool]]:
 
 def byte_count(text: str) -> int:
     """"10mb" and the like; integers of 64 bits."""
-    low = text.lower()
+    low = text.strip().lower()
     unit = next((u for u in UNITS if low.endswith(u)), "")
-    digits = low[: len(low) - len(unit)].removeprefix("+")
+    digits = low[: len(low) - len(unit)].strip().removeprefix("+")
     if not digits or not digits.isascii() or not digits.isdigit():
         raise Malformed(f"size: {text!r}")
     value = int(digits) * UNITS.get(unit, 1)
@@ -84,15 +84,14 @@ def byte_count(text: str) -> int:
 
 def size_range(text: str) -> tuple[int, int]:
     """Inclusive bounds of a size filter."""
+    text = text.strip()
     low = text.lower()
     if low in NAMED_SIZES:
         least, most = NAMED_SIZES[low]
         return least, MAX_U64 if most is None else most
     if ".." in text:
         a, b = text.split("..", 1)
-        if not a and not b:
-            raise Malformed("size: empty range")
-        return byte_count(a) if a else 0, byte_count(b) if b else MAX_U64
+        return byte_count(a) if a.strip() else 0, byte_count(b) if b.strip() else MAX_U64
     for mark in (">=", "<=", ">", "<", "="):
         if text.startswith(mark):
             value = byte_count(text[len(mark) :])
@@ -138,8 +137,9 @@ def parse_query(text: str, match_case: bool = False) -> ParsedQuery:
             else:
                 bare(word)
         elif name == "ext":
+            # a list without any member leaves an earlier one as it is
             given = [x for x in value.split(";") if x]
-            query.extensions = [fold_text(x.lstrip(".")) for x in given]
+            query.extensions = [fold_text(x.lstrip(".")) for x in given] or query.extensions
         elif name == "size":
             query.size = size_range(value)
         elif name == "path":

@@ -30,7 +30,7 @@ def engine(spark: SparkSession, sf_dir: str, lose: int = 0) -> Engine:
         folder = f"{work_folder(spark)}/entries"
         rows.write.partitionBy("volume").parquet(folder)
         entries = spark.read.schema(rows.schema).parquet(folder)
-        _engines[key] = Engine(spark, entries, dir_paths(entries, adapters.ROOT, names_are_ascii=True), adapters.volumes(spark))
+        _engines[key] = Engine(spark, entries, dir_paths(entries, adapters.ROOT), adapters.volumes(spark))
     return _engines[key]
 
 
@@ -64,6 +64,7 @@ def _tree(lose: str = "", d: bool = True) -> str:
 
 
 TREE = _tree()
+SHOWN = ("path", "is_dir", "size", "mtime_ft")
 HITS = "SELECT path, is_dir, size, mtime_ft FROM h WHERE "
 _ORDER = {
     "name": "low {d}, volume {d}, inside {d}",
@@ -77,7 +78,7 @@ def _search(name: str, text: str, where: str, **how) -> None:
     """A search and the condition that it stands for."""
 
     def run(spark, sf_dir):
-        return engine(spark, sf_dir).query(text, **how).hits
+        return engine(spark, sf_dir).query(text, **how).hits.select(*SHOWN)
 
     QUERIES[name] = run
     tail = ""
@@ -104,6 +105,9 @@ _search("size_range", "size:10kb..100kb", "size BETWEEN 10240 AND 102400", sort=
 _search("size_named", "size:tiny", "size BETWEEN 0 AND 10240", sort=None)
 _search("size_cmp", "size:>=200000", "size >= 200000", sort=None)
 _search("size_unknown_excluded", "size:>=0", "size IS NOT NULL", sort=None)
+_search("ext_last_nonempty", "ext:urgent ext:;", "ext = 'urgent'", sort=None)
+_search("size_open_both", "size:..", "size IS NOT NULL", sort=None)
+_search("sorted_without_limit", "file:", "NOT is_dir", sort=Sort("path"))
 _search("kind_file", "file:urgent", "NOT is_dir AND contains(low, 'urgent')", sort=None)
 _search("kind_folder", "folder:", "is_dir", sort=None)
 _search("path_term", "path:europe high", "contains(low_path, 'europe') AND contains(low, 'high')", sort=None)
@@ -164,7 +168,7 @@ _LOST = _tree("WHERE c_custkey % 50 <> 0", d=False)
 
 @query(_LOST + "SELECT path, is_dir, size, mtime_ft FROM h WHERE contains(low, 'high')")
 def orphans_excluded(spark, sf_dir):
-    return engine(spark, sf_dir, 50).query("high", sort=None).hits
+    return engine(spark, sf_dir, 50).query("high", sort=None).hits.select(*SHOWN)
 
 
 @query(_LOST + "SELECT e.name FROM e WHERE NOT EXISTS (SELECT 1 FROM e d WHERE d.is_dir AND d.frn = e.parent_frn) AND e.parent_frn <> ''")
@@ -178,7 +182,7 @@ def cycle_status(spark, sf_dir):
     more = [(900000001, 900000002, "a"), (900000002, 900000001, "b"), (900000003, 900000001, "c"), (900000004, 77, "d")]
     rows = spark.createDataFrame([("C", f, p, n, True, False, None, None) for f, p, n in more], "volume string, frn bigint, parent_frn bigint, name string, is_dir boolean, is_placeholder boolean, size bigint, mtime_ft bigint")
     entries = adapters.drive_c(spark, sf_dir).unionByName(changes.completed(rows, True))
-    return dir_paths(entries, adapters.ROOT, True).filter("status <> 'Ok'").select("frn", "status")
+    return dir_paths(entries, adapters.ROOT).filter("status <> 'Ok'").select("frn", "status")
 
 
 _J = """WITH j AS (SELECT event_id AS usn, 281474976710656 * (1 + event_id // 5000) + 100 + user_id AS frn, 100 + user_id AS record_no,
@@ -298,10 +302,203 @@ def stream_journal_final_state(spark, sf_dir):
     return table.read(ENTRIES).select("record_no", "frn", "name")
 
 
-@query("""WITH w AS (SELECT DISTINCT unnest(string_split(regexp_replace(url, '^[a-z]+://', ''), '/')) AS name FROM pages) SELECT name FROM w WHERE name <> ''""")
+@query("""WITH RECURSIVE u AS (SELECT DISTINCT list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> '') AS p FROM pages),
+ e AS (SELECT DISTINCT p[1:i] AS p FROM u, unnest(range(1, len(p) + 1)) t(i))
+ SELECT array_to_string(p, chr(92)) AS path, p[len(p)] AS name, CASE WHEN len(p) > 1 THEN array_to_string(p[1:len(p) - 1], chr(92)) END AS parent,
+  EXISTS (SELECT 1 FROM e c WHERE len(c.p) = len(e.p) + 1 AND c.p[1:len(e.p)] = e.p) AS is_dir FROM e""")
 def path_import(spark, sf_dir):
-    """URLs as a path dump: every prefix an entry, directories found as parents."""
+    """URLs as a path dump: every prefix an entry, directories found as parents; parents by their reference."""
     from .sources.records import entries_from_paths
 
     pages = adapters.read(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
-    return entries_from_paths(pages).select("name").distinct()
+    rows = entries_from_paths(pages)
+    above = rows.select(F.col("frn").alias("f"), F.col("path").alias("parent"))
+    return rows.join(above, rows["parent_frn"] == above["f"], "left").select("path", "name", "parent", "is_dir")
+
+
+# ---- plans of the command line
+
+
+def _line(size: bool, date: bool, quote: str, first: str = "size") -> str:
+    """SQL of a CSV line; dates half past five hours east of UTC."""
+    cells = {
+        "size": "CASE WHEN is_dir OR size IS NULL THEN '' ELSE CAST(size AS VARCHAR) END || ','" if size else "",
+        "date": "coalesce(strftime(make_timestamp((mtime_ft // 10 - 11644473600000000)::BIGINT) + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S'), '') || ','" if date else "",
+    }
+    order = [first, *[c for c in cells if c != first]]
+    name = {"always": "'\"' || replace(path, '\"', '\"\"') || '\"'", "needed": "CASE WHEN instr(path, ',') + instr(path, '\"') > 0 THEN '\"' || replace(path, '\"', '\"\"') || '\"' ELSE path END"}[quote]
+    return TREE + "SELECT " + " || ".join([*[cells[c] for c in order if cells[c]], name]) + " AS line FROM h WHERE "
+
+
+def _plan(name: str, argv: list[str], sql: str) -> None:
+    def run(spark, sf_dir):
+        from .plans.arguments import parse_arguments
+        from .plans.runner import csv_lines
+
+        return csv_lines(parse_arguments(argv), engine(spark, sf_dir), "+05:30")
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+_plan("plan_csv_size_date", ["-size", "-dm", "urgent"], _line(True, True, "always") + "contains(low, 'urgent')")
+_plan("plan_csv_date_size_plain", ["-dm", "-size", "-no-double-quote", "ext:low"], _line(True, True, "needed", "date") + "ext = 'low'")
+_plan("plan_csv_name_only", ["folder:"], _line(False, False, "always") + "is_dir")
+_plan("plan_csv_scope_sort_limit", ["-path", "c:/europe", "-size", "-sort-size", "-n", "40", "file:"], _line(True, False, "always") + "volume = 'C' AND NOT is_dir AND starts_with(low_path, 'europe' || chr(92)) ORDER BY " + _ORDER["size"].format(d="DESC") + " LIMIT 40")
+_plan("plan_csv_case", ["-match-case", "-dm", "Order_1"], _line(False, True, "always") + "contains(name, 'Order_1')")
+
+
+# ---- further operators
+
+
+@query(TREE + "SELECT name, inside AS path_in_volume FROM h WHERE volume = 'C' AND frn = '1000007'")
+def frn_lookup(spark, sf_dir):
+    found = engine(spark, sf_dir).lookup("C", 1_000_007)
+    return found.select("name", F.concat_ws("\\", "dir_path", "name").alias("path_in_volume"))
+
+
+@query("SELECT 0 AS links WHERE FALSE")
+def frn_lookup_stale(spark, sf_dir):
+    """The same record number under another sequence finds nothing."""
+    return engine(spark, sf_dir).lookup("C", 1_000_007 | 1 << 48).select(F.lit(0).alias("links"))
+
+
+@query(TREE + "SELECT path, low AS folded FROM h")
+def folded_file_names(spark, sf_dir):
+    from .functions.text import folded_file_name
+
+    hits = engine(spark, sf_dir).query("", sort=None).hits
+    return hits.select("path", folded_file_name(F.col("path")).alias("folded"))
+
+
+_WORDS = ("ÉCOLE.TXT", "Straße", "ΑΣ", "Ж\u0416ж", "naïve", "ÀÉÎÕÜ", "日本", "İ", "x\U0001f600Y", "ẞ", "ASCII")
+_FOLDED = ("école.txt", "straße", "ασ", "жжж", "naïve", "àéîõü", "日本", "i\u0307", "x\U0001f600y", "ß", "ascii")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(_WORDS, _FOLDED)) + ") t(name, folded)")
+def folding_rule(spark, sf_dir):
+    """Letters of several scripts, one by one; accents stay."""
+    from .functions.text import with_folded
+
+    return with_folded(spark.createDataFrame([(w,) for w in _WORDS], "name string"), "name", "folded")
+
+
+@query("SELECT 700000000 + i AS frn, CASE WHEN i <= 39 THEN 'Ok' ELSE 'CycleDetected' END AS status, CAST(CASE WHEN i <= 39 THEN i END AS INTEGER) AS depth FROM range(1, 71) t(i)")
+def deep_chain_excluded(spark, sf_dir):
+    """A chain of 70 directories where at most 40 entries may lie on a way (production: 4,096)."""
+    i = F.col("id")
+    rows = spark.range(1, 71).select(
+        F.lit("C").alias("volume"), (700_000_000 + i).alias("frn"), F.when(i == 1, F.lit(adapters.ROOT)).otherwise(700_000_000 + i - 1).cast("bigint").alias("parent_frn"),
+        F.concat(F.lit("d"), i).alias("name"), F.lit(True).alias("is_dir"), F.lit(False).alias("is_placeholder"), F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("mtime_ft"),
+    )
+    entries = adapters.drive_c(spark, sf_dir).filter("is_dir").unionByName(changes.completed(rows, True))
+    return dir_paths(entries, adapters.ROOT, most_hops=40).filter("frn > 700000000").select("frn", "status", "depth")
+
+
+@query(TREE + "SELECT path, is_dir, size, mtime_ft FROM h WHERE volume = 'C' AND contains(low, 'a')")
+def placeholders_excluded(spark, sf_dir):
+    """Placeholders among the entries are never found."""
+    base = adapters.drive_c(spark, sf_dir)
+    ghosts = base.filter("is_dir").withColumn("is_placeholder", F.lit(True)).withColumn("frn", F.col("frn") + 800_000_000)
+    entries = keep(base.unionByName(ghosts), f"{work_folder(spark)}/entries")
+    return Engine(spark, entries, dir_paths(entries, adapters.ROOT), adapters.volumes(spark, ("C",))).query("a", sort=None).hits.select(*SHOWN)
+
+
+_PHASES = [("Live", None), ("Snapshot", None), ("Offline", None), ("Rescanning", None), ("Bootstrapping", None), ("Failed", "no access")]
+
+
+def _in_phases(spark, sf_dir) -> Engine:
+    from .schema import VOLUMES
+
+    e = engine(spark, sf_dir)
+    rows = [(f"V{i}", f"g{i}", [f"{'CDEFGH'[i]}:"], p, why, i % 2 == 1, True, True, 1) for i, (p, why) in enumerate(_PHASES)]
+    return Engine(spark, e.entries, e.paths, spark.createDataFrame(rows, VOLUMES))
+
+
+@query("""SELECT * FROM (VALUES ('V0', 'live', TRUE, FALSE), ('V1', 'snapshot (no journal; cannot track changes)', TRUE, TRUE), ('V2', 'offline', FALSE, FALSE),
+ ('V3', 'rescanning', FALSE, TRUE), ('V4', 'bootstrapping', FALSE, FALSE), ('V5', 'failed (no access)', FALSE, TRUE)) t(volume, phase_text, ready, metadata_pending)""")
+def status_phases(spark, sf_dir):
+    return _in_phases(spark, sf_dir).status().select("volume", "phase_text", "ready", "metadata_pending")
+
+
+@query("SELECT * FROM (VALUES ('all', TRUE, TRUE), ('C:/', FALSE, FALSE), ('D:/x', FALSE, TRUE), ('E:/', TRUE, FALSE), ('Q:/', FALSE, FALSE)) t(scope, incomplete, pending)")
+def result_flags(spark, sf_dir):
+    """Whether results may be incomplete or metadata are pending, over the volumes that a scope reaches."""
+    e = _in_phases(spark, sf_dir)
+    found = [(s, e.query("x", scope=None if s == "all" else s, sort=None)) for s in ("all", "C:/", "D:/x", "E:/", "Q:/")]
+    return spark.createDataFrame([(s, r.volumes_incomplete, r.metadata_pending) for s, r in found], "scope string, incomplete boolean, pending boolean")
+
+
+@query(_J + """, r AS (SELECT usn, op, name, frn FROM j)
+ SELECT usn, name FROM (SELECT event_id AS usn, event_type || '_' || user_id || '_' || event_id || '.log' AS name, event_type FROM events) WHERE usn >= 1234 AND event_type <> 'view'""")
+def journal_from_cursor(spark, sf_dir):
+    from .streaming.journal import journal_since
+
+    return journal_since(adapters.journal(spark, sf_dir), 1234).select("usn", "name")
+
+
+_NESTED = """WITH j AS (SELECT event_id AS usn, 281474976710656 * (1 + event_id // 5000) + 100 + user_id AS frn, 281474976710656 + 100 + (user_id * 7 + 3) % 150 AS parent,
+  event_type AS t FROM events),
+ v AS (SELECT usn, 0 AS step, parent AS frn, 'Ensure' AS kind FROM j WHERE t IN ('signup', 'purchase')
+  UNION ALL SELECT usn, 1, frn, 'Claim' FROM j WHERE t IN ('signup', 'purchase') UNION ALL SELECT usn, 1, frn, 'Kill' FROM j WHERE t = 'error'),
+ w AS (SELECT *, lag(frn) OVER k AS pf, lag(kind) OVER k AS pk FROM v WINDOW k AS (PARTITION BY frn % 281474976710656 ORDER BY usn, step)),
+ x AS (SELECT *, pk IS NOT NULL AND pk <> 'Kill' AS live FROM w) """
+
+
+def _nested_journal(spark, sf_dir) -> DataFrame:
+    """The journal with files below other files' references, and views as first halves of renames."""
+    user = (F.col("frn").bitwiseAND(F.lit((1 << 48) - 1)) - 100).cast("bigint")
+    reason = F.when(F.col("name").startswith("view"), F.lit(0x1000)).otherwise(F.col("reason")).cast("bigint")
+    return adapters.journal(spark, sf_dir).withColumn("parent_frn", F.lit(1 << 48) + 100 + (user * 7 + 3) % 150).withColumn("reason", reason)
+
+
+@query(_NESTED + """SELECT count(*) FILTER (WHERE kind = 'Ensure' AND NOT (live AND pf = frn)) AS placeholders_created,
+  count(*) FILTER (WHERE kind <> 'Kill' AND live AND pf <> frn) AS stale_slots, count(*) FILTER (WHERE kind = 'Kill' AND NOT (live AND pf = frn)) AS delete_of_unknown,
+  (SELECT count(*) FROM j WHERE t = 'view') AS rename_old_seen FROM x""")
+def journal_counters(spark, sf_dir):
+    return changes.latest_state(_nested_journal(spark, sf_dir), adapters.ROOT)[1].select("placeholders_created", "stale_slots", "delete_of_unknown", "rename_old_seen")
+
+
+@query("""SELECT 1000000 + c_custkey AS frn, hex(c_name) || CASE WHEN c_custkey % 7 = 0 THEN 'EDA080' ELSE '' END AS exact, c_custkey % 7 = 0 AS non_unicode,
+  CASE WHEN c_custkey % 7 = 0 THEN lower(c_name) || 'x' ELSE lower(c_name) END AS name_fold FROM customer WHERE c_custkey % 10 <> 1
+ UNION ALL SELECT 1000000 + c_custkey, hex('Moved_' || c_custkey), FALSE, 'moved_' || c_custkey FROM customer WHERE c_custkey % 10 = 1""")
+def raw_names_after_journal(spark, sf_dir):
+    """Names that are no Unicode, at rest while a batch renames every tenth row: their exact bytes stay."""
+    base = adapters.drive_c(spark, sf_dir).filter("frn between 1000000 and 99999999")
+    odd = (F.col("frn") - 1_000_000) % 7 == 0
+    raw = F.when(odd, F.concat(F.encode("name", "utf-8"), F.lit(b"\xed\xa0\x80")))
+    base = base.withColumns({"name_raw": raw, "non_unicode": odd, "name_fold": F.when(odd, F.concat("name_fold", F.lit("x"))).otherwise(F.col("name_fold"))})
+    key = F.col("frn") - 1_000_000
+    journal = base.filter(key % 10 == 1).select(
+        "volume", F.monotonically_increasing_id().alias("usn"), "frn", "parent_frn", F.lit(0x2000).cast("bigint").alias("reason"), F.lit(16).cast("bigint").alias("attributes"),
+        F.concat(F.lit("Moved_"), key).alias("name"), F.lit(None).cast("binary").alias("name_raw"),
+    )
+    out = changes.apply_journal(base, journal, adapters.ROOT).filter("not is_placeholder")
+    return out.select("frn", F.hex(F.coalesce("name_raw", F.encode("name", "utf-8"))).alias("exact"), "non_unicode", "name_fold")
+
+
+@query("SELECT 281474976710656 + 5000 + c_custkey AS frn, 'new_' || c_name AS name, c_custkey % 2 = 0 AS is_dir FROM customer")
+def snapshot_ingest(spark, sf_dir):
+    """An enumeration in which every record number had another tenant before."""
+    c = F.col
+    t = adapters.read(spark, sf_dir, "customer")
+    record = lambda seq, place, name: t.select(
+        F.lit("C").alias("volume"), (c("c_custkey") + place * 1_000_000_000).cast("bigint").alias("position"), F.lit(0).alias("place"), (F.lit(seq << 48) + 5000 + c("c_custkey")).cast("bigint").alias("frn"),
+        F.lit(adapters.ROOT).cast("bigint").alias("parent_frn"), F.when(c("c_custkey") % 2 == 0, 16).otherwise(32).cast("bigint").alias("attributes"), F.concat(F.lit(name), "c_name").alias("name"), F.lit(None).cast("binary").alias("name_raw"),
+    )
+    return changes.snapshot(record(1, 2, "new_").unionByName(record(3, 1, "old_"))).select("frn", "name", "is_dir")
+
+
+@query(_FINAL)
+def compaction_keeps_rows(spark, sf_dir):
+    """The journal in two batches into an index in buckets, which is then compacted."""
+    from .index import Index
+
+    index = Index(spark, f"{work_folder(spark)}/index", adapters.volumes(spark, ("C",)), adapters.ROOT, buckets=8)
+    journal = adapters.journal(spark, sf_dir)
+    index.apply_journal(journal.filter("usn % 3 < 3 and usn < 2000"))
+    index.apply_journal(journal.filter("usn >= 2000"))
+    from .schema import ENTRIES
+
+    index.table.compact(ENTRIES)
+    index.table.vacuum(1)
+    return index.entries.select("record_no", "frn", "name")

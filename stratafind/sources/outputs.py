@@ -7,7 +7,7 @@ import struct
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.filetime import format_utc
+from ..functions.filetime import format_local, format_utc
 from ..functions.text import needs_quotes, to_utf16
 
 # Header names, page and frame formats.
@@ -27,21 +27,28 @@ def csv_line(columns: list[str], double_quote: bool = True, mtime: Column | None
     return F.concat(*[F.concat(cell[c], F.lit(",")) for c in columns], name)
 
 
-def write_csv(hits: DataFrame, path: str, columns: list[str] = (), bom: bool = True, header: bool = True, double_quote: bool = True) -> None:
-    """Streams ordered hits to one local file, a partition at a time."""
-    with open(path, "wb") as out:
-        if bom:
-            out.write(b"\xef\xbb\xbf")
-        if header:
-            out.write("".join(HEADERS[c] + "," for c in columns).encode() + b"Filename\r\n")
-        for row in hits.select(csv_line(list(columns), double_quote).alias("line")).toLocalIterator(prefetchPartitions=True):
-            out.write(row.line.encode("utf-8") + b"\r\n")
+def csv_rows(hits: DataFrame, columns: list[str] = (), double_quote: bool = True, zone: str | None = "UTC") -> DataFrame:
+    """The lines of hits, in their order; dates on the clock of zone (None: the session's)."""
+    return hits.select(csv_line(list(columns), double_quote, format_local(F.col("mtime_ft"), zone)).alias("line"))
+
+
+def write_csv(hits: DataFrame, out, columns: list[str] = (), bom: bool = True, header: bool = True, double_quote: bool = True, zone: str | None = "UTC") -> None:
+    """Streams ordered hits to an open file or to a path, a partition at a time."""
+    if isinstance(out, str):
+        with open(out, "wb") as file:
+            return write_csv(hits, file, columns, bom, header, double_quote, zone)
+    if bom:
+        out.write(b"\xef\xbb\xbf")
+    if header:
+        out.write("".join(HEADERS[c] + "," for c in columns).encode() + b"Filename\r\n")
+    for row in csv_rows(hits, columns, double_quote, zone).toLocalIterator(prefetchPartitions=True):
+        out.write(row.line.encode("utf-8") + b"\r\n")
 
 
 def hit_dict(row) -> dict:
     """A hit as JSON fields; absent values are left out."""
     out = {"path": row["path"]}
-    if "path_raw" in row and row["path_raw"] is not None:
+    if row["path_raw"] is not None:
         out["path_u16"] = to_utf16(bytes(row["path_raw"]))
     for c in ("size", "mtime_ft"):
         if row[c] is not None:
@@ -86,7 +93,7 @@ def pages(items, total: int, generation: int, incomplete: bool, pending: bool):
 
 
 def hit_pages(hits: DataFrame, total: int, generation: int = 0, incomplete: bool = False, pending: bool = False):
-    rows = ((r.path.encode("utf-8", "surrogatepass"), r.is_dir, r["size"], r.mtime_ft) for r in hits.toLocalIterator())
+    rows = ((r.path.encode() if r.path_raw is None else bytes(r.path_raw), r.is_dir, r["size"], r.mtime_ft) for r in hits.toLocalIterator())
     return pages(rows, total, generation, incomplete, pending)
 
 

@@ -7,7 +7,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import from_utf16
-from ..schema import DIRECTORY, JOURNAL, LAYOUT, MAX_I64
+from ..schema import DIRECTORY, JOURNAL, LAYOUT, MAX_I64, RECORD_MASK, SNAPSHOT
 
 # Record layouts.
 V2, V3 = struct.Struct("<IHHQQqqIIIIHH"), struct.Struct("<IHHQQQQqqIIIIHH")
@@ -83,7 +83,7 @@ def layout_buffer(data: bytes) -> list[dict]:
             if step + LAYOUT_NAME.size + size > len(data):
                 raise DecodeError("name leaves the buffer")
             name, raw = from_utf16(_units(data, step + LAYOUT_NAME.size, size))
-            names.append({"parent_frn": _signed(parent), "name": name, "name_lossy": raw is not None, "dos_only": bool(flags & NAME_DOS) and not flags & NAME_PRIMARY})
+            names.append({"parent_frn": _signed(parent), "name": name, "name_raw": raw, "name_lossy": raw is not None, "dos_only": bool(flags & NAME_DOS) and not flags & NAME_PRIMARY})
             place = next_name
             step += next_name
         mtime = None
@@ -106,8 +106,14 @@ def layout_buffer(data: bytes) -> list[dict]:
     return files
 
 
+def _buffers(spark: SparkSession, path: str) -> DataFrame:
+    """(volume, path, content) of <path>/<volume>/* files, one buffer each."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("volume"), "path", "content")
+
+
 def _decoded(spark: SparkSession, files: DataFrame, decode, schema: str) -> DataFrame:
-    """files: binaryFile rows, one buffer each; the volume is the name of the folder."""
+    """Rows of all buffers that can be decoded; of a damaged one nothing is used (see scan_report)."""
     import pandas as pd
 
     names = [f.name for f in spark.createDataFrame([], schema).schema]
@@ -115,25 +121,66 @@ def _decoded(spark: SparkSession, files: DataFrame, decode, schema: str) -> Data
     def run(batches):
         for batch in batches:
             for volume, content in zip(batch["volume"], batch["content"]):
-                rows = [{"volume": volume, **r} for r in decode(bytes(content))]
+                try:
+                    rows = [{"volume": volume, **r} for r in decode(bytes(content))]
+                except DecodeError:
+                    continue
                 if rows:
                     yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
 
-    volume = F.element_at(F.split("path", "/"), -2)
-    return files.select(volume.alias("volume"), "content").mapInPandas(run, schema)
+    return files.select("volume", "content").mapInPandas(run, schema)
+
+
+def _journal_rows(data: bytes) -> list[dict]:
+    return journal_buffer(data)[1]
+
+
+def _snapshot_rows(data: bytes) -> list[dict]:
+    """Records of an enumeration buffer; what orders all of them is the buffer's next record number and the place in it."""
+    following, rows, _ = journal_buffer(data)
+    keep = ("frn", "parent_frn", "attributes", "name", "name_raw")
+    return [{"position": following & RECORD_MASK, "place": i, **{c: r[c] for c in keep}} for i, r in enumerate(rows)]
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
     """JOURNAL rows of <path>/<volume>/* buffers; unknown record versions are left out."""
-    return _decoded(spark, spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), lambda b: journal_buffer(b)[1], JOURNAL)
+    return _decoded(spark, _buffers(spark, path), _journal_rows, JOURNAL)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """SNAPSHOT rows of <path>/<volume>/* enumeration buffers, whose header is where the next one starts."""
+    return _decoded(spark, _buffers(spark, path), _snapshot_rows, SNAPSHOT)
 
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    return _decoded(spark, spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), layout_buffer, LAYOUT)
+    return _decoded(spark, _buffers(spark, path), layout_buffer, LAYOUT)
+
+
+def scan_report(spark: SparkSession, path: str, kind: str = "journal") -> DataFrame:
+    """Per volume: buffers, records, skipped records by version, and rejected buffers by reason."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            for volume, content in zip(batch["volume"], batch["content"]):
+                found, records, skipped, error = [(volume, "buffers", "", 1)], 0, {}, None
+                try:
+                    if kind == "layout":
+                        records = len(layout_buffer(bytes(content)))
+                    else:
+                        _, rows, skipped = journal_buffer(bytes(content))
+                        records = len(rows)
+                except DecodeError as e:
+                    error = str(e)
+                found += [(volume, "records", "", records)] + [(volume, "skipped", str(v), n) for v, n in skipped.items()] + [(volume, "rejected", error, 1)] * (error is not None)
+                yield pd.DataFrame(found, columns=["volume", "what", "detail", "n"])
+
+    rows = _buffers(spark, path).select("volume", "content").mapInPandas(run, "volume string, what string, detail string, n long")
+    return rows.groupBy("volume", "what", "detail").agg(F.sum("n").alias("n"))
 
 
 def entries_from_paths(paths: DataFrame) -> DataFrame:
-    """(path) dump to (volume '', frn, parent_frn, name, is_dir): every prefix is an entry, one that
+    """(path) dump to (frn, parent_frn, name, is_dir, path): every prefix is an entry, one that
     another lies below is a directory. References are hashes of the paths, the same on any rerun."""
     parts = F.filter(F.split(F.translate("path", "/", "\\"), r"\\"), lambda x: x != "")
     prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.slice("p", F.lit(1), i)))
@@ -142,6 +189,6 @@ def entries_from_paths(paths: DataFrame) -> DataFrame:
     parent = F.slice("p", F.lit(1), F.size("p") - 1)
     from ..operators.paths import ROOT_FRN
 
-    rows = rows.select(ref(F.col("p")).alias("frn"), F.when(F.size("p") > 1, ref(parent)).otherwise(F.lit(ROOT_FRN)).alias("parent_frn"), F.element_at("p", -1).alias("name"))
+    rows = rows.select(ref(F.col("p")).alias("frn"), F.when(F.size("p") > 1, ref(parent)).otherwise(F.lit(ROOT_FRN)).alias("parent_frn"), F.element_at("p", -1).alias("name"), F.array_join("p", "\\").alias("path"))
     above = rows.select(F.col("parent_frn").alias("d")).distinct().withColumn("is_dir", F.lit(True))
-    return rows.join(above, F.col("frn") == F.col("d"), "left").select("frn", "parent_frn", "name", F.coalesce("is_dir", F.lit(False)).alias("is_dir"))
+    return rows.join(above, F.col("frn") == F.col("d"), "left").select("frn", "parent_frn", "name", F.coalesce("is_dir", F.lit(False)).alias("is_dir"), "path")

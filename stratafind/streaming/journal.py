@@ -6,31 +6,44 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.changes import MASK, apply_journal
+from ..operators.changes import MASK, apply_journal, touched_records
 from ..operators.paths import ROOT_FRN
 from ..schema import COMPLETE, ENTRIES, JOURNAL
 from ..tables import VersionedTable
 
-# Supervision policy in seconds and counts.
+# Supervision policy in seconds and counts; below, the names of outcomes, actions and phases.
 BEAT_STALL, BUSY_STALL, MAX_REVIVES, HEALTHY_AFTER, BEAT_FRESH = 300, 30 * 60, 3, 10 * 60, 60
 OFFLINE_AFTER, RESCAN_AFTER, BACKOFF_FIRST, BACKOFF_MOST, MAX_RESCANS = 5, 30, 0.5, 30.0, 3
 
 
-def journal_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of journal files as a stream; records without a reason of interest are left out."""
-    rows = spark.readStream.schema(JOURNAL).option("maxFilesPerTrigger", 64).parquet(path)
-    return rows.filter(F.col("reason").bitwiseAND(F.lit(MASK)) != 0)
+def journal_since(rows: DataFrame, start_usn: int = 0, mask: int = MASK) -> DataFrame:
+    """Records of a journal, batch or stream, from a position on that have a reason of interest."""
+    return rows.filter((F.col("usn") >= start_usn) & (F.col("reason").bitwiseAND(F.lit(mask)) != 0))
+
+
+def journal_stream(spark: SparkSession, path: str, start_usn: int = 0) -> DataFrame:
+    """A folder of journal files as a stream, from a position on; records without a reason of interest are left out."""
+    return journal_since(spark.readStream.schema(JOURNAL).option("maxFilesPerTrigger", 64).parquet(path), start_usn)
 
 
 def merge_batch(table: VersionedTable, root_frn: int = ROOT_FRN):
-    """foreachBatch writer: one batch is applied as a whole; a repeated batch id is skipped."""
+    """foreachBatch writer: one batch is applied as a whole; a repeated batch id is skipped.
+
+    Only the buckets of the record numbers that the batch acts on are read and rewritten.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         state = table.state()
         if batch_id <= state["batch"]:
             return
-        last = batch.agg(F.max("usn")).first()[0]
-        table.publish(apply_journal(table.read(ENTRIES), batch, root_frn), batch_id, last if last is not None else state["cursor"] or 0)
+        batch = batch.persist()
+        try:
+            last = batch.agg(F.max("usn")).first()[0]
+            only = sorted(r[0] for r in touched_records(batch, root_frn).select(table.bucket()).distinct().collect())
+            cursor = last if last is not None else state["cursor"] or 0
+            table.publish(apply_journal(table.read(ENTRIES, only), batch, root_frn), batch_id, cursor, only)
+        finally:
+            batch.unpersist()
 
     return write
 
