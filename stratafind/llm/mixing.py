@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import WORD, Workspace, join_dimension
 
-#: Hash buckets per source; sums only are kept of them.
-BUCKETS = 65_536
+#: Hexadecimal digits by which the hash order is refined at a time (256 sums a source), and the
+#: rows in which a limit may fall before their order is looked at one by one.
+DIGITS, FEW = 2, 4_096
 
 
 def ranked_sources(work: Workspace, totals: DataFrame) -> DataFrame:
@@ -53,56 +54,83 @@ def water_fill(work: Workspace, totals: DataFrame, weights: list[float], share:
     return sources.select("source", "source_size", F.least("cap", F.col("weight") * F.lit(level)).alias("target"))
 
 
-def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    """Adds _size (words), _h (seeded hash) and _bucket."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return (
-        docs.withColumn("_size", size)
-        .withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_size")))
-        .withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)).cast("int"))
-    )
+def _sized(docs: DataFrame, seed: int, row: bool = False) -> DataFrame:
+    """(_doc_id, _source, _size, _h), and the whole row as _row: names of their own, whatever docs' columns are.
+
+    _h orders the documents of a source: the MD5 of seed, doc_id and the text's MD5.
+    """
+    size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
+    place = F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
+    own = [docs["doc_id"].alias("_doc_id"), docs["source"].alias("_source"), size.alias("_size"), F.md5(place.cast("binary")).alias("_h")]
+    return docs.select(*own, *[F.struct(*[docs[c] for c in docs.columns]).alias("_row")] * row)
 
 
 def _plan(work: Workspace, rows: DataFrame, weights, share: float, max_epochs: float) -> DataFrame:
-    """Per source: source_size, target, whole repetitions, and where the fractional one ends."""
-    sums = work.keep(rows.groupBy("source", "_bucket").agg(F.sum("_size").alias("size")), "sums")
-    totals = sums.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """Per source (_source): source_size, target, whole repetitions, and where the fractional one ends.
+
+    Hashes below `edge`, and those below `cut`, are inside the fraction; of the `copies` rows of
+    hash `cut` itself, `more` are. The limit is found digit by digit: at most 256 sums a source
+    are ordered at a time, and only rows below the prefix in which it falls go on.
+    """
+    digits, sums = DIGITS, _prefix_sums(rows, DIGITS)
+    sums = work.keep(sums, "sums")
+    totals = sums.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = water_fill(work, totals, list(weights), share, max_epochs)
     targets = targets.withColumn("whole", F.floor(epochs).cast("long")).withColumn("part", (epochs - F.floor(epochs)) * F.col("source_size"))
-    targets = work.keep(targets, "targets")
-    # The bucket of each source in which the fraction ends, with the words before it.
-    running = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
-    after = sums.withColumn("after", F.sum("size").over(running)).withColumn("before", F.col("after") - F.col("size"))
-    edge = (
-        join_dimension(after, targets.select("source", "part"), "source")
-        .filter(F.col("after") > F.col("part"))
-        .groupBy("source", "part")
-        .agg(F.min_by(F.struct("_bucket", "before"), "_bucket").alias("edge"))
-        .select("source", "part", F.col("edge._bucket").alias("edge"), F.col("edge.before").alias("before"))
-    )
-    edge = work.keep(edge, "edges")
-    # In that bucket, the last hash that is taken.
-    inside = W.partitionBy("source").orderBy("_h").rowsBetween(W.unboundedPreceding, 0)
-    cut = (
-        join_dimension(rows, edge, "source", "inner")
-        .filter(F.col("_bucket") == F.col("edge"))
-        .groupBy("source", "part", "before", "_h")
-        .agg(F.sum("_size").alias("size"))
-        .withColumn("middle", F.col("before") + F.sum("size").over(inside) - F.col("size") / 2)
-        .filter(F.col("middle") <= F.col("part"))
-        .groupBy("source")
-        .agg(F.max("_h").alias("cut"))
-    )
-    plan = join_dimension(targets, edge.select("source", "edge"), "source")
-    return work.keep(join_dimension(plan, cut, "source"), "plan")
-
-
-def _repeats(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Joins the plan and adds repeats: the whole repetitions, and one more below the cut."""
-    below = (F.col("_bucket") < F.col("edge")) | ((F.col("_bucket") == F.col("edge")) & F.coalesce(F.col("_h") <= F.col("cut"), F.lit(False)))
-    extra = F.when(F.col("edge").isNull(), F.col("part") > 0).otherwise(below)
-    return join_dimension(rows, plan, "source").withColumn("repeats", F.col("whole") + extra.cast("long"))
+    targets = work.keep(targets.withColumnRenamed("source", "_source"), "targets")
+    sums = join_dimension(sums, targets.filter("part > 0").select("_source", "part"), "_source", "inner").withColumn("base", F.lit(0.0))
+    while True:
+        running = W.partitionBy("_source").orderBy("prefix").rowsBetween(W.unboundedPreceding, 0)
+        after = sums.withColumn("after", F.col("base") + F.sum("size").over(running)).filter(F.col("after") > F.col("part"))
+        first = after.groupBy("_source", "part").agg(F.min_by(F.struct("prefix", (F.col("after") - F.col("size")).alias("base"), "n", "low", "high"), "prefix").alias("e"))
+        edge = work.keep(first.select("_source", "part", F.col("e.prefix").alias("edge"), F.col("e.base").alias("base"), F.col("e.n").alias("n"), (F.col("e.low") == F.col("e.high")).alias("one")), f"edge-{digits}")
+        most = edge.agg(F.max(F.when(~F.col("one"), F.col("n")))).first()[0] or 0
+        inside = join_dimension(rows, edge.select("_source", "part", "edge", "base"), "_source", "inner").filter(F.col("_h").startswith(F.col("edge")))
+        if most <= FEW or digits >= 32:
+            break
+        digits += DIGITS
+        sums = work.keep(_prefix_sums(inside, digits, "part", "base"), f"sums-{digits}")
+    # The few different hashes of that prefix, in order; rows of one hash are copies of one text.
+    same = inside.groupBy("_source", "part", "base", "_h").agg(F.max("_size").alias("size"), F.count("*").alias("copies"))
+    running = W.partitionBy("_source").orderBy("_h").rowsBetween(W.unboundedPreceding, 0)
+    left = F.col("part") - F.col("base") - (F.sum(F.col("size") * F.col("copies")).over(running) - F.col("size") * F.col("copies")) - F.col("size") / 2
+    same = same.filter("size > 0").withColumn("more", F.least(F.when(left >= 0, F.floor(left / F.col("size")) + 1).otherwise(0), F.col("copies")).cast("long"))
+    cut = same.filter("more > 0").groupBy("_source").agg(F.max_by(F.struct("_h", "more", "copies"), "_h").alias("c"))
+    cut = work.keep(cut.select("_source", F.col("c._h").alias("cut"), F.col("c.more").alias("more"), F.col("c.copies").alias("copies")), "cut")
+    plan = join_dimension(targets, edge.select("_source", "edge"), "_source")
+    return work.keep(join_dimension(plan, cut, "_source"), "plan")
+
+
+def _prefix_sums(rows: DataFrame, digits: int, *also: str) -> DataFrame:
+    prefix = F.substring("_h", 1, digits).alias("prefix")
+    return rows.groupBy("_source", *also, prefix).agg(F.sum("_size").alias("size"), F.count("*").alias("n"), F.min("_h").alias("low"), F.max("_h").alias("high"))
+
+
+def _repeats(work: Workspace, rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Joins the plan and adds repeats: the whole repetitions, and one more within the fraction."""
+    no = F.lit(False)
+    inside = F.coalesce(F.col("_h") < F.col("edge"), no) | F.coalesce(F.col("_h") < F.col("cut"), no)
+    at_cut = F.coalesce(F.col("_h") == F.col("cut"), no)
+    joined = join_dimension(rows, plan, "_source")
+    if plan.filter("more < copies").isEmpty():
+        return joined.withColumn("repeats", F.col("whole") + (inside | at_cut).cast("long"))
+    # Copies of one text on both sides of a limit are told apart by their number.
+    apart = at_cut & (F.col("more") < F.col("copies"))
+    rest = joined.filter(~apart).withColumn("repeats", F.col("whole") + (inside | at_cut).cast("long"))
+    copies = _numbered(work, work.keep(joined.filter(apart), "copies"))
+    return rest.unionByName(copies.withColumn("repeats", F.col("whole") + (F.col("_number") <= F.col("more")).cast("long")).drop("_number"))
+
+
+def _numbered(work: Workspace, rows: DataFrame) -> DataFrame:
+    """rows of a written table with _number, from 1 within (_source, _h): each file part counts its own, and
+    starts from the counts of the parts before, so that a third of all rows may be copies of one."""
+    marked = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).withColumn("_key", F.concat(F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")), F.lit(":"), "_h"))
+    counts = marked.groupBy("_key", "_part").count()
+    before = W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    bases = work.keep(counts.select("_key", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base")), "copy-bases")
+    own = F.row_number().over(W.partitionBy("_key", "_part").orderBy("_at"))
+    return marked.withColumn("_own", own).join(bases, ["_key", "_part"]).withColumn("_number", F.col("_own") + F.col("_base")).drop("_key", "_part", "_at", "_own", "_base")
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 1) -> DataFrame:
@@ -110,30 +138,34 @@ def mix(spark: SparkSession, docs: DataFrame, weights=(5.0, 2.0, 1.0), share: fl
 
     Every document gets the whole part of its source's target/size; the fractional part goes to
     a seeded random subset: documents in order of a seeded hash, as far as the fraction of the
-    source's words reaches. The order is found by 65,536 hash buckets per source (sums only)
-    and, in the one bucket where the limit falls, by a running sum over its documents, so a hot
-    source is never sorted in one task. The sum of words lies within half a document of the
-    target. Reruns agree, as the order depends on seed, doc_id and size alone.
+    source's words reaches. The limit is found by sums over prefixes of the hash, and only among
+    a few thousand rows by a running sum, so a hot source is never sorted in one task. The sum
+    of words lies within half a document of the target, also where a source is one text many
+    times over. Reruns agree, as the order depends on seed, doc_id and text alone.
 
     Nulls: a null text has size 0, a null source is a source of its own (ranked last), a null
-    doc_id is hashed like any value. Repeated rows count each on its own; rows of equal doc_id
-    and size share one hash and are taken together. Sources of size 0 get target 0. An empty
-    table gives an empty result. Other columns are ignored.
+    doc_id is hashed as the empty one. Repeated rows count each on its own; of rows with equal
+    doc_id and text any may be those inside the limit. Texts of any length count whole. Documents
+    of size 0 never repeat more often than the cap allows; sources of size 0 get target 0 and
+    are left out. An empty table gives an empty result. Other columns are ignored, whatever
+    their names.
     """
     work = Workspace(spark, "mix")
-    rows = work.keep(_sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "rows")
-    plan = _plan(work, rows, weights, share, max_epochs)
-    out = _repeats(rows, plan).withColumnRenamed("_size", "size")
-    return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    rows = work.keep(_sized(docs.select("doc_id", "source", "text"), seed), "rows")
+    out = _repeats(work, rows, _plan(work, rows, weights, share, max_epochs))
+    size = F.col("_size")
+    return out.select(F.col("_doc_id").alias("doc_id"), F.col("_source").alias("source"), size.alias("size"), "source_size", "target", "repeats", (size * F.col("repeats")).alias("taken"))
 
 
 def repeat_documents(spark: SparkSession, docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 1) -> DataFrame:
     """The mixed corpus: every document as often as mix() says, with all its columns.
 
-    The texts are not shuffled: they meet the plan of their source by a guarded join.
+    The texts are not shuffled: they meet the plan of their source by a guarded join, each row
+    as one value, so that columns of any name and type pass through. Nulls, repeated rows,
+    empty and very long texts and empty tables are treated as in mix().
     """
     work = Workspace(spark, "mixed")
-    rows = work.keep(_sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "rows")
+    rows = work.keep(_sized(docs.select("doc_id", "source", "text"), seed), "rows")
     plan = _plan(work, rows, weights, share, max_epochs)
-    out = _repeats(_sized(docs, seed), plan).filter(F.col("repeats") > 0)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
+    out = _repeats(work, _sized(docs, seed, row=True), plan).filter(F.col("repeats") > 0)
+    return out.select(F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))), "_row").select("_row.*")
