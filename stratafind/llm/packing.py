@@ -10,6 +10,7 @@ their length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -19,61 +20,97 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import Workspace, chunks
+from .common import Workspace, chunks, release
 
 WINDOW, GRID, DEPTH, END_ID = 4096, 128, 4, 2
 #: Parts in which the pieces of one length are numbered.
 PARTS = 256
-#: Most words, and most parts of words, whose ids a Python worker keeps per generation.
-KEPT_WORDS = 200_000
-
-
-#: Words of these characters alone are cut by the rule below; all others go through encode().
-_PLAIN = re.compile(r"[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_PART = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Most parts of words, and most words, whose ids a task keeps per generation, and their most bytes;
+#: bits that remember what was asked for once.
+KEPT_PARTS, KEPT_WORDS, KEPT_LENGTH, SEEN_BITS = 120_000, 40_000, 64, 1 << 20
+# The normalizer and the splits of the tokenizer for which the short cut holds.
+_STEPS = [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Texts of these characters alone are cut by the second rule; others word by word, by encode() where need be.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile("[\t-\r !-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_PART = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\t-\r ]+")
 #: Byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on.
 _PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SYMBOLS = dict(zip((b for b in range(256) if b not in _PRINTS), map(chr, range(256, 512))))
 
 
+def _cuts_as_known(path: str) -> bool:
+    """Whether a tokenizer file drops white space, lowers, cuts and spells bytes as the short cut does."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    steps = (file.get("normalizer") or {}).get("normalizers") or []
+    splits = (file.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if [(x["type"], x.get("pattern"), x.get("content")) for x in steps] != _STEPS or [x["type"] for x in splits] != ["Split", "ByteLevel"]:
+        return False
+    split, spell = splits
+    known = split["pattern"] == {"Regex": _SPLIT} and split["behavior"] == "Removed" and split["invert"] and not spell["add_prefix_space"] and not spell["use_regex"]
+    plain = all("<|" in t["content"] and not t["normalized"] for t in file.get("added_tokens", []))
+    return known and plain and file["model"]["type"] == "BPE" and not file["model"]["dropout"] and file.get("post_processor") is None
+
+
 class _Kept(dict):
-    """A dictionary of two generations: what is asked for stays, the rest goes with its generation."""
+    """A dictionary of two generations: what is asked for stays, the rest goes with its generation.
+
+    What is asked for the first time is only remembered by a bit: most words of a corpus come once.
+    """
 
     def __init__(self, make, most: int):
         super().__init__()
         self.old, self.make, self.most = {}, make, most
+        self.seen, self.marked = bytearray(SEEN_BITS // 8), 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            at = hash(key) % SEEN_BITS
+            bit = 1 << (at & 7)
+            if not self.seen[at >> 3] & bit or len(key) > KEPT_LENGTH:
+                self.seen[at >> 3] |= bit
+                self.marked += 1
+                if self.marked > SEEN_BITS // 2:
+                    self.seen, self.marked = bytearray(SEEN_BITS // 8), 0
+                return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.seen, self.marked = {}, bytearray(SEEN_BITS // 8), 0
+
 
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordIds:
-    """Little-endian uint32 ids of texts, word by word.
+    """Little-endian uint32 ids of texts, part by part.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those
     of its words in turn. Within a plain word (ASCII without apostrophes, Latin-1 letters) its
-    letters, digits and other runs are tokens' bounds too, so the merge model is asked for each
-    run alone; every other word goes through the whole tokenizer. Frequent words are kept.
+    letters, digits and other runs are tokens' bounds too, so a plain text is lowered and cut
+    into those at once, and the merge model is asked for each. Texts with other characters go word
+    by word, and words that are not plain through the whole tokenizer. Frequent parts and words
+    are kept until the task ends. The file's normalizer and splits are read; where they are not
+    those for which this holds, whole texts go through the tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.by_part = Tokenizer.from_file(path), _cuts_as_known(path)
         self.model = self.tokenizer.model
-        self.parts = _Kept(self._part, KEPT_WORDS)
+        self.parts = _Kept(self._part, KEPT_PARTS)
         self.words = _Kept(self._word, KEPT_WORDS)
 
     def _part(self, part: str) -> bytes:
@@ -81,15 +118,32 @@ class WordIds:
             part = part.encode().decode("latin-1").translate(_SYMBOLS)
         return _packed([t.id for t in self.model.tokenize(part)])
 
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _PART.findall(text.lower())))
+
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.parts.__getitem__, _PART.findall(text.lower())))
+        return self._plain(text) if _is_plain(text) else self._encoded(text)
+
+    def _encoded(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def texts(self, texts: list) -> list[bytes]:
-        ids = self.words.__getitem__
-        return [b"".join(map(ids, text.encode("utf-8", "replace").split())) if text else b"" for text in texts]
+    def text(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not self.by_part:
+            return self._encoded(text)
+        if _is_plain(text):
+            return self._plain(text)
+        return b"".join(map(self.words.__getitem__, text.encode("utf-8", "replace").split()))
+
+    def forget(self) -> None:
+        self.parts.forget()
+        self.words.forget()
+
+
+def _is_plain(text: str) -> bool:
+    return "<|" not in text and _PLAIN.fullmatch(text) is not None
 
 
 _by_path: dict[str, WordIds] = {}
@@ -113,7 +167,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, grid:
             ids = batch.column("doc_id")
             for a, b, texts in chunks(batch.column("text")):
                 at, start, length, crc, total = [], [], [], [], []
-                for i, raw in enumerate(words.texts(texts), a):
+                for i, raw in enumerate(map(words.text, texts), a):
                     raw, place = raw + end, 0
                     for n in cut_lengths(len(raw) // 4, window, grid):
                         at.append(i), start.append(place), length.append(n), total.append(len(raw) // 4)
@@ -123,6 +177,8 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, grid:
                     [ids.take(pa.array(at, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
+        words.forget()
+        release()
 
     schema = docs.select("doc_id").schema
     for c in ("start", "length", "ids_crc32", "doc_tokens"):

@@ -7,11 +7,13 @@ from itertools import chain
 import numpy as np
 import xxhash
 
+from .common import release
+
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _STEP = np.uint64(0x94D049BB133111EB)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Most words whose hash a Python worker keeps; others are hashed anew.
-KEPT_WORDS = 100_000
+#: Most words whose hash a task keeps, and their most bytes; others are hashed anew.
+KEPT_WORDS, KEPT_LENGTH = 50_000, 64
 
 
 class WordHashes(dict):
@@ -19,7 +21,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < KEPT_WORDS:
+        if len(self) < KEPT_WORDS and len(word) <= KEPT_LENGTH:
             self[word] = value
         return value
 
@@ -27,6 +29,12 @@ class WordHashes(dict):
 _words = WordHashes()
 
 
+def forget() -> None:
+    """At the end of a task: kept words and freed memory go back."""
+    _words.clear()
+    release()
+
+
 def _scramble(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX
     x = (x ^ (x >> np.uint64(27))) * _STEP
