@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -38,39 +39,59 @@ MORE = (
 )
 
 
+#: Marks around matches and before their part; a text that holds one has it replaced by the last.
+MATCH, PART, OTHER = "\x01", "\x02", "\x03"
+_RUN = re.compile(r"([A-Za-z0-9]*)(\[[^\[\]^\\]+\])\+")
+
+
+def searched(rule: Rule) -> str:
+    """The pattern that finds the rule's matches of sufficient length.
+
+    Where the pattern is a run of one class, begun by letters of that class, a match that is too
+    short reaches to the end of its run, and no later start in the run gives a longer one. So the
+    least length goes into the pattern, and only starts of runs are tried where nothing precedes.
+    """
+    run = _RUN.fullmatch(rule.pattern)
+    if rule.part or not run or rule.least <= len(run[1]) or not all(re.match(run[2], c) for c in run[1]):
+        return rule.pattern
+    start = "" if run[1] else f"(?<!{run[2]})"
+    return f"{start}{run[1]}{run[2]}{{{rule.least - len(run[1])},}}"
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """array<struct<start, end>> of the rule's matches, in code points, end exclusive.
 
-    The text is cut at its matches by one anchored pass: each step takes the gap before a match
-    and the match; places are running sums of their lengths. Possessive runs and the anchor
-    keep the pass linear in the text.
+    One pass puts marks around the matches, and the text is cut at them: what lies between and
+    the matches take turns, and places are running sums of their lengths.
     """
-    flags = "(?is)" if rule.pattern.startswith("(?i)") else "(?s)"
-    step = f"{flags}\\G(.*?)({rule.pattern.removeprefix('(?i)')})"
-    gaps = F.regexp_extract_all(text, F.lit(step), F.lit(1))
-    found = F.regexp_extract_all(text, F.lit(step), F.lit(2))
-    sizes = F.regexp_extract_all(text, F.lit(step), F.lit(2 + rule.part)) if rule.part else found
-    cut = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), sizes.alias("size"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    safe = F.when(F.contains(text, F.lit(MATCH)) | F.contains(text, F.lit(PART)), F.translate(text, MATCH + PART, OTHER * 2)).otherwise(text)
+    pieces = F.split(F.regexp_replace(safe, F.lit(searched(rule)), F.lit(f"{MATCH}$0{PART}${rule.part}{MATCH}")), MATCH)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("out"))
 
     def step_on(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        one = F.when(F.length(x["size"]) >= rule.least, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
+        end = acc["at"] + F.length(F.when(acc["hit"], F.substring_index(x, PART, 1)).otherwise(x))
+        long = acc["hit"] & (F.length(F.substring_index(x, PART, -1)) >= rule.least)
+        one = F.when(long, F.array(F.struct(acc["at"].alias("start"), end.alias("end")))).otherwise(none)
+        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.concat(acc["out"], one).alias("out"))
 
-    return F.aggregate(cut, zero, step_on, lambda acc: acc["out"])
+    return F.when(F.size(pieces) > 1, F.aggregate(pieces, zero, step_on, lambda acc: acc["out"])).otherwise(none)
 
 
 def postings(docs: DataFrame, grams: list[str], blocks: int) -> DataFrame:
     """Inverted index (gram, block, ids): the doc_ids whose lower-cased text holds the trigram.
 
-    Only trigrams that some rule demands are entered. A posting list is stored in blocks of
-    documents (by hash of doc_id), so no list is gathered whole, however common its trigram.
+    Only trigrams that some rule demands are entered; one pass finds all of them, also where they
+    overlap. A posting list is stored in blocks of documents (by hash of doc_id), so no list is
+    gathered whole, however common its trigram.
     """
-    text = F.lower("text")
-    held = F.concat(*[F.when(F.contains(text, F.lit(g)), F.array(F.lit(i))).otherwise(F.array().cast("array<int>")) for i, g in enumerate(grams)])
-    rows = docs.select("doc_id", F.explode(held).alias("gram"))
+    by_first: dict[str, list[str]] = {}
+    for g in grams:
+        by_first.setdefault(g[0], []).append(re.escape(g[1:]))
+    any_gram = "(?=(" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + "))"
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_gram), F.lit(1)))
+    place = F.create_map(*[x for i, g in enumerate(grams) for x in (F.lit(g), F.lit(i))])
+    rows = docs.select("doc_id", F.explode(held).alias("g")).select("doc_id", F.element_at(place, F.col("g")).alias("gram"))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
     return rows.withColumn("block", block).groupBy("gram", "block").agg(F.collect_set("doc_id").alias("ids"), F.max(F.col("doc_id").isNull()).alias("has_null"))
 
