@@ -5,7 +5,11 @@ a random sample of the distance. Within every probed list the scan reads column
 each it tests, per candidate, the hypothesis that the whole distance is below the current
 tenth-best: if the scaled partial distance exceeds it by more than the test's margin, the
 candidate is abandoned. Survivors are measured exactly, on the original vectors in double
-precision.
+precision. A first turn scans the nearest list of every query; its tenth-best is the limit with
+which the second turn enters all others, and every block of rows that is read tightens it.
+
+Lists have two levels: centres of a sample, and offsets from them that all centres share. So the
+number of lists follows the rows, though the sample that fits them is bounded.
 """
 
 from __future__ import annotations
@@ -16,8 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import Workspace
 
-#: Fixed bounds: rows that fit the lists, rows of one chunk of a list, queries of one block.
-SAMPLE_ROWS, CHUNK_ROWS, QUERY_BLOCK = 20_000, 4_096, 16_384
+#: Fixed bounds: rows that fit the lists, rows of one chunk of a list, queries of one block, rows
+#: that are scanned with one limit.
+SAMPLE_ROWS, CHUNK_ROWS, QUERY_BLOCK, SCAN_ROWS = 20_000, 4_096, 16_384, 512
+#: Most centres, most offsets, and the rows of a list from which offsets are added.
+MOST_CENTRES, MOST_OFFSETS, LIST_ROWS = 1024, 64, 1000
 
 
 def valid_vectors(rows: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -55,21 +62,42 @@ def fit_lists(sample: np.ndarray, lists: int, seed: int, rounds: int = 12) -> np
     return centres
 
 
-def probes_needed(sample: np.ndarray, centres: np.ndarray, k: int, target: float, seed: int) -> int:
+class Lists:
+    """Lists of a rotated space: list c * offsets + o is around centre c plus offset o."""
+
+    def __init__(self, sample: np.ndarray, centres: int, offsets: int, seed: int):
+        self.centres = fit_lists(sample, centres, seed)
+        own = nearest_lists(sample, self.centres, 1)[:, 0]
+        self.offsets = fit_lists(sample - self.centres[own], offsets, seed + 1) if offsets > 1 else np.zeros((1, sample.shape[1]))
+        self.count = len(self.centres) * len(self.offsets)
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """The list of each row: its nearest centre, then the offset nearest to what is left."""
+        c = nearest_lists(x, self.centres, 1)[:, 0]
+        return c * len(self.offsets) + nearest_lists(x - self.centres[c], self.offsets, 1)[:, 0]
+
+    def near(self, x: np.ndarray, count: int) -> np.ndarray:
+        """The lists nearest to each row, nearest first."""
+        every = (self.centres[:, None] + self.offsets[None]).reshape(self.count, -1)
+        step = max(1, (8 << 20) // self.count)
+        return np.concatenate([nearest_lists(x[i : i + step], every, min(count, self.count)) for i in range(0, len(x), step)])
+
+
+def probes_needed(sample: np.ndarray, lists: Lists, k: int, target: float, seed: int) -> int:
     """Least number of probed lists that reaches the target recall on the sample (brute force)."""
     pick = np.random.default_rng(seed).permutation(len(sample))[:200]
-    own = nearest_lists(sample, centres, 1)[:, 0]
-    order = nearest_lists(sample[pick], centres, len(centres))
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(len(centres))[None], 1)
+    own = lists.own(sample)
+    order = lists.near(sample[pick], lists.count)
     needed = []
     for row, i in enumerate(pick):
         d = ((sample - sample[i]) ** 2).sum(1)
         d[i] = np.inf
         best = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
-        needed.append(place[row, own[best]])
+        place = np.empty(lists.count, dtype=np.int64)
+        place[order[row]] = np.arange(lists.count)
+        needed.append(place[own[best]])
     if not needed or not len(needed[0]):
-        return len(centres)
+        return lists.count
     needed = np.sort(np.concatenate(needed))
     return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1
 
@@ -101,15 +129,32 @@ def adaptive_scan(base, ids, turned, q, q_turned, q_id, k: int, block: int, marg
     return d[order], ids[left][order]
 
 
+def scan_rows(base, ids, turned, q, q_turned, q_id, k: int, block: int, margin: float, limit: float):
+    """The k nearest of a chunk within limit, block of rows by block: what is found tightens the limit."""
+    d, near = np.empty(0), np.empty(0, dtype=np.int64)
+    for at in range(0, len(ids), SCAN_ROWS):
+        rows = slice(at, at + SCAN_ROWS)
+        more, found = adaptive_scan(base[rows], ids[rows], turned[rows], q, q_turned, q_id, k, block, margin, limit)
+        if len(more):
+            d, near = np.concatenate([d, more]), np.concatenate([near, found])
+            order = np.lexsort((near, d))[:k]
+            d, near = d[order], near[order]
+            if len(d) == k:
+                limit = min(limit, d[-1])
+    return d, near
+
+
 def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, target: float = 0.97, block: int = 16, margin: float = 2.1, seed: int = 7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query, nearest first.
 
     vectors and queries have (vec_id, embedding). Every valid vector is indexed: it goes to its
     nearest list, and a list to chunks of about 4,096 rows, so a vector that is repeated a
-    million times fills many chunks and no single task. The list centres are fitted on a seeded
+    million times fills many chunks and no single task. The lists, whose number grows with the
+    square root of the rows and beyond 1,024 centres with the rows, are fitted on a seeded
     sample of at most sample_rows vectors, and the number of probed lists is the least that
-    reaches the target recall on that sample. Queries go to the chunks of their probed lists in
-    blocks of 16,384; what a chunk returns is at most k rows a query.
+    reaches the target recall on that sample. Queries go to the chunks of their probed lists;
+    only where more than 16,384 queries probe one list are its chunks copied, once per block of
+    so many. What a chunk returns is at most k rows a query.
 
     Nulls, zero vectors and non-finite components take no part, as query or candidate; a row
     with null vec_id is no query but a candidate that can't be named, so it takes no part
@@ -134,42 +179,43 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
 
 def _search(spark, work, rows, asked, dim, k, lists, target, block, margin, seed, sample_rows):
     total = rows.count()
-    drawn = rows.orderBy(F.xxhash64(F.lit(seed), F.col("vec_id")), "vec_id").limit(sample_rows).select("embedding").toPandas()["embedding"]
+    drawn = rows.select("embedding").sample(min(1.0, 0.98 * sample_rows / max(1, total)), seed) if total > sample_rows else rows.select("embedding")
+    drawn = drawn.limit(sample_rows).toPandas()["embedding"]
     sample = np.stack([np.asarray(x, dtype=np.float64) for x in drawn]) if len(drawn) else np.zeros((0, dim))
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     turn = rotation(dim, seed)
-    count = lists or int(min(1024, max(1, 2 * np.sqrt(len(sample)) // 4)))
-    centres = fit_lists(sample @ turn, count, seed)
-    probes = probes_needed(sample @ turn, centres, k, target, seed)
-    model = spark.sparkContext.broadcast((turn, centres))
+    count = lists or int(min(MOST_CENTRES, len(sample) // 8 + 1, max(1, np.sqrt(total) // 2)))
+    index = Lists(sample @ turn, count, int(min(MOST_OFFSETS, max(1, total // (count * LIST_ROWS)))), seed)
+    probes = probes_needed(sample @ turn, index, k, target, seed)
+    model = spark.sparkContext.broadcast((turn, index))
 
     def to_numpy(column) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
     def assign(batches):
-        turn, centres = model.value
+        turn, index = model.value
         for batch in batches:
             if batch.num_rows:
-                own = nearest_lists(to_numpy(batch.column("embedding")) @ turn, centres, 1)[:, 0]
+                own = index.own(to_numpy(batch.column("embedding")) @ turn)
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(own.astype(np.int32))], names=["vec_id", "embedding", "list"])
 
     def probe(batches):
-        turn, centres = model.value
+        turn, index = model.value
         for batch in batches:
             if batch.num_rows:
-                near = nearest_lists(to_numpy(batch.column("embedding")) @ turn, centres, probes)
+                near = index.near(to_numpy(batch.column("embedding")) @ turn, probes)
                 take = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("vec_id", "embedding", "q")] + [pa.array(near.ravel().astype(np.int32))], names=["vec_id", "embedding", "q", "list"])
+                place = np.tile(np.arange(near.shape[1], dtype=np.int32), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("vec_id", "embedding", "q")] + [pa.array(near.ravel().astype(np.int32)), pa.array(place)], names=["vec_id", "embedding", "q", "list", "place"])
 
     indexed = work.keep(rows.mapInArrow(assign, "vec_id long, embedding array<double>, list int"), f"index-{dim}")
-    # Chunks of a list: as many as its size asks for, rows dealt by hash and place.
-    sizes = indexed.groupBy("list").count().withColumn("chunks", F.ceil(F.col("count") / CHUNK_ROWS).cast("int")).select("list", "chunks")
+    sent = work.keep(asked.mapInArrow(probe, "vec_id long, embedding array<double>, q long, list int, place int"), f"probes-{dim}")
+    # Chunks of a list as its rows ask for, blocks of its queries as those do: at most 65,536 rows.
+    chunks = indexed.groupBy("list").count().select("list", F.ceil(F.col("count") / CHUNK_ROWS).cast("int").alias("chunks"))
+    blocks = sent.groupBy("list").count().select(F.col("list").alias("l"), F.ceil(F.col("count") / QUERY_BLOCK).cast("int").alias("blocks"))
+    sizes = chunks.join(blocks, F.col("list") == F.col("l")).select("list", "chunks", "blocks")
     sizes = work.keep(sizes, f"sizes-{dim}")
-    dealt = indexed.join(F.broadcast(sizes), "list").withColumn("chunk", F.pmod(F.xxhash64(F.col("vec_id"), F.rand(seed)), F.col("chunks")).cast("int")).drop("chunks")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    sent = asked.mapInArrow(probe, "vec_id long, embedding array<double>, q long, list int").join(F.broadcast(sizes), "list")
-    sent = sent.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
     def scan(key, left, right):
         turn, _ = model.value
@@ -179,19 +225,31 @@ def _search(spark, work, rows, asked, dim, k, lists, target, block, margin, seed
         left, right = left.combine_chunks(), right.combine_chunks()
         base, ids = to_numpy(left.column("embedding").chunk(0)), left.column("vec_id").to_numpy()
         q, q_ids = to_numpy(right.column("embedding").chunk(0)), right.column("vec_id").to_numpy()
-        q_hash = right.column("q").to_numpy()
+        q_hash, limits = right.column("q").to_numpy(), right.column("limit").to_numpy(zero_copy_only=False)
         turned, q_turned = base @ turn, q @ turn
         got = []
         for i in range(len(q_ids)):
-            # a first bound from a few candidates, then the scan of all
-            few, _ = adaptive_scan(base[: 8 * k], ids[: 8 * k], turned[: 8 * k], q[i], q_turned[i], q_ids[i], k, block, margin, np.inf)
-            limit = few[k - 1] if len(few) == k else np.inf
-            d, near = adaptive_scan(base, ids, turned, q[i], q_turned[i], q_ids[i], k, block, margin, limit)
+            d, near = scan_rows(base, ids, turned, q[i], q_turned[i], q_ids[i], k, block, margin, limits[i])
             got.append((np.full(len(d), q_ids[i]), np.full(len(d), q_hash[i]), near, d))
         return pa.table([pa.array(np.concatenate([g[j] for g in got])) for j in range(4)], schema=schema)
 
-    keys = ["list", "chunk", "block"]
-    stored = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else dealt.withColumn("block", F.lit(0))
-    found = stored.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(scan, "query_id long, q long, vec_id long, score double")
+    def turn_of(these, name):
+        """The nearest found by these queries (with their limits) in the lists they are sent to."""
+        keys = ["list", "chunk", "block"]
+        to = these.join(F.broadcast(sizes), "list")
+        to = to.withColumn("block", F.pmod(F.xxhash64("vec_id", "q"), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        dealt = indexed.join(F.broadcast(sizes), "list").withColumn("chunk", F.pmod(F.xxhash64(F.col("vec_id"), F.rand(seed)), F.col("chunks")).cast("int"))
+        dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        found = dealt.select(*keys, "vec_id", "embedding").groupBy(*keys).cogroup(to.select(*keys, "vec_id", "embedding", "q", "limit").groupBy(*keys))
+        return work.keep(found.applyInArrow(scan, "query_id long, q long, vec_id long, score double"), name)
+
     best = W.partitionBy("query_id", "q").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def nearest(found):
+        return found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k)
+
+    first = nearest(turn_of(sent.filter("place = 0").withColumn("limit", F.lit(float("inf"))), f"first-{dim}"))
+    limits = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "q", F.col("score").alias("limit"))
+    rest = sent.filter("place > 0").join(limits, ["vec_id", "q"], "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+    more = turn_of(rest, f"rest-{dim}")
+    return nearest(first.drop("rank").unionByName(more)).select("query_id", "rank", "vec_id", "score")

@@ -3,34 +3,49 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import unicodedata
 from datetime import date, timedelta
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded_batches, chunks
+from .common import bounded_batches, chunks, release, shared_root
 
 KINDS = ("email", "card", "iban", "phone", "ip", "ssn", "date")
 ROUNDS = 8
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
-_EMAIL = re.compile(r"(?<![\w.%+-])([\w.%+-]{1,64})(@(?:[\w-]{1,63}\.)+[A-Za-z]{2,24})(?![\w-])")
+#: Letters of an e-mail's local part that are permuted together.
+LOCAL_BLOCK = 64
+# Country codes of telephone numbers that have one or two digits (all others have three), and
+# the length of an IBAN by country.
+_ONE_DIGIT, _TWO_DIGITS = "17", "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+_IBAN_LENGTHS = dict(
+    x.split(":")
+    for x in (
+        "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 "
+        "GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MR:27 "
+        "MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20"
+    ).split()
+)
+
+_EMAIL = re.compile(r"(?<![\w.%+-])([\w.%+-]+)(@(?:[\w-]{1,63}\.)+[A-Za-z]{2,24})(?![\w-])")
 #: Numbers by layout. A card or an IBAN may end at any group, so theirs are listed by length.
 _LAYOUTS = {
-    "phone": [r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}", r"\+\d{1,3}[ .-]\d{1,2}(?:[ .-]\d{2}){3,5}"],
+    "phone": [r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}", r"\+\d{1,3}[ .-]\d{1,2}(?:[ .-]\d{2}){3,5}", r"\+\d{8,15}", r"\(\d{3}\) ?\d{3}[ .-]\d{4}"],
     "ymd": [r"\d{4}(?:-\d{2}-|/\d{2}/|\.\d{2}\.)\d{2}"],
     "dmy": [r"\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4}"],
     "ip": [r"\d{1,3}(?:\.\d{1,3}){3}"],
     "ssn": [r"\d{3}-\d{2}-\d{4}"],
     "card": [rf"\d(?:[ -]?\d){{{n - 1}}}" for n in range(19, 12, -1)],
-    "iban": [rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n in range(30, 10, -1)],
+    "iban": [rf"[{c}]{{2}}\d{{2}}(?: ?[{c}0-9]{{4}}){{{n // 4}}}" + (rf" ?[{c}0-9]{{{n % 4}}}" if n % 4 else "") for c in ("A-Z", "a-z") for n in range(30, 10, -1)],
 }
 _USUAL_CARD = [r"\d{4}(?:(?: \d{4}){3}|(?:-\d{4}){3})", r"\d{4}(?: \d{6} |-\d{6}-)\d{5}", r"\d{13,19}"]
-_IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+_IBAN = "|".join(rf"[{c}]{{2}}\d{{2}}(?: ?[{c}0-9]{{4}}){{2,7}}(?: ?[{c}0-9]{{1,3}})?" for c in ("A-Z", "a-z"))
 _REST = {k: v for k, v in _LAYOUTS.items() if k != "iban"}
 _ANY = "|".join([*[p for k, v in _REST.items() if k != "card" for p in v], r"\d(?:[ -]?\d){12,18}"])
 
@@ -107,6 +122,13 @@ class Pseudonyms:
             out.append(c)
         return "".join(reversed(out))
 
+    def local(self, text: str) -> str:
+        """The pseudonym of an e-mail's local part: its letters are permuted in lower case, a block after the
+        other, and shown in the case that was found, as mail hardly ever tells cases apart."""
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        new = "".join(self.letters(f"email{at}", low[at : at + LOCAL_BLOCK]) for at in range(0, len(low), LOCAL_BLOCK))
+        return "".join(c.upper() if old != before and len(c.upper()) == 1 else c for c, old, before in zip(new, text, low))
+
     def number(self, kind: str, text: str) -> str | None:
         """The pseudonym of a candidate, or None where it is not valid."""
         digits = re.sub(r"\D", "", text)
@@ -117,8 +139,13 @@ class Pseudonyms:
             check = next(d for d in "0123456789" if luhn(body + d))
             return _filled(text, body + check)
         if kind == "phone":
-            lead = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", text).group()
-            return lead + self.letters("phone", text[len(lead) :])
+            # without + it is one of the numbering plan of country code 1; the digits alone make the key
+            country = "1" if text[0] != "+" else digits[: 1 if digits[0] in _ONE_DIGIT else 2 if digits[:2] in _TWO_DIGITS else 3]
+            own = digits[len(country) :] if text[0] == "+" else digits
+            if not 4 <= len(own) <= 14:
+                return None
+            new = str(self.permute(f"phone{country}:{len(own)}", int(own), 10 ** len(own))).zfill(len(own))
+            return _filled(text, country + new if text[0] == "+" else new)
         if kind == "ip":
             parts = text.split(".")
             if any(int(x) > 255 or (len(x) > 1 and x[0] == "0") for x in parts):
@@ -134,11 +161,16 @@ class Pseudonyms:
             area, group = divmod(rank, 99)
             return f"{area + 1 + (area + 1 >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
         if kind == "iban":
-            plain = text.replace(" ", "")
+            plain = text.replace(" ", "").upper()
             if not 15 <= len(plain) <= 34 or _mod97(plain) != 1:
                 return None
+            # small letters are those of words too: there the length has to be that of the country
+            small = text[:2].islower()
+            if small and _IBAN_LENGTHS.get(plain[:2]) != str(len(plain)):
+                return None
             body = self.letters("iban" + plain[:2], plain[4:])
-            return _filled(text, plain[:2] + f"{98 - _mod97(plain[:2] + '00' + body):02d}" + body)
+            new = _filled(text, plain[:2] + f"{98 - _mod97(plain[:2] + '00' + body):02d}" + body)
+            return new.lower() if small else new
         parts = re.split(r"[-/.]", text)
         # the places of year, month and day: a date that is not day-first may be month-first
         for order in [(0, 1, 2)] if kind == "ymd" else [(2, 1, 0), (2, 0, 1)]:
@@ -159,7 +191,7 @@ class Pseudonyms:
 
         def email(m):
             counts["email"] = counts.get("email", 0) + 1
-            return self.letters("email", m.group(1)) + m.group(2)
+            return self.local(m.group(1)) + m.group(2)
 
         if _DIGIT.search(text):
             text = self._numbers(text, counts)
@@ -215,27 +247,57 @@ def _filled(form: str, chars: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in form)
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"public test key") -> DataFrame:
-    """docs with pseudonyms in text, and n_<kind> counts of what was replaced.
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The secret key: spark.stratafind.pseudonym.key of the session, else one that is drawn once and kept in
+    the shared folder for its owner alone, so that all runs that share the folder link the same values."""
+    given = spark.conf.get("spark.stratafind.pseudonym.key", None)
+    if given:
+        return given.encode()
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/pseudonym-key")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        drawn = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/.pseudonym-key-{os.urandom(8).hex()}")
+        out = files.create(drawn, False)
+        out.write(bytearray(os.urandom(32).hex().encode()))
+        out.close()
+        files.setPermission(drawn, jvm.org.apache.hadoop.fs.permission.FsPermission("600"))
+        if files.exists(path) or not files.rename(drawn, path):  # another run was faster
+            files.delete(drawn, False)
+    source = files.open(path)
+    try:
+        return bytes(source.readNBytes(1024))
+    finally:
+        source.close()
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None, counted: bool = True) -> DataFrame:
+    """docs with pseudonyms in text, and, if counted, n_<kind> counts of what was replaced. Without a key, pseudonym_key() has it.
 
     Validated are: card numbers (13 to 19 digits, Luhn; the check digit is made anew), IBANs
-    (mod 97, made anew), IPv4 addresses, phone numbers (only with + and country code; then 2-4,
-    3-4 and 3-4 digits, or pairs as in +33 6 12 34 56 78), national numbers of the form 3-2-4,
+    (mod 97, made anew; in small letters only of the country's length), IPv4 addresses, phone
+    numbers (+, country code and 2-4, 3-4 and 3-4 digits, pairs as in +33 6 12 34 56 78, or
+    digits alone; without + as (017) 555-7713, of country code 1), national numbers of the form 3-2-4,
     dates from 1900 to 2099 (permuted among those days, same layout: year-month-day, also before
     a time T00:00, day-month-year, else month-day-year; joined by -, / or .), and the local part
-    of e-mail addresses (letters and digits of any script, within it). A pseudonym is again valid in its format. Equal values
-    have equal pseudonyms in all documents; invalid numbers stay. A valid number next to other
+    of e-mail addresses (letters and digits of any script, of any length, without regard to case). A
+    pseudonym is again valid in its format and has the layout of what it replaces. Equal values
+    have equal pseudonyms in all documents, whatever the separators, the layout of a date or the
+    case; invalid numbers stay. A valid number next to other
     digits or words, behind or before a blank, - or /, is replaced too: IBANs first, then
     cards of 4-4-4-4, 4-6-5 or one group, then the first from the left and its longest form.
     Digits next to a decimal point and more digits are no number.
 
-    A null text stays null with counts 0, an empty one stays empty. Every row is its own:
-    repeated rows, null ids and an empty table need nothing special. Other columns pass
-    through; columns named n_<kind> are replaced. No shuffle; memory is one batch.
+    A null text stays null with counts 0, an empty one stays empty, a very long one is read
+    whole. Every row is its own: repeated rows (which get equal texts), null ids and an empty
+    table need nothing special. Other columns pass
+    through; columns named n_<kind> are replaced if those are counted. No shuffle; memory is one batch.
     """
     bounded_batches(docs.sparkSession)
-    base = docs.drop(*[f"n_{k}" for k in KINDS])
-    schema = StructType([*base.schema.fields, *[StructField(f"n_{k}", LongType()) for k in KINDS]])
+    key = key or pseudonym_key(docs.sparkSession)
+    added = [f"n_{k}" for k in KINDS] if counted else []
+    base = docs.drop(*added)
+    schema = StructType([*base.schema.fields, *[StructField(c, LongType()) for c in added]])
     names = base.columns
     at = names.index("text")
 
@@ -250,6 +312,7 @@ def pseudonymise(docs: DataFrame, key: bytes = b"public test key") -> DataFrame:
                     for k in KINDS:
                         counts[k].append(got.get(k, 0))
                 arrays = [pa.array(out, pa.string()) if i == at else c.slice(a, b - a) for i, c in enumerate(batch.columns)]
-                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(counts[k], pa.int64()) for k in KINDS]], names=[*names, *[f"n_{k}" for k in KINDS]])
+                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(counts[c[2:]], pa.int64()) for c in added]], names=[*names, *added])
+        release()
 
     return base.mapInArrow(run, schema)

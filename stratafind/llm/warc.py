@@ -17,7 +17,7 @@ from datetime import datetime, timezone
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BROADCAST_ROWS, Workspace, shared_root
+from .common import Workspace, fits_broadcast
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -34,7 +34,7 @@ def _filesystem(uri: str):
 
 
 def plan_records(pages: DataFrame, work: Workspace, min_bytes: int = 1000) -> DataFrame:
-    """Adds payload_bytes, payload_digest, record_type, refers_to to (page_id, url, html).
+    """Adds payload_bytes, payload_digest, record_type, refers_to, refers_url to (page_id, url, html).
 
     Of records with equal payloads of at least min_bytes, the one of the largest page_id is the
     response (ties: largest url, then any one of the equal rows), the others revisit it. Only
@@ -46,11 +46,12 @@ def plan_records(pages: DataFrame, work: Workspace, min_bytes: int = 1000) -> Da
     copies = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.count("*").alias("n"), F.max(order).alias("best"))
     copies = copies.filter("n > 1").select(F.col("payload_digest").alias("d"), F.col("best.page_id").alias("refers_to"), F.col("best.url").alias("best_url"))
     copies = work.keep(copies, "copies")
-    few = F.broadcast(copies) if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else copies
+    few = F.broadcast(copies) if fits_broadcast(copies, "best_url") else copies
     rows = rows.join(few, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") >= min_bytes), "left")
     is_best = F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.coalesce("url", F.lit("")) == F.col("best_url"))
     rows = rows.withColumn("record_type", F.when(F.col("d").isNull() | is_best, "response").otherwise("revisit"))
-    rows = rows.withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("refers_to")))
+    revisit = F.col("record_type") == "revisit"
+    rows = rows.withColumn("refers_to", F.when(revisit, F.col("refers_to"))).withColumn("refers_url", F.when(revisit, F.col("best_url")))
     # Fully equal rows at the top of a group: all but one of them revisit.
     top = rows.filter(F.col("d").isNotNull() & (F.col("record_type") == "response"))
     twice = work.keep(top.groupBy("d").count().filter("count > 1").select(F.col("d").alias("t")), "twice")
@@ -58,22 +59,30 @@ def plan_records(pages: DataFrame, work: Workspace, min_bytes: int = 1000) -> Da
         equal = top.join(twice, top["d"] == twice["t"], "left_semi")
         one = equal.dropDuplicates(["d"])
         more = equal.groupBy("d").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "payload", "payload_bytes", "payload_digest")], F.count("*").alias("n"))
-        more = more.withColumn("_again", F.explode(F.sequence(F.lit(2), F.col("n").cast("int")))).withColumn("record_type", F.lit("revisit")).withColumn("refers_to", F.col("page_id"))
-        names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        more = more.withColumn("_again", F.explode(F.sequence(F.lit(2), F.col("n").cast("int")))).withColumn("record_type", F.lit("revisit")).withColumn("refers_to", F.col("page_id")).withColumn("refers_url", F.col("url"))
+        names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_url"]
         again = F.col("d").isNotNull() & (F.col("record_type") == "response")
         rest = rows.join(twice, again & (F.col("d") == F.col("t")), "left_anti")
         return rest.select(names).unionByName(one.select(names)).unionByName(more.select(names))
     return rows.drop("d", "best_url")
 
 
-def record(page_id, url, payload: bytes, payload_bytes: int, digest: str, kind: str, refers_to) -> bytes:
+def record_id(page_id, url) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url or ''}')}>"
+
+
+def _field(text) -> str:
+    return "".join(c if c.isprintable() else "?" for c in text or "")
+
+
+def record(page_id, url, payload: bytes, payload_bytes: int, digest: str, kind: str, refers_to, refers_url=None) -> bytes:
     """One WARC record as a gzip member. A revisit carries no payload but its digest and size."""
     body = payload if kind == "response" else b""
     head = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}')}>"),
+        ("WARC-Record-ID", record_id(page_id, url)),
         ("WARC-Date", datetime.fromtimestamp(0, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")),
-        ("WARC-Target-URI", "".join(c if c.isprintable() else "?" for c in url or "")),
+        ("WARC-Target-URI", _field(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("X-Payload-Length", str(payload_bytes)),
         ("X-Page-ID", "" if page_id is None else str(page_id)),
@@ -81,7 +90,8 @@ def record(page_id, url, payload: bytes, payload_bytes: int, digest: str, kind:
         ("Content-Length", str(len(body))),
     ]
     if kind == "revisit":
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", "" if refers_to is None else str(refers_to))]
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        head += [("WARC-Refers-To", record_id(refers_to, refers_url)), ("WARC-Refers-To-Target-URI", _field(refers_url)), ("X-Refers-To-Page", "" if refers_to is None else str(refers_to))]
     lines = "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "surrogatepass")
     pack = zlib.compressobj(3, zlib.DEFLATED, 31)
     return pack.compress(VERSION + lines + b"\r\n" + body + b"\r\n\r\n") + pack.flush()
@@ -105,7 +115,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
                         system.create_dir(base, recursive=True)
                         name = f"part-{uuid.uuid4().hex}.warc.gz"
                         path, out = f"{folder}/{name}", system.open_output_stream(f"{base}/{name}", compression=None)
-                    data = record(row["page_id"], row["url"], row["payload"], row["payload_bytes"], row["payload_digest"], row["record_type"], row["refers_to"])
+                    data = record(row["page_id"], row["url"], row["payload"], row["payload_bytes"], row["payload_digest"], row["record_type"], row["refers_to"], row["refers_url"])
                     out.write(data)
                     size, count = size + len(data), count + 1
         finally:
@@ -114,7 +124,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
         if path:
             yield pa.RecordBatch.from_pydict({"path": [path], "bytes": [size], "records": [count]})
 
-    columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_url"]
     return records.select(columns).mapInArrow(run, "path string, bytes long, records long")
 
 
