@@ -1,18 +1,24 @@
-"""A training corpus in five stages; each takes the documents that its predecessor kept."""
+"""A training corpus in five stages; each takes the documents that its predecessor kept.
+
+All stages take nulls in any column, empty and very long texts, repeated rows, empty tables and
+extra columns of any name, which pass through; each one's rules for them stand at its operator.
+n_chars follows the text where the table has that column.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratafind.llm import mixing, ngram_join, packing, pii, toxicity
-from stratafind.llm.common import Workspace, table
+from stratafind.llm.common import Workspace, free_names, table
 from stratafind.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity is 0.5 or more go."""
-    scored = toxicity.toxicity(spark, docs, table(spark, sf_dir, "labels"))
-    return scored.filter("toxicity < 0.5").select(*docs.columns)
+    (score,) = free_names(docs.columns, "_toxicity")
+    scored = toxicity.toxicity(spark, docs, table(spark, sf_dir, "labels"), score)
+    return scored.filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +28,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Validated numbers, dates and addresses become pseudonyms; n_chars follows the text."""
-    out = pii.pseudonymise(docs)
-    size = F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", F.coalesce(size, F.col("n_chars"))).select(*docs.columns)
+    out = pii.pseudonymise(docs, counted=False)
+    if "n_chars" in docs.columns:
+        size = F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.coalesce(size, F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +53,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier and the tokenizer are not SQL; tests hold each stage against brute force.
+#: The classifier, the pseudonyms and the tokenizer are not SQL. The tests hold run()'s rows against a plain
+#: chain of the stages, of which only the classifier's verdicts are taken from the operator.
 ORACLE_SQL = None
 
 
