@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import changes
 from .operators.paths import ROOT_FRN, dir_paths
-from .operators.search import Engine, Result
+from .operators.search import Engine, Result, locate
 from .schema import ENTRIES, Sort
 from .streaming.journal import merge_batch
-from .tables import VersionedTable
+from .tables import VersionedTable, work_folder
 
 
 class Index:
     """A versioned entry table below a shared folder. Every operation publishes a new version;
-    the directories' paths are built once per version, when a search asks for them."""
+    the paths of directories and entries are built once per version, when a search asks for them."""
 
     def __init__(self, spark: SparkSession, root: str, volumes: DataFrame, root_frn: int = ROOT_FRN, buckets: int = 64):
         self.spark, self.volumes, self.root_frn = spark, volumes, root_frn
@@ -43,7 +43,7 @@ class Index:
 
     def reconcile_links(self, actual: DataFrame) -> DataFrame:
         """Publishes the links that were found; returns the counters of walks skipped and dropped."""
-        entries, counters = changes.reconcile_links(self.entries, actual)
+        entries, counters = changes.reconcile_links(self.entries, actual, self.root_frn)
         self._publish(entries)
         return counters
 
@@ -54,7 +54,8 @@ class Index:
         version = self.table.state()["version"]
         if self._engine is None or self._engine[0] != version:
             entries = self.entries
-            self._engine = version, Engine(self.spark, entries, dir_paths(entries, self.root_frn), self.volumes)
+            paths = dir_paths(entries, self.root_frn)
+            self._engine = version, Engine(self.spark, entries, paths, self.volumes, locate(entries, paths, f"{work_folder(self.spark)}/located"))
         return self._engine[1]
 
     def query(self, text: str, scope: str | None = None, sort: Sort | None = Sort(), offset: int = 0, limit: int | None = None, match_case: bool = False) -> Result:

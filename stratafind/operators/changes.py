@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import extension, fold_ascii, frn_parts, with_folded
 from ..schema import DIRECTORY, ENTRY_COLUMNS
+from ..tables import keep, work_folder
 from .paths import ROOT_FRN
 
 # Reason bits.
@@ -116,7 +117,10 @@ def drift(events: DataFrame, ops: DataFrame) -> DataFrame:
 
 def completed(rows: DataFrame, ascii_names: bool = False) -> DataFrame:
     """ENTRIES rows from (volume, frn, parent_frn, name, is_dir, is_placeholder, size, mtime_ft), and
-    name_raw and entry_id where they are there: all other columns are derived anew."""
+    name_raw and entry_id where they are there: all other columns are derived anew.
+
+    Rows of any names are written down first: new and renamed ones, not those at rest.
+    """
     have = set(rows.columns)
     if "name_raw" not in have:
         rows = rows.withColumn("name_raw", F.lit(None).cast("binary"))
@@ -124,7 +128,7 @@ def completed(rows: DataFrame, ascii_names: bool = False) -> DataFrame:
     if ascii_names:
         rows = rows.withColumn("name_fold", fold_ascii(F.col("name"))).withColumn("name_fold_raw", F.lit(None).cast("binary"))
     else:
-        rows = with_folded(rows, "name", "name_fold", "name_raw", "name_fold_raw")
+        rows = with_folded(keep(rows, f"{work_folder(rows.sparkSession)}/named"), "name", "name_fold", "name_raw", "name_fold_raw")
     record, seq = frn_parts(F.col("frn"))
     rows = rows.withColumn("record_no", record).withColumn("seq", seq).withColumn("ext_fold", extension(F.col("name_fold")))
     fresh = F.xxhash64("volume", "frn", "parent_frn", "name", "name_raw")
@@ -220,18 +224,18 @@ def set_stats(entries: DataFrame, stats: DataFrame) -> DataFrame:
     return out.withColumn("size", F.when(hit & ~F.col("is_dir"), F.col("s")).otherwise(F.col("size"))).withColumn("mtime_ft", F.when(hit, F.col("m")).otherwise(F.col("mtime_ft"))).select(*entries.columns)
 
 
-def reconcile_links(entries: DataFrame, actual: DataFrame) -> tuple[DataFrame, DataFrame]:
+def reconcile_links(entries: DataFrame, actual: DataFrame, root_frn: int = ROOT_FRN) -> tuple[DataFrame, DataFrame]:
     """Sets the links of each reference in actual (volume, frn, links array<struct<parent_frn, name>>) to exactly those.
 
     links null: the walk was not possible, the reference stays and counts as skipped; an empty
-    list deletes the file; a link whose parent is unknown drops the whole answer (counted).
+    list deletes the file; a link whose parent is neither known nor the root drops the whole answer (counted).
     New links take the file's size and time. Returns (entries, counters).
     """
     dirs = entries.filter("is_dir").select(F.col("volume").alias("dv"), F.col("frn").alias("df")).distinct()
     links = actual.filter("links is not null").select("volume", "frn", F.explode_outer("links").alias("l"))
     raw = F.col("l.name_raw") if "name_raw" in links.schema["l"].dataType.names else F.lit(None).cast("binary")
     checked = links.join(dirs, (F.col("volume") == F.col("dv")) & (F.col("l.parent_frn") == F.col("df")), "left")
-    bad = checked.filter("l is not null and df is null").select(F.col("volume").alias("bv"), F.col("frn").alias("bf")).distinct()
+    bad = checked.filter("l is not null and df is null").filter(F.col("l.parent_frn") != root_frn).select(F.col("volume").alias("bv"), F.col("frn").alias("bf")).distinct()
     good = checked.join(bad, (F.col("volume") == F.col("bv")) & (F.col("frn") == F.col("bf")), "left_anti")
     want = good.filter("l is not null").select("volume", "frn", F.col("l.parent_frn").alias("parent_frn"), F.col("l.name").alias("name"), raw.alias("name_raw")).distinct()
     done = good.select(F.col("volume").alias("gv"), F.col("frn").alias("gf")).distinct()

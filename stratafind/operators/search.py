@@ -38,22 +38,49 @@ def normal_scope(scope: str) -> list[str]:
     return [x for x in scope.replace("/", "\\").split("\\") if x]
 
 
+def _ok(paths: DataFrame) -> DataFrame:
+    """Directories whose entries can be shown: an entry below one is one more on the way, and so is the root."""
+    return paths.filter("status = 'Ok'").filter(F.col("depth") + 2 <= MOST_HOPS)
+
+
+def _small(dirs: DataFrame) -> bool:
+    rows, size = dirs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("path") + F.octet_length("path_fold")), F.lit(0))).first()
+    return rows <= BROADCAST_PATHS and size <= BROADCAST_BYTES
+
+
+def _with_directory(rows: DataFrame, ok: DataFrame) -> DataFrame:
+    dirs = ok.select(F.col("volume").alias("_v"), F.col("frn").alias("_f"), F.col("path").alias("dir_path"), F.col("path_fold").alias("dir_path_fold"), F.col("path_raw").alias("dir_path_raw"))
+    return rows.join(dirs, (F.col("volume") == F.col("_v")) & (F.col("parent_frn") == F.col("_f"))).drop("_v", "_f")
+
+
+def locate(entries: DataFrame, paths: DataFrame, folder: str) -> DataFrame:
+    """Entries that can be found, with their directory's path, written once per version of the table.
+
+    Searches then need no join, however many directories there are. Files are ranges of folded
+    paths, so a scope reads the files and row groups of its subtree only; equal paths stand
+    together and take little room.
+    """
+    ok = _ok(paths)
+    rows = _with_directory(entries.filter(~F.col("is_placeholder")), F.broadcast(ok) if _small(ok) else ok)
+    order = ["volume", "dir_path_fold", "name_fold"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("volume").parquet(folder)
+    return entries.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 class Engine:
     """Queries over one entry table, its directory paths and the volume list.
 
-    entries: ENTRIES; paths: dir_paths(entries); volumes: VOLUMES (small, read by the driver).
+    entries: ENTRIES; paths: dir_paths(entries); volumes: VOLUMES (small, read by the driver);
+    located: locate(entries, paths, ...), else every query joins its matches with the paths.
     """
 
-    def __init__(self, spark: SparkSession, entries: DataFrame, paths: DataFrame, volumes: DataFrame):
+    def __init__(self, spark: SparkSession, entries: DataFrame, paths: DataFrame, volumes: DataFrame, located: DataFrame | None = None):
         self.spark, self.entries, self.paths = spark, entries, paths
         # deep pages are range-sorted: a top-k keeps offset + limit rows on the heap
         spark.conf.set("spark.sql.execution.topKSortFallbackThreshold", str(TOP_K))
         self.volumes = [v for v in volumes.collect() if v.is_fixed and v.is_ntfs]
-        # an entry below a directory is one more on the way, and so is the root
-        ok = paths.filter("status = 'Ok'").filter(F.col("depth") + 2 <= MOST_HOPS)
-        rows, size = ok.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("path") + F.octet_length("path_fold")), F.lit(0))).first()
-        self.small = rows <= BROADCAST_PATHS and size <= BROADCAST_BYTES
-        self.ok = F.broadcast(ok) if self.small else ok
+        self.located, ok = located, _ok(paths)
+        self.ok = F.broadcast(ok) if located is None and _small(ok) else ok
 
     @staticmethod
     def mount(volume) -> str:
@@ -77,9 +104,9 @@ class Engine:
         """All matching entries with dir_path, dir_path_fold and mount; no order."""
         targets = self.route(scope)
         mounts = {v.volume: self.mount(v).rstrip("\\") for v, _ in targets}
-        rows = self.entries.filter(F.col("volume").isin(list(mounts)) & F.col("parent_frn").isNotNull() & entry_predicate(query))
-        dirs = self.ok.select(F.col("volume").alias("_v"), F.col("frn").alias("_f"), F.col("path").alias("dir_path"), F.col("path_fold").alias("dir_path_fold"), F.col("path_raw").alias("dir_path_raw"))
-        rows = rows.join(dirs, (F.col("volume") == F.col("_v")) & (F.col("parent_frn") == F.col("_f"))).drop("_v", "_f")
+        source = self.entries if self.located is None else self.located
+        rows = source.filter(F.col("volume").isin(list(mounts)) & F.col("parent_frn").isNotNull() & entry_predicate(query))
+        rows = _with_directory(rows, self.ok) if self.located is None else rows
         parts = targets[0][1] if scope is not None and targets else []
         if parts:
             path = "\\".join(parts)

@@ -10,7 +10,7 @@ from .functions.filetime import format_utc, to_unix_ms
 from .functions.text import frn_parts
 from .operators import changes
 from .operators.paths import dir_paths, orphans
-from .operators.search import Engine
+from .operators.search import Engine, locate
 from .schema import Sort
 from .sources import adapters, outputs
 from .tables import keep, work_folder
@@ -21,7 +21,7 @@ _engines: dict[tuple, Engine] = {}
 
 
 def engine(spark: SparkSession, sf_dir: str, lose: int = 0) -> Engine:
-    """Both drives, written once per session: entries by volume, and their directory paths."""
+    """Both drives, written once per session: entries by volume, their directory paths, and entries with paths."""
     key = (spark.sparkContext.applicationId, sf_dir, lose)
     if key not in _engines:
         rows = adapters.drive_c(spark, sf_dir, lose)
@@ -30,7 +30,8 @@ def engine(spark: SparkSession, sf_dir: str, lose: int = 0) -> Engine:
         folder = f"{work_folder(spark)}/entries"
         rows.write.partitionBy("volume").parquet(folder)
         entries = spark.read.schema(rows.schema).parquet(folder)
-        _engines[key] = Engine(spark, entries, dir_paths(entries, adapters.ROOT), adapters.volumes(spark))
+        paths = dir_paths(entries, adapters.ROOT)
+        _engines[key] = Engine(spark, entries, paths, adapters.volumes(spark), locate(entries, paths, f"{work_folder(spark)}/located"))
     return _engines[key]
 
 

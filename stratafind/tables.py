@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared one (a temporary one only in local mode without setting)."""
+    """A fresh folder below the shared one (a temporary one only in local mode without setting); it goes when the driver ends."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
@@ -18,7 +18,12 @@ def work_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="stratafind-")
         context.setCheckpointDir(root)
-    return f"{root}/engine-{uuid.uuid4().hex}"
+    folder = f"{root}/engine-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
 
 
 def keep(df: DataFrame, path: str) -> DataFrame:

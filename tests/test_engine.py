@@ -183,3 +183,208 @@ def test_policies():
     assert policy.next_action("Beat", 300, 0, False) == "Cancel" and policy.next_action("Busy", 300, 0, False) == "Nothing" and policy.next_action("Beat", 1, 1, True) == "ResetBudget"
     assert [policy.backoff(n) for n in (1, 2, 8)] == [0.5, 1.0, 30.0] and policy.failure_phase(6) == "Offline" and not policy.may_rescan(3)
     assert policy.healthy_since(None, "Beat", 1, "Live", 9.0) == 9.0 and policy.healthy_since(1.0, "Beat", 61, "Live", 9.0) is None
+
+# ---- exact names, index, runner, service, tails, decoding
+
+
+def full(spark, rows, schema=BASE):
+    return changes.completed(spark.createDataFrame(rows, schema))
+
+
+def test_folding_by_letters(spark):
+    import sys
+    import unicodedata
+
+    from stratafind.functions.text import fold_text, with_folded
+
+    rng = random.Random(1)
+    pool = [chr(c) for c in range(0x20, 0x3000) if unicodedata.category(chr(c)) not in ("Cs", "Cn")] + ["\U0001f600", "\U00010400", "İ", "ẞ", "K"]
+    names = ["".join(rng.choices(pool, k=rng.randrange(1, 8))) for _ in range(4000)] + [chr(c) for c in range(0x80, 0x20000, 7) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    for r in with_folded(rows, "name", "low").collect():
+        assert r.low == fold_text(r.name), ascii(r.name)
+    plan = rows.select(text.fold_letters(F.col("name")))._jdf.queryExecution().toString()
+    assert "Python" not in plan
+
+
+def test_exact_names_stay(spark):
+    raw = b"a\xed\xa0\x80B"
+    rows = [("C", 100 | S, ROOT_FRN, "a\ufffdB", True, False, None, 5, raw), ("C", 101 | S, 100 | S, "in.txt", False, False, 9, 6, None), ("C", 102 | S, ROOT_FRN, "z", False, False, 1, 1, None)]
+    entries = full(spark, rows, BASE + ", name_raw binary").persist()
+    one = entries.filter("record_no = 100").first()
+    assert one.non_unicode and bytes(one.name_raw) == raw and bytes(one.name_fold_raw) == b"a\xed\xa0\x80b"
+    journal = spark.createDataFrame([("C", 1, 102 | S, ROOT_FRN, 0x2000, 32, "z2", None), ("C", 2, 103 | S, ROOT_FRN, 0x100, 32, "q\ufffd", b"q\xed\xb0\x80")], "volume string, usn bigint, frn bigint, parent_frn bigint, reason bigint, attributes bigint, name string, name_raw binary")
+    after = changes.apply_journal(entries, journal).persist()
+    assert after.filter("record_no in (100, 101)").collect() == entries.filter("record_no in (100, 101)").collect()
+    assert after.filter("record_no = 102").first().name == "z2" and after.filter("record_no = 102").first().entry_id == entries.filter("record_no = 102").first().entry_id
+    assert bytes(after.filter("record_no = 103").first().name_raw) == b"q\xed\xb0\x80"
+    layout = spark.createDataFrame([("C", 101 | S, 32, 77, 8, [(ROOT_FRN, "link", None, False, False)])], "volume string, frn bigint, attributes bigint, size bigint, mtime_ft bigint, names array<struct<parent_frn:bigint,name:string,name_raw:binary,name_lossy:boolean,dos_only:boolean>>")
+    rich = changes.enrich(after, layout)
+    assert bytes(rich.filter("record_no = 100").first().name_raw) == raw and sorted(r.name for r in rich.filter("record_no = 101").collect()) == ["in.txt", "link"]
+    actual = spark.createDataFrame([("C", 101 | S, [(100 | S, "in.txt"), (ROOT_FRN, "new")])], "volume string, frn bigint, links array<struct<parent_frn:bigint,name:string>>")
+    linked = changes.reconcile_links(rich, actual)[0].persist()
+    assert bytes(linked.filter("record_no = 100").first().name_raw) == raw and sorted((r.name, r.size) for r in linked.filter("record_no = 101").collect()) == [("in.txt", 77), ("new", 77)]
+    volumes = spark.createDataFrame([("C", "g", ["C:"], "Live", None, False, True, True, 7)], VOLUMES)
+    engine = Engine(spark, linked, dir_paths(linked), volumes)
+    hits = {r.path: r for r in engine.query("").hits.collect()}
+    assert bytes(hits["C:\\a\ufffdB\\in.txt"].path_raw) == b"C:\\" + raw + b"\\in.txt" and hits["C:\\new"].path_raw is None
+    assert '"path_u16"' in outputs.to_json(engine.query("in.txt").hits, 1, 0, False, False)
+    page = outputs.read_page(next(outputs.hit_pages(engine.query("in.txt").hits, 1)))
+    assert page["items"][0]["path_u16"] == outputs.to_utf16(b"C:\\" + raw + b"\\in.txt")
+    assert engine.lookup("C", 102 | S).count() == 1 and engine.lookup("C", 102 | 2 * S).count() == 0
+
+
+def test_chains_of_many_entries(spark):
+    rows = [("C", 1000 + i, ROOT_FRN if i == 1 else 999 + i, f"d{i}", True, False, None, None) for i in range(1, 31)]
+    rows += [("C", 5000, 1010, "f10", False, False, 1, 1), ("C", 5001, None, "nowhere", True, False, None, None), ("C", 5002, 5002, "self", True, False, None, None)]
+    entries = full(spark, rows).persist()
+    for most in (3, 12, 31, 4096):
+        got = {r.frn: r for r in dir_paths(entries, most_hops=most).collect()}
+        for i in range(1, 31):
+            ok = i + 1 <= most
+            assert got[1000 + i].status == ("Ok" if ok else "CycleDetected") and got[1000 + i].depth == (i if ok else None), (most, i)
+        assert got[5001].status == "InLostFound" and got[5002].status == "CycleDetected"
+
+
+def test_local_time(spark):
+    ticks = [0, 133_000_000_000_000_001, 116444736000000000, (1 << 63) - 1, -(1 << 63), None]
+    rows = spark.createDataFrame([(t,) for t in ticks], "t bigint")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for session in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", session)
+            got = [r[0] for r in rows.select(filetime.format_utc(F.col("t"))).collect()]
+            assert got == [None if t is None else filetime.format_ticks(t) for t in ticks]
+            got = [r[0] for r in rows.select(filetime.format_local(F.col("t"), "Europe/Berlin")).collect()]
+            assert got[1:] == ["2022-06-18T06:26:40", "1970-01-01T01:00:00", "", "", None]
+            here = rows.select(filetime.format_local(F.col("t"))).collect()[2][0]
+            assert here == {"UTC": "1970-01-01T00:00:00", "America/New_York": "1969-12-31T19:00:00", "Asia/Kolkata": "1970-01-01T05:30:00"}[session]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_runner(five, tmp_path):
+    from stratafind.plans import runner
+
+    def run(*argv, engine=five):
+        out, err = io.StringIO(), io.StringIO()
+        return runner.run(list(argv), lambda: engine, out, err, "UTC"), out.getvalue(), err.getvalue()
+
+    assert run("ext:pdf") == (0, "C:\\docs\\sub\\Report.PDF\n", "")
+    assert run("-sort-size", "-n", "2", "file:")[1] == "C:\\photo.JPG\nC:\\docs\\sub\\Report.PDF\n"
+    assert run("-path", "docs/sub", "*")[1] == "C:\\docs\\sub\\Report.PDF\n" == run("-path", "C:\\docs\\x\\..\\sub", "*")[1]
+    file = tmp_path / "o.csv"
+    assert run("-export-csv", str(file), "-size", "-dm", "ext:jpg")[0] == 0
+    assert file.read_bytes() == b'\xef\xbb\xbfSize,Date Modified,Filename\r\n2097152,1601-01-01T00:00:00,"C:\\photo.JPG"\r\n'
+    assert run("-export-csv", str(file), "-no-header", "-no-utf8-bom", "-no-double-quote", "ext:jpg")[0] == 0 and file.read_bytes() == b"C:\\photo.JPG\r\n"
+    code, out, err = run("-export-csv", str(file), "a|b")
+    assert code == 4 and err and file.read_bytes() == b""
+    assert run("-export-csv", str(tmp_path / "no" / "o.csv"), "x")[0] == 5 and run("--bogus")[0] == 6 and run("-n", "x")[0] == 4 and run("size:x")[0] == 4
+    assert '"total": 1' in run("--json", "ext:pdf")[1]
+    code, out, _ = run("--status")
+    assert code == 0 and out.startswith("status: 1 volume(s)\n  C:") and out.endswith("entries  phase=live\n")
+
+
+def test_service(five):
+    import json
+
+    from stratafind.service import Service
+
+    s = Service(five)
+    assert s.handle({"t": "Hello", "proto_min": 1, "proto_max": 3, "client": "x"})["ready"] and s.handle({"t": "Hello", "proto_min": 2, "proto_max": 3})["code"] == "Unsupported"
+    found = s.handle_bytes(json.dumps({"t": "Query", "query": "", "sort": {"key": "size", "descending": True}, "limit": 1, "offset": 1}).encode())
+    assert found["total"] == 5 and [i["path"] for i in found["items"]] == ["C:\\docs\\sub\\Report.PDF"]
+    assert s.handle({"t": "Query", "query": "a|b"})["code"] == "BadQuery" and s.handle({"t": "Query"})["code"] == "Internal"
+    assert s.handle_bytes(b"x" * (2 << 20))["code"] == "TooLarge" and s.handle({"t": "Nope"})["code"] == "Unsupported" and s.handle_bytes(b"{")["code"] == "Unsupported"
+    assert s.handle({"t": "Status"})["volumes"][0]["phase_text"] == "live"
+
+
+def journal_rows(spark, rows):
+    data = [("C", u, f, p, r, a, n, None, False, 0, 2) for u, f, p, r, a, n in rows]
+    from stratafind.schema import JOURNAL
+
+    return spark.createDataFrame(data, JOURNAL)
+
+
+def test_index(spark, tmp_path):
+    from stratafind.index import Index
+    from stratafind.schema import ENTRIES
+
+    volumes = spark.createDataFrame([("C", "g", ["C:"], "Live", None, False, True, True, 7)], VOLUMES)
+    index = Index(spark, str(tmp_path / "index"), volumes, buckets=4)
+    raw = "volume string, position bigint, place int, frn bigint, parent_frn bigint, attributes bigint, name string, name_raw binary"
+    index.ingest_snapshot(spark.createDataFrame([("C", 9, i, (100 + i) | S, ROOT_FRN if i < 2 else 100 | S, 16 if i < 2 else 32, f"n{i}", None) for i in range(8)], raw))
+    assert index.total("n") == 8 and index.total("n", "C:\\n0") == 6
+    version = index.table.state()["version"]
+    index.apply_journal(journal_rows(spark, [(1, 102 | S, 100 | S, 0x2000, 32, "renamed"), (2, 103 | S, 100 | S, 0x200, 32, "n3")]))
+    held = index.table.manifest()
+    assert sorted(set(held.values())) == [version, version + 1] and {b for b, v in held.items() if v > version} <= {100 % 4, 102 % 4, 103 % 4}
+    assert [r.path for r in index.query("renamed").hits.collect()] == ["C:\\n0\\renamed"] and index.total("n3") == 0
+    index.set_stats(spark.createDataFrame([("C", 102 | S, 55, 66)], "volume string, frn bigint, size bigint, mtime_ft bigint"))
+    assert index.query("renamed").hits.first()["size"] == 55
+    before = sorted(map(str, index.entries.collect()))
+    index.table.compact(ENTRIES)
+    index.table.vacuum(1)
+    assert sorted(map(str, index.entries.collect())) == before and index.status().first().entries == 9
+
+
+def test_buffers_from_files(spark, tmp_path):
+    folder = tmp_path / "j" / "C"
+    folder.mkdir(parents=True)
+    (folder / "a").write_bytes(struct.pack("<q", 77) + change(2, 5, 6, 1, 256, "a.txt") + struct.pack("<IHH", 8, 4, 0) + change(3, 7, 8, 2, 512, "b"))
+    (folder / "b").write_bytes(struct.pack("<q", 99) + struct.pack("<IHH", 0, 2, 0))
+    (folder / "c").write_bytes(struct.pack("<q", 78) + change(2, 5 | 2 * S, 6, 1, 256, "later"))
+    path = str(tmp_path / "j")
+    assert sorted((r.volume, r.frn, r.name) for r in records.read_journal(spark, path).collect()) == [("C", 5, "a.txt"), ("C", 7, "b"), ("C", 5 | 2 * S, "later")]
+    report = {(r.what, r.detail): r.n for r in records.scan_report(spark, path).collect()}
+    assert report == {("buffers", ""): 3, ("records", ""): 3, ("skipped", "4"): 1, ("rejected", "length 0"): 1}
+    got = changes.snapshot(records.read_snapshot(spark, path)).collect()
+    assert sorted((r.record_no, r.name) for r in got) == [(5, "later"), (7, "b")]
+    (tmp_path / "l" / "C").mkdir(parents=True)
+    name = "x.txt".encode("utf-16-le")
+    entry = records.LAYOUT_NAME.pack(0, 1, 9, len(name), 0) + name
+    size = records.LAYOUT_FILE.size
+    (tmp_path / "l" / "C" / "a").write_bytes(records.LAYOUT_HEAD.pack(1, 16, 0, 0) + records.LAYOUT_FILE.pack(1, 0, 0, 32, 42, size, 0, 0, 0) + entry)
+    row = records.read_layout(spark, str(tmp_path / "l")).first()
+    assert (row.volume, row.frn, row["size"], [n.name for n in row.names]) == ("C", 42, None, ["x.txt"])
+
+
+def test_tail(spark, tmp_path):
+    from stratafind.schema import ENTRIES
+    from stratafind.streaming.tail import JournalGone, Tail, supervise
+    from stratafind.tables import VersionedTable
+
+    now, slept, state = [0.0], [], {"id": 7, "first": 0, "next": 10, "fail": None}
+    table = VersionedTable(spark, str(tmp_path / "t"), 4)
+    scanned = full(spark, [("C", 100 | S, ROOT_FRN, "scan", False, False, 1, 1)])
+    feed = [journal_rows(spark, [(10, 101 | S, ROOT_FRN, 0x100, 32, "new"), (11, 101 | S, ROOT_FRN, 0x80000000, 32, "new")])]
+
+    def read(cursor):
+        if state["fail"]:
+            raise state["fail"]
+        return feed[0].filter(F.col("usn") >= cursor.next_usn)
+
+    tail = Tail(table, lambda: policy.JournalBounds(state["id"], state["first"], 0, state["next"]), read, lambda: scanned, clock=lambda: now[0], sleep=lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+    tail.start(policy.Cursor(6, 3))
+    assert tail.log == ["JournalIdChanged"] and tail.phase == "Live" and tail.cursor == policy.Cursor(7, 10)
+    names = lambda: sorted(r.name for r in table.read(ENTRIES).filter("not is_placeholder").collect())
+    assert tail.step() and names() == ["new", "scan"] and tail.cursor.next_usn == 12 and tail.rescans == 0
+    state["fail"] = OSError("drive not ready")
+    for _ in range(5):
+        assert tail.step()
+    assert slept == [0.5, 1.0, 2.0, 4.0, 8.0] and tail.phase == "Offline"
+    while tail.rescans == 0:
+        assert tail.step()
+    assert names() == ["scan"] and now[0] >= 30 and tail.phase == "Live" and tail.cursor == policy.Cursor(7, 10)
+    state["fail"] = JournalGone("deleted")
+    assert tail.step() and tail.step() and not tail.step() and tail.phase == "Failed"
+    seen, revives, healthy = {"C": ("Beat", now[0])}, {}, {}
+    state["fail"] = None
+    assert supervise({"C": tail}, seen, revives, healthy, now[0]) == {"C": "Revive"} and tail.phase == "Live" and revives == {"C": 1} and tail.step()
+    for minutes in range(0, 12):
+        actions = supervise({"C": tail}, {"C": ("Beat", minutes * 60.0)}, revives, healthy, minutes * 60.0)
+    assert actions == {"C": "Nothing"} and revives == {"C": 0}
+    saved = Tail(table, tail.bounds, read, lambda: scanned)
+    saved.start(policy.Cursor(7, 10))
+    assert saved.phase == "Live" and saved.rescans == 0
+
