@@ -23,7 +23,7 @@ S = 1 << 48
 
 @pytest.fixture(scope="module")
 def five(spark):
-    rows = [(100, None, "docs", True, None, None), (101, 100, "sub", True, None, None), (102, 101, "Report.PDF", False, 4096, 1000), (103, 100, "notes.txt", False, 200, 1000), (104, None, "photo.JPG", False, 2097152, 1000), (105, 999, "ghost.txt", False, 1, 1)]
+    rows = [(100, None, "papers", True, None, None), (101, 100, "old", True, None, None), (102, 101, "Budget.XLS", False, 5000, 2000), (103, 100, "todo.md", False, 300, 2000), (104, None, "Sunset.PNG", False, 3000000, 2000), (105, 999, "lost.tmp", False, 1, 1)]
     data = [("C", r | S, ROOT_FRN if p is None else p | S, n, d, False, s, m) for r, p, n, d, s, m in rows]
     entries = changes.completed(spark.createDataFrame(data, BASE)).persist()
     volumes = spark.createDataFrame([("C", "g", ["C:"], "Live", None, False, True, True, 7)], VOLUMES)
@@ -31,10 +31,10 @@ def five(spark):
 
 
 @pytest.mark.parametrize("query,want", [
-    ("report", ["docs\\sub\\Report.PDF"]), ("REPORT", ["docs\\sub\\Report.PDF"]), ("notes txt", ["docs\\notes.txt"]), ("notes zzz", []),
-    ("ext:pdf", ["docs\\sub\\Report.PDF"]), ("ext:jpg", ["photo.JPG"]), ("size:>1mb", ["photo.JPG"]), ("size:tiny", ["docs\\notes.txt", "docs\\sub\\Report.PDF"]),
-    ("folder:", ["docs", "docs\\sub"]), ("*.pdf", ["docs\\sub\\Report.PDF"]), ("*.zip", []), ("docs\\sub", ["docs\\sub\\Report.PDF", "docs\\sub"]),
-    ("report case:", []), ("Report case:", ["docs\\sub\\Report.PDF"]), ("Report ext:pdf case:", ["docs\\sub\\Report.PDF"]), ("ghost", []),
+    ("budget", ["papers\\old\\Budget.XLS"]), ("BUDGET", ["papers\\old\\Budget.XLS"]), ("todo md", ["papers\\todo.md"]), ("todo zzz", []),
+    ("ext:xls", ["papers\\old\\Budget.XLS"]), ("ext:png", ["Sunset.PNG"]), ("size:>1mb", ["Sunset.PNG"]), ("size:tiny", ["papers\\old\\Budget.XLS", "papers\\todo.md"]),
+    ("folder:", ["papers\\old", "papers"]), ("*.xls", ["papers\\old\\Budget.XLS"]), ("*.zip", []), ("papers\\old", ["papers\\old\\Budget.XLS", "papers\\old"]),
+    ("budget case:", []), ("Budget case:", ["papers\\old\\Budget.XLS"]), ("Budget ext:xls case:", ["papers\\old\\Budget.XLS"]), ("lost", []),
 ])
 def test_five_rows(five, query, want):
     got = five.query(query)
@@ -43,10 +43,10 @@ def test_five_rows(five, query, want):
 
 def test_five_rows_order(five):
     path = [r.path[3:] for r in five.query("", sort=Sort("path")).hits.collect()]
-    assert path == ["docs", "photo.JPG", "docs\\notes.txt", "docs\\sub", "docs\\sub\\Report.PDF"]
+    assert path == ["papers", "Sunset.PNG", "papers\\old", "papers\\todo.md", "papers\\old\\Budget.XLS"]
     page = five.query("", offset=1, limit=2)
     assert page.hits.count() == 2 and page.total == 5 and page.generation == 7 and not page.volumes_incomplete
-    assert [r.path for r in five.query("", scope="c:/docs/sub").hits.collect()] == ["C:\\docs\\sub\\Report.PDF"]
+    assert [r.path for r in five.query("", scope="c:/papers/old").hits.collect()] == ["C:\\papers\\old\\Budget.XLS"]
 
 
 def test_query_text():
@@ -99,11 +99,11 @@ def test_outputs(five, tmp_path):
     path = tmp_path / "o.csv"
     outputs.write_csv(five.query("").hits, str(path), ["size"])
     lines = path.read_bytes().split(b"\r\n")
-    assert lines[0] == b"\xef\xbb\xbfSize,Filename" and lines[1] == b',"C:\\docs"' and lines[2] == b'200,"C:\\docs\\notes.txt"' and lines[-1] == b""
+    assert lines[0] == b"\xef\xbb\xbfSize,Filename" and lines[1] == b'5000,"C:\\papers\\old\\Budget.XLS"' and lines[2] == b',"C:\\papers\\old"' and lines[-1] == b""
     out = io.StringIO()
-    outputs.plain_paths(five.query("ext:pdf").hits, out)
-    assert out.getvalue() == "C:\\docs\\sub\\Report.PDF\n"
-    assert '"size": 4096' in outputs.to_json(five.query("ext:pdf").hits, 1, 0, False, False)
+    outputs.plain_paths(five.query("ext:xls").hits, out)
+    assert out.getvalue() == "C:\\papers\\old\\Budget.XLS\n"
+    assert '"size": 5000' in outputs.to_json(five.query("ext:xls").hits, 1, 0, False, False)
     items = [(f"p{i}".encode(), i % 2 == 0, i if i % 3 else None, -i if i % 5 else None) for i in range(5000)]
     pages = [outputs.read_page(p) for p in outputs.pages(items, 5000, 3, True, False)]
     assert [len(p["items"]) for p in pages] == [4096, 904] and [p["more"] for p in pages] == [True, False] and pages[0]["volumes_incomplete"]
@@ -270,17 +270,17 @@ def test_runner(five, tmp_path):
         out, err = io.StringIO(), io.StringIO()
         return runner.run(list(argv), lambda: engine, out, err, "UTC"), out.getvalue(), err.getvalue()
 
-    assert run("ext:pdf") == (0, "C:\\docs\\sub\\Report.PDF\n", "")
-    assert run("-sort-size", "-n", "2", "file:")[1] == "C:\\photo.JPG\nC:\\docs\\sub\\Report.PDF\n"
-    assert run("-path", "docs/sub", "*")[1] == "C:\\docs\\sub\\Report.PDF\n" == run("-path", "C:\\docs\\x\\..\\sub", "*")[1]
+    assert run("ext:xls") == (0, "C:\\papers\\old\\Budget.XLS\n", "")
+    assert run("-sort-size", "-n", "2", "file:")[1] == "C:\\Sunset.PNG\nC:\\papers\\old\\Budget.XLS\n"
+    assert run("-path", "papers/old", "*")[1] == "C:\\papers\\old\\Budget.XLS\n" == run("-path", "C:\\papers\\x\\..\\old", "*")[1]
     file = tmp_path / "o.csv"
-    assert run("-export-csv", str(file), "-size", "-dm", "ext:jpg")[0] == 0
-    assert file.read_bytes() == b'\xef\xbb\xbfSize,Date Modified,Filename\r\n2097152,1601-01-01T00:00:00,"C:\\photo.JPG"\r\n'
-    assert run("-export-csv", str(file), "-no-header", "-no-utf8-bom", "-no-double-quote", "ext:jpg")[0] == 0 and file.read_bytes() == b"C:\\photo.JPG\r\n"
+    assert run("-export-csv", str(file), "-size", "-dm", "ext:png")[0] == 0
+    assert file.read_bytes() == b'\xef\xbb\xbfSize,Date Modified,Filename\r\n3000000,1601-01-01T00:00:00,"C:\\Sunset.PNG"\r\n'
+    assert run("-export-csv", str(file), "-no-header", "-no-utf8-bom", "-no-double-quote", "ext:png")[0] == 0 and file.read_bytes() == b"C:\\Sunset.PNG\r\n"
     code, out, err = run("-export-csv", str(file), "a|b")
     assert code == 4 and err and file.read_bytes() == b""
     assert run("-export-csv", str(tmp_path / "no" / "o.csv"), "x")[0] == 5 and run("--bogus")[0] == 6 and run("-n", "x")[0] == 4 and run("size:x")[0] == 4
-    assert '"total": 1' in run("--json", "ext:pdf")[1]
+    assert '"total": 1' in run("--json", "ext:xls")[1]
     code, out, _ = run("--status")
     assert code == 0 and out.startswith("status: 1 volume(s)\n  C:") and out.endswith("entries  phase=live\n")
 
@@ -293,7 +293,7 @@ def test_service(five):
     s = Service(five)
     assert s.handle({"t": "Hello", "proto_min": 1, "proto_max": 3, "client": "x"})["ready"] and s.handle({"t": "Hello", "proto_min": 2, "proto_max": 3})["code"] == "Unsupported"
     found = s.handle_bytes(json.dumps({"t": "Query", "query": "", "sort": {"key": "size", "descending": True}, "limit": 1, "offset": 1}).encode())
-    assert found["total"] == 5 and [i["path"] for i in found["items"]] == ["C:\\docs\\sub\\Report.PDF"]
+    assert found["total"] == 5 and [i["path"] for i in found["items"]] == ["C:\\papers\\old\\Budget.XLS"]
     assert s.handle({"t": "Query", "query": "a|b"})["code"] == "BadQuery" and s.handle({"t": "Query"})["code"] == "Internal"
     assert s.handle_bytes(b"x" * (2 << 20))["code"] == "TooLarge" and s.handle({"t": "Nope"})["code"] == "Unsupported" and s.handle_bytes(b"{")["code"] == "Unsupported"
     assert s.handle({"t": "Status"})["volumes"][0]["phase_text"] == "live"
