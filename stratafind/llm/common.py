@@ -37,15 +37,27 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables of one operator run below the shared folder, by name."""
+    """Tables of one operator run below the shared folder, by name; they go when the driver ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         bounded_batches(spark)
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df as Parquet and returns a reader of it, which cuts its lineage."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def keep(self, df: DataFrame, name: str, small: bool = False, dealt: bool = False) -> DataFrame:
+        """Writes df as Parquet and returns a reader of it, which cuts its lineage.
+
+        small: rows of a few numbers, which a sixteenth of the tasks write, so that wide shuffles
+        do not leave thousands of files of a few rows; dealt: their last step is dear, so it keeps
+        its tasks and the rows are dealt out anew.
+        """
+        if small or dealt:
+            files = max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+            df = df.repartition(files) if dealt else df.coalesce(files)
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
@@ -57,6 +69,39 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, longer by underscores where a column has them (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(docs: DataFrame):
+    """A 64-bit hash of a whole row; columns that hold maps enter as JSON."""
+    def part(field):
+        return F.to_json(docs[field.name]) if "map" in field.dataType.simpleString() else docs[field.name]
+
+    return F.xxhash64(*[part(f) for f in docs.schema.fields])
+
+
+def seeded_rows(rows: DataFrame, key: str, seed: int, most: int) -> DataFrame:
+    """At most `most` rows with distinct keys, drawn by a seeded hash of the key.
+
+    Rows are thinned out by their hash before the smallest are taken, so tasks send few.
+    """
+    drawn = F.xxhash64(F.lit(seed), key)
+    total = rows.count()
+    if total > 2 * most:
+        # of the hashes' 2^63 halves, twice as many rows as are asked for
+        rows = rows.filter(F.shiftrightunsigned(drawn, 1) < F.lit(int(2.0**63 * (2 * most / total))))
+    return rows.orderBy(drawn, key).limit(most)
+
+
 def fits_broadcast(df: DataFrame, key: str | None = None) -> bool:
     """Counts df's rows, and the bytes of a text key, against the broadcast bound."""
     length = F.coalesce(F.sum(F.octet_length(F.col(key))), F.lit(0)) if key else F.lit(0)

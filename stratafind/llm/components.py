@@ -47,12 +47,11 @@ def connected_components(work: Workspace, edges: DataFrame, label: str = "cc") -
     table in the shared folder; only a count and a checksum reach the driver. An edge table
     whose counted size is within ONE_TASK_EDGES is joined by one task instead.
     """
-    now = work.keep(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{label}-0"
-    )
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    if edges.count() <= ONE_TASK_EDGES:
+        return edges.coalesce(1).mapInArrow(_stars, "node long, root long")
+    now = work.keep(edges.distinct(), f"{label}-0")
     seen, turn = _signature(now), 0
-    if seen[0] <= ONE_TASK_EDGES:
-        return now.coalesce(1).mapInArrow(_stars, "node long, root long")
     while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -17,7 +17,7 @@ def ranked_sources(work: Workspace, totals: DataFrame) -> DataFrame:
     Each partition ranks its own rows; only one row count per partition reaches the driver.
     """
     ordered = totals.repartitionByRange(F.col("source").isNull(), F.col("source")).sortWithinPartitions(F.col("source").isNull(), F.col("source"))
-    at = work.keep(ordered.withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    at = work.keep(ordered.withColumn("_id", F.monotonically_increasing_id()), "ordered", small=True)
     part = F.shiftright("_id", 33)
     before, base = 0, F.lit(0)
     for p, n in sorted(at.groupBy(part.alias("p")).count().collect()):
@@ -36,7 +36,7 @@ def water_fill(work: Workspace, totals: DataFrame, weights: list[float], share:
     """
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int"))
     sources = work.keep(
-        ranked_sources(work, totals).withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_epochs)), "sources"
+        ranked_sources(work, totals).withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_epochs)), "sources", small=True
     )
     budget = share * float(sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
     level = 0.0
@@ -73,33 +73,33 @@ def _plan(work: Workspace, rows: DataFrame, weights, share: float, max_epochs: f
     are ordered at a time, and only rows below the prefix in which it falls go on.
     """
     digits, sums = DIGITS, _prefix_sums(rows, DIGITS)
-    sums = work.keep(sums, "sums")
+    sums = work.keep(sums, "sums", small=True)
     totals = sums.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = water_fill(work, totals, list(weights), share, max_epochs)
     targets = targets.withColumn("whole", F.floor(epochs).cast("long")).withColumn("part", (epochs - F.floor(epochs)) * F.col("source_size"))
-    targets = work.keep(targets.withColumnRenamed("source", "_source"), "targets")
+    targets = work.keep(targets.withColumnRenamed("source", "_source"), "targets", small=True)
     sums = join_dimension(sums, targets.filter("part > 0").select("_source", "part"), "_source", "inner").withColumn("base", F.lit(0.0))
     while True:
         running = W.partitionBy("_source").orderBy("prefix").rowsBetween(W.unboundedPreceding, 0)
         after = sums.withColumn("after", F.col("base") + F.sum("size").over(running)).filter(F.col("after") > F.col("part"))
         first = after.groupBy("_source", "part").agg(F.min_by(F.struct("prefix", (F.col("after") - F.col("size")).alias("base"), "n", "low", "high"), "prefix").alias("e"))
-        edge = work.keep(first.select("_source", "part", F.col("e.prefix").alias("edge"), F.col("e.base").alias("base"), F.col("e.n").alias("n"), (F.col("e.low") == F.col("e.high")).alias("one")), f"edge-{digits}")
+        edge = work.keep(first.select("_source", "part", F.col("e.prefix").alias("edge"), F.col("e.base").alias("base"), F.col("e.n").alias("n"), (F.col("e.low") == F.col("e.high")).alias("one")), f"edge-{digits}", small=True)
         most = edge.agg(F.max(F.when(~F.col("one"), F.col("n")))).first()[0] or 0
         inside = join_dimension(rows, edge.select("_source", "part", "edge", "base"), "_source", "inner").filter(F.col("_h").startswith(F.col("edge")))
         if most <= FEW or digits >= 32:
             break
         digits += DIGITS
-        sums = work.keep(_prefix_sums(inside, digits, "part", "base"), f"sums-{digits}")
+        sums = work.keep(_prefix_sums(inside, digits, "part", "base"), f"sums-{digits}", small=True)
     # The few different hashes of that prefix, in order; rows of one hash are copies of one text.
     same = inside.groupBy("_source", "part", "base", "_h").agg(F.max("_size").alias("size"), F.count("*").alias("copies"))
     running = W.partitionBy("_source").orderBy("_h").rowsBetween(W.unboundedPreceding, 0)
     left = F.col("part") - F.col("base") - (F.sum(F.col("size") * F.col("copies")).over(running) - F.col("size") * F.col("copies")) - F.col("size") / 2
     same = same.filter("size > 0").withColumn("more", F.least(F.when(left >= 0, F.floor(left / F.col("size")) + 1).otherwise(0), F.col("copies")).cast("long"))
     cut = same.filter("more > 0").groupBy("_source").agg(F.max_by(F.struct("_h", "more", "copies"), "_h").alias("c"))
-    cut = work.keep(cut.select("_source", F.col("c._h").alias("cut"), F.col("c.more").alias("more"), F.col("c.copies").alias("copies")), "cut")
+    cut = work.keep(cut.select("_source", F.col("c._h").alias("cut"), F.col("c.more").alias("more"), F.col("c.copies").alias("copies")), "cut", small=True)
     plan = join_dimension(targets, edge.select("_source", "edge"), "_source")
-    return work.keep(join_dimension(plan, cut, "_source"), "plan")
+    return work.keep(join_dimension(plan, cut, "_source"), "plan", small=True)
 
 
 def _prefix_sums(rows: DataFrame, digits: int, *also: str) -> DataFrame:

@@ -14,7 +14,11 @@ answered in two steps, following set relations:
   verified on the full sets.
 
 An exact parity-bitmap bound (Hamming distance <= symmetric difference) precedes verification.
-No list, partner or candidate is capped; exact copies are one class from the start.
+No list, partner or candidate is capped; exact copies are one class from the start. A list of
+more than CELL entries is cut into cells by size block and a hash of the node: each cell has its
+own head and neighbours, heads are tried against the least head of their block, and what stays
+open is looked for within every cell and between every two cells of one block or of neighbouring
+ones (others differ too much in size), so that no task ever holds more than two cells of a list.
 """
 
 from __future__ import annotations
@@ -22,15 +26,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
-from .common import BROADCAST_ROWS, Workspace, chunks
+from .common import BROADCAST_ROWS, Workspace, chunks, join_dimension, row_hash
 from .components import connected_components
-from .shingles import bitmap, distance, folded, shingle_sets
+from .shingles import bitmap, distance, folded, forget, shingle_sets
 
 #: Buckets of the token order: a table of counts of 2 MB, whatever the corpus.
 ORDER_BITS, CHUNK = 18, 4096
+#: Entries of a list that are handled together, about; bitmaps that are compared at once.
+CELL, AT_ONCE = 1024, 256
 
 
 def _count_buckets(k: int):
@@ -41,6 +47,7 @@ def _count_buckets(k: int):
                 sets = shingle_sets(texts, k)
                 if sets:
                     counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(counts))
+        forget()
         if counts.any():
             small = counts.astype(np.int32) if counts.max() < 2**31 else counts
             parts = [x.tobytes() for x in small.reshape(-1, CHUNK)]
@@ -75,11 +82,11 @@ def _signatures(k: int, num: int, den: int, order):
         for batch in batches:
             for a, b, texts in chunks(batch.column("text")):
                 sets = shingle_sets(texts, k)
-                ids, prefixes, maps = [], [], []
+                ids, prefixes, maps, common = [], [], [], []
                 for s in sets:
                     n = len(s)
                     if not n:
-                        ids.append(None), prefixes.append(None), maps.append(None)
+                        ids.append(None), prefixes.append(None), maps.append(None), common.append(None)
                         continue
                     ids.append(xxhash.xxh3_128_digest(s.tobytes()))
                     p = n - -(-num * n // den) + 1
@@ -90,12 +97,16 @@ def _signatures(k: int, num: int, den: int, order):
                         s2, c2 = s[near], c[near]
                     else:
                         s2, c2 = s, c
-                    prefixes.append(s2[np.argsort(c2, kind="stable")][:p].view(np.int64))
+                    first = np.argsort(c2, kind="stable")[:p]
+                    prefixes.append(s2[first].view(np.int64))
+                    # only tokens of a full bucket can have a long list
+                    common.append(s2[first][c2[first] > CELL].view(np.int64))
                     maps.append(bitmap(s))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[a:b], batch.column("row_hash")[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
-                    names=["doc_id", "row_hash", "n", "cid", "prefix", "bits"],
+                    [batch.column("doc_id")[a:b], batch.column("row_hash")[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
+                    names=["doc_id", "row_hash", "n", "cid", "prefix", "common", "bits"],
                 )
+        forget()
 
     return run
 
@@ -109,6 +120,7 @@ def _full_sets(k: int):
                     [pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                     names=["cid", "tokens"],
                 )
+        forget()
 
     return run
 
@@ -131,16 +143,16 @@ def _required(na, nb, num, den):
 
 
 def _list_runs(batches, columns):
-    """Whole index lists (runs of one token) as dicts of arrays, from sorted batches."""
+    """Whole index lists, or pairs of their cells (runs of one token and group), as dicts of arrays, from sorted batches."""
     held = None
     for batch in batches:
         got = {c: (batch.column(c).to_numpy(zero_copy_only=False) if c != "bits" else np.array([*batch.column(c).to_pylist(), None], dtype=object)[:-1]) for c in columns}
         if held is not None:
             got = {c: np.concatenate([held[c], got[c]]) for c in columns}
-        token = got["token"]
+        token, group = got["token"], got["group"]
         if not len(token):
             continue
-        cuts = np.flatnonzero(token[1:] != token[:-1]) + 1
+        cuts = np.flatnonzero((token[1:] != token[:-1]) | (group[1:] != group[:-1])) + 1
         starts = np.concatenate([[0], cuts])
         for s, e in zip(starts[:-1], cuts):
             yield {c: got[c][s:e] for c in columns}
@@ -154,9 +166,10 @@ def _apart(bits, i: int, j: np.ndarray) -> np.ndarray:
     out = np.empty(len(j), dtype=np.int64)
     sizes = np.array([min(len(bits[x]), len(bits[i])) for x in j])
     for size in np.unique(sizes):
-        at = np.flatnonzero(sizes == size)
-        others = np.stack([folded(bits[x], size) for x in j[at]])
-        out[at] = np.bitwise_count(others ^ folded(bits[i], size)).sum(axis=1)
+        own, same = folded(bits[i], size), np.flatnonzero(sizes == size)
+        for first in range(0, len(same), AT_ONCE):
+            at = same[first : first + AT_ONCE]
+            out[at] = np.bitwise_count(np.stack([folded(bits[x], size) for x in j[at]]) ^ own).sum(axis=1)
     return out
 
 
@@ -178,20 +191,21 @@ def _near_enough(num: int, den: int):
 def _residual(num: int, den: int, one: bool):
     """Pairs of one list that lie in different components and that no bound settles.
 
-    one: of each entry's partners only the smallest node of each other component.
+    one: of each entry's partners only the smallest node of each other component. side tells the
+    two cells of a pair of cells apart (-1: one cell, or a whole list).
     """
 
     def run(batches):
-        for got in _list_runs(batches, ("token", "node", "n", "pos", "root", "head", "shared", "bits")):
+        for got in _list_runs(batches, ("token", "group", "side", "node", "n", "pos", "root", "head", "shared", "bits")):
             root = got["root"]
             if (root == root[0]).all():
                 continue
-            n, pos, node, head, shared, bits = (got[c] for c in ("n", "pos", "node", "head", "shared", "bits"))
+            n, pos, node, side, head, shared, bits = (got[c] for c in ("n", "pos", "node", "side", "head", "shared", "bits"))
             left, right = [], []
             for i in range(1, len(n)):
                 # sizes ascend: entries that are too small for this one end before first
                 first = int(np.searchsorted(n[:i], -(-num * int(n[i]) // den)))
-                j = np.flatnonzero(root[first:i] != root[i]) + first
+                j = np.flatnonzero((root[first:i] != root[i]) & ((side[first:i] < 0) | (side[first:i] != side[i]))) + first
                 if not len(j):
                     continue
                 need = _required(n[i], n[j], num, den)
@@ -216,6 +230,25 @@ def _residual(num: int, den: int, one: bool):
     return run
 
 
+def _groups():
+    """(group, side) of an entry: 0 for a whole list; in a long one its own cell, and each pair of it with
+    another part of its block or with any part of the block below or above."""
+
+    def group(b1, p1, b2, p2):
+        return F.xxhash64(b1, p1, b2, p2)
+
+    def one(key, side):
+        return F.struct(key.alias("group"), F.lit(side).alias("side"))
+
+    block, part = F.col("block"), F.col("part")
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    own = F.transform(others, lambda q: F.when(q == part, one(group(block, part, block, part), -1)).when(q < part, one(group(block, q, block, part), 1)).otherwise(one(group(block, part, block, q), 0)))
+    above = F.transform(others, lambda q: one(group(block, part, block + 1, q), 0))
+    below = F.transform(others, lambda q: one(group(block - 1, q, block, part), 1))
+    whole = F.array(one(F.lit(0).cast("long"), -1))
+    return F.explode(F.when(F.col("parts") > 1, F.concat(own, above, below)).otherwise(whole)).alias("g")
+
+
 class NgramJoin:
     """Links all documents whose shingle sets have Jaccard similarity >= num/den.
 
@@ -226,39 +259,50 @@ class NgramJoin:
     Sets are 64-bit hashes of whole shingles, classes 128-bit hashes of whole sets.
     """
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, row_hash=None):
+    def __init__(self, spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, row_hash: Column | None = None):
         self.spark, self.k, self.num, self.den = spark, k, num, den
         self.work = work = Workspace(spark, "ngram-join")
-        self.docs = docs.select("doc_id", "text", (row_hash if row_hash is not None else F.lit(0).cast("long")).alias("row_hash"))
+        self.docs = docs.select(docs["doc_id"], docs["text"], (row_hash if row_hash is not None else F.lit(0).cast("long")).alias("row_hash"))
         order = spark.sparkContext.broadcast(bucket_counts(docs, k))
         own = self.docs.select("doc_id", "row_hash").schema.fields
-        schema = StructType([*own, *StructType.fromDDL("n long, cid binary, prefix array<long>, bits binary").fields])
+        schema = StructType([*own, *StructType.fromDDL("n long, cid binary, prefix array<long>, common array<long>, bits binary").fields])
         signed = work.keep(self.docs.mapInArrow(_signatures(k, num, den, order), schema), "signed")
         self.rows = signed.select("doc_id", "row_hash", "n", "cid")
-        first = signed.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+        first = signed.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("common").alias("common"), F.first("bits").alias("bits"))
         self.classes = work.keep(first.withColumn("node", F.monotonically_increasing_id()), "classes")
         self._link()
 
     def _link(self) -> None:
         work, num, den = self.work, self.num, self.den
         lists = self.classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-        in_list = W.partitionBy("token").orderBy("block", "n", "pos", "node")
         block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
-        lists = lists.withColumn("block", block).withColumn("prev", F.lag(F.struct("node", "n", "pos")).over(in_list)).withColumn("after", F.lead("n").over(in_list))
+        # Lists that are too long for one task: how many parts each of their size blocks has.
+        long = self.classes.select(F.explode("common").alias("token")).groupBy("token").count().filter(F.col("count") > CELL)
+        long = work.keep(long.select("token", F.ceil(F.col("count") / CELL).cast("int").alias("parts")), "long-lists", small=True)
+        lists = join_dimension(lists, long, "token").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", block)
+        part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(0).cast("int")
+        lists = lists.withColumn("part", part).withColumn("cell", F.when(F.col("parts") > 1, F.col("block")).otherwise(0))
+        in_list = W.partitionBy("token", "cell", "part").orderBy("block", "n", "pos", "node")
+        lists = lists.withColumn("prev", F.lag(F.struct("node", "n", "pos")).over(in_list)).withColumn("after", F.lead("n").over(in_list))
         third = F.coalesce(F.lag("n", 2).over(in_list), F.lead("n", 2).over(in_list), F.when(F.col("prev").isNotNull(), F.col("after")))
-        lists = lists.withColumn("third", third.isNotNull())
-        head = F.first(F.struct("node", "n", "pos")).over(W.partitionBy("token", "block").orderBy("n", "pos", "node"))
-        # Sizes ascend in a list: an entry has a partner by size only if its neighbour is one.
+        lists = lists.withColumn("third", third.isNotNull() | (F.col("parts") > 1))
+        head = F.first(F.struct("node", "n", "pos")).over(W.partitionBy("token", "cell", "part", "block").orderBy("n", "pos", "node"))
+        # Sizes ascend in a whole list: an entry has a partner by size only if its neighbour is one.
         before = F.coalesce(den * F.col("prev.n") >= num * F.col("n"), F.lit(False))
         behind = F.coalesce(den * F.col("n") >= num * F.col("after"), F.lit(False))
-        lists = lists.filter(before | behind).withColumn("head", head).drop("after")
+        lists = lists.filter((F.col("parts") > 1) | before | behind).withColumn("head", head).drop("after", "cell")
         lists = work.keep(lists, "lists")
-        # Linear candidates: the head of the size block, and the neighbour in the list.
+        # Linear candidates: the head of the size block, the neighbour in the list, and for the
+        # heads of a long list's parts the least head of their block.
         tries = lists.select("node", "n", "pos", F.explode(F.array("head", "prev")).alias("o")).filter("o is not null and o.node <> node")
+        heads = lists.filter("parts > 1 and head.node = node").select("token", "block", "node", "n", "pos")
+        least = heads.groupBy("token", "block").agg(F.min(F.struct("n", "pos", "node")).alias("m"))
+        o = F.struct(F.col("m.node").alias("node"), F.col("m.n").alias("n"), F.col("m.pos").alias("pos")).alias("o")
+        tries = tries.unionByName(heads.join(least, ["token", "block"]).filter("m.node <> node").select("node", "n", "pos", o))
         need = F.ceil((F.col("n") + F.col("o.n")) * num / (num + den))
         tries = tries.filter((1 + F.least(F.col("n") - F.col("pos") - 1, F.col("o.n") - F.col("o.pos") - 1)) >= need)
         pairs = tries.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
-        pairs = work.keep(self._bounded(pairs), "tries")
+        pairs = work.keep(self._bounded(pairs), "tries", dealt=True)
         tried = self._verify(pairs, "tried")
         self.links = self._true(tried)
         roots = work.keep(connected_components(work, self.links), "roots-1")
@@ -266,7 +310,7 @@ class NgramJoin:
         # then every pair that is still open. The second turn always runs: the first is empty
         # too where the one candidate was tried before and others of its component were not.
         for turn, one in enumerate((True, False)):
-            rest = work.keep(self._rest(lists, roots, tried, one), f"rest-{turn}")
+            rest = work.keep(self._rest(lists, roots, tried, one), f"rest-{turn}", small=True)
             if rest.isEmpty():
                 continue
             more = self._verify(rest, f"verified-{turn}")
@@ -274,6 +318,7 @@ class NgramJoin:
             self.links = self.links.unionByName(self._true(more))
             roots = work.keep(connected_components(work, self.links, f"cc-{turn}"), f"roots-{turn + 2}")
         self.components = roots
+        work.drop("lists", "tries", "rest-0", "rest-1")
 
     def _true(self, pairs: DataFrame) -> DataFrame:
         return pairs.filter(self.den * F.col("common") >= self.num * (F.col("na") + F.col("nb") - F.col("common")))
@@ -288,16 +333,17 @@ class NgramJoin:
     def _verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """Exact overlaps of pairs (a, b, na, nb), from the whole texts of their nodes."""
         work = self.work
-        nodes = work.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.classes.select("node", "cid", "rep"), "node"), f"{name}-nodes")
+        nodes = work.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.classes.select("node", "cid", "rep"), "node"), f"{name}-nodes", small=True)
         reps = nodes.select("rep").distinct().withColumnRenamed("rep", "_rep")
         if reps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
             reps = F.broadcast(reps)
         texts = self.docs.join(reps, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
         sets = texts.mapInArrow(_full_sets(self.k), "cid binary, tokens binary")
-        sets = work.keep(sets.join(nodes.select("cid", "node"), "cid").groupBy("node").agg(F.first("tokens").alias("tokens")), f"{name}-sets")
+        # Both joins read one shuffle of the sets, by node.
+        sets = sets.join(nodes.select("cid", "node"), "cid").groupBy("node").agg(F.first("tokens").alias("tokens"))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
-        out = work.keep(both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_overlaps, "a long, b long, na long, nb long, common long"), name)
-        work.drop(f"{name}-sets", f"{name}-nodes")
+        out = work.keep(both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_overlaps, "a long, b long, na long, nb long, common long"), name, dealt=True)
+        work.drop(f"{name}-nodes")
         return out
 
     def _rest(self, lists: DataFrame, roots: DataFrame, tried: DataFrame, one: bool) -> DataFrame:
@@ -305,16 +351,20 @@ class NgramJoin:
         got = tried.select(F.col("a").alias("x"), F.col("b").alias("y"), "common")
         got = got.union(got.select("y", "x", "common")).withColumnRenamed("common", "shared")
         # In a list of two the one pair was tried.
-        entries = lists.filter("third").select("token", "node", "n", "pos", F.col("head.node").alias("head"))
+        entries = lists.filter("third").select("token", "node", "n", "pos", "block", "part", "parts", F.col("head.node").alias("head"))
         entries = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # Lists whose entries are all of one component are answered already.
-        split = entries.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-        entries = entries.join(split, "token", "left_semi")
+        # Lists whose entries are all of one component are answered already. Those of a long list
+        # meet this by its parts.
+        split = entries.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("parts").alias("parts")).filter("lo <> hi")
+        split = split.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        entries = entries.join(split, ["token", "part"], "left_semi")
         entries = entries.join(got, (F.col("node") == F.col("x")) & (F.col("head") == F.col("y")), "left").drop("x", "y")
         shared = F.when(F.col("node") == F.col("head"), F.col("n")).otherwise(F.coalesce("shared", F.lit(-1)))
         entries = entries.withColumn("shared", shared.cast("long")).join(self.classes.select("node", "bits"), "node")
-        entries = entries.select("token", "node", "n", F.col("pos").cast("long").alias("pos"), "root", "head", "shared", "bits")
-        pairs = entries.repartition("token").sortWithinPartitions("token", "n", "pos", "node").mapInArrow(_residual(self.num, self.den, one), "a long, b long").distinct()
+        entries = entries.select("token", _groups(), "node", "n", F.col("pos").cast("long").alias("pos"), "root", "head", "shared", "bits")
+        entries = entries.select("token", "g.group", "g.side", "node", "n", "pos", "root", "head", "shared", "bits")
+        dealt = entries.repartition("token", "group").sortWithinPartitions("token", "group", "n", "pos", "node")
+        pairs = dealt.mapInArrow(_residual(self.num, self.den, one), "a long, b long").distinct()
         pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         size = self.classes.select("node", "n")
         return pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", "na", "nb")
@@ -322,7 +372,7 @@ class NgramJoin:
     def labelled(self) -> DataFrame:
         """rows with component (its smallest doc_id; the own doc_id where the set is empty)."""
         of = self.classes.select("node", "cid", "rep").join(self.components, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        of = self.work.keep(of.select("cid", "root", "rep"), "class-roots")
+        of = self.work.keep(of.select("cid", "root", "rep"), "class-roots", small=True)
         least = of.groupBy("root").agg(F.min("rep").alias("component"), F.min("root").alias("_r"))
         of = of.join(least.select("root", "component"), "root").select(F.col("cid").alias("_cid"), "root", "component")
         out = self.rows.join(of, F.col("cid") == F.col("_cid"), "left").drop("_cid")
@@ -333,11 +383,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, de
     """docs without near copies: of each component the row of the smallest doc_id stays.
 
     Ties of doc_id are broken by a hash of the whole row; of fully equal rows one stays. Texts
-    without words link with nothing and all stay. Only keys are shuffled; the texts meet the
-    kept keys by a semi join.
+    without words (null, empty) link with nothing and all stay; null ids come last; very long
+    texts count whole; an empty table stays empty. Columns of any name and type pass through.
+    Only keys are shuffled; the texts meet the kept keys by a semi join, each row as one value.
     """
-    whole = F.xxhash64(*[F.col(c) for c in docs.columns])
-    rows = NgramJoin(spark, docs, k, num, den, row_hash=whole)
+    rows = NgramJoin(spark, docs, k, num, den, row_hash=row_hash(docs))
     work = rows.work
     labelled = work.keep(rows.labelled().select("doc_id", "row_hash", "n", "root"), "labelled")
     in_order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_hash"))
@@ -347,11 +397,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, de
     gone = work.keep(labelled.filter("n > 0").join(best, is_best, "left_anti").select(F.col("doc_id").alias("g_id"), F.col("row_hash").alias("g_hash")).distinct(), "gone")
     twice = labelled.filter("n > 0").join(best, is_best, "left_semi").groupBy("doc_id", "row_hash").count().filter("count > 1")
     twice = work.keep(twice.select(F.col("doc_id").alias("t_id"), F.col("row_hash").alias("t_hash")), "twice")
-    keyed = docs.withColumn("_hash", whole)
+    keyed = docs.select(docs["doc_id"].alias("_id"), row_hash(docs).alias("_hash"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     few = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
-    kept = keyed.join(few, keyed["doc_id"].eqNullSafe(few["g_id"]) & (keyed["_hash"] == few["g_hash"]), "left_anti")
+    kept = keyed.join(few, keyed["_id"].eqNullSafe(few["g_id"]) & (keyed["_hash"] == few["g_hash"]), "left_anti")
     if not twice.isEmpty():
-        among = kept["doc_id"].eqNullSafe(twice["t_id"]) & (kept["_hash"] == twice["t_hash"])
-        once = kept.join(twice, among, "left_semi").dropDuplicates(["doc_id", "_hash"])
+        among = kept["_id"].eqNullSafe(twice["t_id"]) & (kept["_hash"] == twice["t_hash"])
+        once = kept.join(twice, among, "left_semi").dropDuplicates(["_id", "_hash"])
         kept = kept.join(twice, among, "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    return kept.select("_row.*")

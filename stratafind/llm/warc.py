@@ -45,7 +45,7 @@ def plan_records(pages: DataFrame, work: Workspace, min_bytes: int = 1000) -> Da
     order = F.struct(F.col("page_id"), F.coalesce("url", F.lit("")).alias("url"))
     copies = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.count("*").alias("n"), F.max(order).alias("best"))
     copies = copies.filter("n > 1").select(F.col("payload_digest").alias("d"), F.col("best.page_id").alias("refers_to"), F.col("best.url").alias("best_url"))
-    copies = work.keep(copies, "copies")
+    copies = work.keep(copies, "copies", small=True)
     few = F.broadcast(copies) if fits_broadcast(copies, "best_url") else copies
     rows = rows.join(few, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") >= min_bytes), "left")
     is_best = F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.coalesce("url", F.lit("")) == F.col("best_url"))
@@ -54,7 +54,7 @@ def plan_records(pages: DataFrame, work: Workspace, min_bytes: int = 1000) -> Da
     rows = rows.withColumn("refers_to", F.when(revisit, F.col("refers_to"))).withColumn("refers_url", F.when(revisit, F.col("best_url")))
     # Fully equal rows at the top of a group: all but one of them revisit.
     top = rows.filter(F.col("d").isNotNull() & (F.col("record_type") == "response"))
-    twice = work.keep(top.groupBy("d").count().filter("count > 1").select(F.col("d").alias("t")), "twice")
+    twice = work.keep(top.groupBy("d").count().filter("count > 1").select(F.col("d").alias("t")), "twice", small=True)
     if not twice.isEmpty():
         equal = top.join(twice, top["d"] == twice["t"], "left_semi")
         one = equal.dropDuplicates(["d"])
