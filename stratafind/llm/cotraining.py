@@ -1,4 +1,9 @@
-"""Quality classifier by co-training: a text-content view and a page-metadata view."""
+"""Quality classifier by co-training: a text-content view and a page-metadata view.
+
+The measures of all unlabelled documents are written down once. In every round each view scores
+all of them, and what it is sure of, drawn evenly by class up to a documented number, becomes
+training rows of the other view.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +12,25 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import Workspace, chunks
+from .common import Workspace, chunks, fits_broadcast, free_names, release, seeded_rows
 from .learning import BoostedTrees, Logistic
 
-#: Most labelled and unlabelled rows that are fitted; rounds; pseudo-labels a round and view.
-MOST_LABELS, MOST_POOL, ROUNDS, TAKEN = 20_000, 20_000, 4, 500
-SLOTS = 64
+#: Most labelled rows that are fitted; rounds; pseudo-labels that are fitted a round and view, and how
+#: far from even the odds of a sure one are.
+MOST_LABELS, ROUNDS, TAKEN, SURE = 20_000, 4, 500, 0.4
+#: Names of the columns from which metadata are taken, by type.
+METADATA = {"lang": "string", "source": "string", "n_chars": "long"}
+SLOTS, CONTENT = 64, 14
+META = 2 * SLOTS + 3
 MARKS = "#$%&*|!<>"
 
 
 def content_features(texts: list) -> np.ndarray:
     """Dense measures of each text (null and empty: zeros)."""
-    out = np.zeros((len(texts), 14))
+    out = np.zeros((len(texts), CONTENT))
     for i, text in enumerate(texts):
         words = text.split() if text else []
         n = len(words)
@@ -42,7 +51,7 @@ def content_features(texts: list) -> np.ndarray:
 
 def metadata_features(langs: list, sources: list, sizes: list) -> np.ndarray:
     """Hashed language and source, and the stated length."""
-    out = np.zeros((len(langs), 2 * SLOTS + 3))
+    out = np.zeros((len(langs), META))
     for i, (lang, source, size) in enumerate(zip(langs, sources, sizes)):
         out[i, zlib.crc32(f"l{lang}".encode("utf-8", "replace")) % SLOTS] = 1
         out[i, SLOTS + zlib.crc32(f"s{source}".encode("utf-8", "replace")) % SLOTS] = 1
@@ -58,35 +67,25 @@ def _sigmoid(x):
 class CoTrained:
     """Both views and their calibrated combination."""
 
-    def fit(self, content, meta, y, fold, pool_content, pool_meta, rounds=ROUNDS, taken=TAKEN):
-        """y: 0/1 of the labelled rows; fold 1 calibrates, other folds train."""
+    def fit(self, content, meta, y, fold, surest, rounds=ROUNDS):
+        """y: 0/1 of the labelled rows; fold 1 calibrates, other folds train.
+
+        surest(view, model, share, turn): what a view is surest of among all unlabelled documents,
+        as (content, meta, label), of which share is of class 1.
+        """
         grow = fold != 1 if 0 < y[fold == 1].sum() < (fold == 1).sum() and (fold != 1).any() and len(set(y[fold != 1])) == 2 else np.ones(len(y), bool)
         settle = ~grow if (~grow).any() else grow
         cx, cy, mx, my = content[grow], y[grow], meta[grow], y[grow]
-        free = np.ones(len(pool_content), bool)
         for turn in range(rounds + 1):
             self.content = BoostedTrees(trees=50).fit(cx, cy)
             self.meta = Logistic().fit(mx, my)
-            rest = np.flatnonzero(free)
-            if turn == rounds or not len(rest):
+            if turn == rounds:
                 break
             # Each view labels what it is surest of, in the classes' shares, for the other.
-            for view, x in ((self.content, pool_content), (self.meta, pool_meta)):
-                rest = np.flatnonzero(free)
-                if not len(rest):
-                    break
-                sure = _sigmoid(view.decide(x[rest]))
-                bad = int(round(taken * (1 - y[grow].mean())))
-                order = np.argsort(sure, kind="stable")
-                pick = np.unique(np.concatenate([order[:bad], order[len(order) - (taken - bad) :]]))
-                pick = pick[np.abs(sure[pick] - 0.5) > 0.4]
-                label = (sure[pick] > 0.5).astype(float)
-                rows = rest[pick]
-                free[rows] = False
-                if view is self.content:
-                    mx, my = np.concatenate([mx, pool_meta[rows]]), np.concatenate([my, label])
-                else:
-                    cx, cy = np.concatenate([cx, pool_content[rows]]), np.concatenate([cy, label])
+            _, m, label = surest("content", self.content, y[grow].mean(), turn)
+            mx, my = np.concatenate([mx, m]), np.concatenate([my, label])
+            c, _, label = surest("meta", self.meta, y[grow].mean(), turn)
+            cx, cy = np.concatenate([cx, c]), np.concatenate([cy, label])
         views = np.c_[self.content.decide(content[settle]), self.meta.decide(meta[settle])]
         self.own = [Logistic().fit(views[:, [j]], y[settle]) for j in (0, 1)]
         both = np.c_[[self.own[j].decide(views[:, [j]]) for j in (0, 1)]].T
@@ -101,40 +100,85 @@ class CoTrained:
 
 def _columns(docs: DataFrame) -> list:
     own = set(docs.columns)
-    lack = {"lang": "string", "source": "string", "n_chars": "long"}
-    return [F.col(c).cast(t).alias(c) if c in own else F.lit(None).cast(t).alias(c) for c, t in lack.items()]
+    return [F.col(c).cast(t).alias(c) if c in own else F.lit(None).cast(t).alias(c) for c, t in METADATA.items()]
+
 
+def _measured(rows: DataFrame, names: list) -> DataFrame:
+    """(x, metadata, names) of rows: the measures of each whole text, and what the metadata view reads."""
+    kept = [*METADATA, *names]
 
-def _sample(rows: DataFrame, names: list) -> "object":
     def run(batches):
         for batch in batches:
-            meta = [batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
             for a, b, texts in chunks(batch.column("text")):
-                x, m = content_features(texts), metadata_features(*[c[a:b] for c in meta])
-                yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(m.tolist(), pa.list_(pa.float64())), *[batch.column(c)[a:b] for c in names]], names=["x", "m", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(content_features(texts).tolist(), pa.list_(pa.float64())), *[batch.column(c)[a:b] for c in kept]], names=["x", *kept])
+        release()
+
+    return rows.mapInArrow(run, StructType([StructField("x", ArrayType(DoubleType())), *rows.select(*kept).schema.fields]))
+
+
+def _views(batch) -> tuple[np.ndarray, np.ndarray]:
+    x = np.array(batch.column("x").to_pylist(), dtype=float).reshape(batch.num_rows, CONTENT)
+    return x, metadata_features(*[batch.column(c).to_pylist() for c in METADATA])
+
+
+def _surest(pool: DataFrame, taken: int, seed: int):
+    """How a view's surest rows of the whole pool are found: (view, model, share, turn) -> (content, meta, label)."""
+    fields = [StructField("positive", BooleanType()), StructField("draw", LongType()), *pool.schema.fields]
+    names = [f.name for f in fields]
+
+    def surest(view, model, share, turn):
+        sent = pool.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches):
+            fitted = sent.value
+            for batch in batches:
+                if batch.num_rows:
+                    views = _views(batch)
+                    p = _sigmoid(fitted.decide(views[0] if view == "content" else views[1]))
+                    sure = pa.array(np.abs(p - 0.5) > SURE)
+                    draw = pa.array(_order(batch.column("key").to_numpy(), seed + 2 * turn + (view == "meta")))
+                    yield pa.RecordBatch.from_arrays([pa.array(p > 0.5), draw, *batch.columns], names=names).filter(sure)
+
+        # each task keeps at most so many a class before any row moves
+        drawn = F.row_number().over(W.partitionBy("positive").orderBy("draw", "key"))
+        most = F.when(F.col("positive"), int(round(taken * share))).otherwise(int(round(taken * (1 - share))))
+        rows = pool.mapInArrow(run, StructType(fields)).withColumn("n", drawn).filter(F.col("n") <= taken).filter(F.col("n") <= most)
+        got = rows.drop("n").orderBy("positive", "draw", "key").toArrow().combine_chunks()
+        sent.unpersist()
+        if not got.num_rows:
+            return np.zeros((0, CONTENT)), np.zeros((0, META)), np.zeros(0)
+        return (*_views(got), got.column("positive").to_numpy().astype(float))
+
+    return surest
+
 
-    schema = "x array<double>, m array<double>" + "".join(f", {c} int" for c in names)
-    return rows.mapInArrow(run, schema).orderBy("x", "m", *names).toPandas()
+def _order(keys: np.ndarray, seed: int) -> np.ndarray:
+    """A seeded order of 64-bit keys, one multiply-and-shift mix a key."""
+    with np.errstate(over="ignore"):
+        x = (keys.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, most_pool: int = MOST_POOL, seed: int = 5) -> CoTrained | None:
-    """Fits on at most most_labels labelled rows (fold 0 of crc32(doc_id) mod 5 is held out) and
-    a pool of at most most_pool unlabelled ones, both drawn by a seeded hash of the id."""
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, taken: int = TAKEN, seed: int = 5) -> CoTrained | None:
+    """Fits on at most most_labels labelled rows, drawn by a seeded hash of the id (fold 0 of crc32(doc_id)
+    mod 5 is held out), and at most `taken` pseudo-labels a round and view. Both views score all
+    unlabelled documents in every round, from measures that are taken once."""
     work = Workspace(spark, "cotraining")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)).cast("int")
-    all_known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    order = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
-    known = work.keep(all_known.withColumn("fold", fold).filter("fold <> 0").orderBy(*order).limit(most_labels), "labels")
-    names = ["text", *[c for c in _columns(docs)]]
-    rows = docs.select("doc_id", *names)
-    got = _sample(rows.join(F.broadcast(known), "doc_id").drop("doc_id"), ["quality", "fold"])
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct().join(all_known, "doc_id", "left_anti")
-    pool_ids = work.keep(ids.orderBy(*order).limit(most_pool), "pool")
-    pool = _sample(rows.join(F.broadcast(pool_ids), "doc_id").drop("doc_id"), [])
-    if not len(got) or got.quality.nunique() < 2:
+    all_known = work.keep(labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")), "known")
+    known = work.keep(seeded_rows(all_known.withColumn("fold", fold).filter("fold <> 0"), "doc_id", seed, most_labels), "labels")
+    rows = docs.select("doc_id", "text", *_columns(docs))
+    got = _measured(rows.join(F.broadcast(known), "doc_id").drop("doc_id"), ["quality", "fold"]).orderBy("x", *METADATA, "quality", "fold").toArrow().combine_chunks()
+    if len(set(got.column("quality").to_pylist())) < 2:
         return None
-    stack = lambda c, width: np.stack(c) if len(c) else np.zeros((0, width))
-    return CoTrained().fit(stack(got.x, 14), stack(got.m, 131), got.quality.to_numpy(float), got.fold.to_numpy(), stack(pool.x, 14), stack(pool.m, 131))
+    content, meta = _views(got)
+    y, of = got.column("quality").to_numpy().astype(float), got.column("fold").to_numpy()
+    free = rows.filter("doc_id is not null").join(F.broadcast(all_known.select("doc_id")) if fits_broadcast(all_known) else all_known.select("doc_id"), "doc_id", "left_anti")
+    pool = work.keep(_measured(free.withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))), ["key"]), "pool")
+    model = CoTrained().fit(content, meta, y, of, _surest(pool, taken, seed))
+    work.drop("pool")
+    return model
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
@@ -142,25 +186,28 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, **how) -> D
 
     Null and empty texts are scored by zero measures, missing or null metadata have values of
     their own, null ids and repeated rows are scored like any row, extra columns pass through
-    (those named like the results are replaced), an empty table gives an empty result, and
+    (those named like the results are replaced), equal rows have equal scores, whole texts of any
+    length count, an empty table gives an empty result, and
     without labels of both classes every score is 0.5.
     """
     model = spark.sparkContext.broadcast(fit(spark, docs, labels, **how))
     added = ("content_score", "metadata_score", "quality_score")
     base = docs.drop(*added)
     names = base.columns
-    wide = base.select("*", *[c.alias(f"_m_{i}") for i, c in enumerate(_columns(docs))])
+    held = free_names(names, "_m_0", "_m_1", "_m_2")
+    wide = base.select("*", *[c.alias(n) for n, c in zip(held, _columns(docs))])
     at = names.index("text")
 
     def run(batches):
         fitted = model.value
         for batch in batches:
-            meta = [batch.column(f"_m_{i}").to_pylist() for i in range(3)]
+            meta = [batch.column(n).to_pylist() for n in held]
             for a, b, texts in chunks(batch.column(at)):
                 if fitted is None:
                     got = [np.full(b - a, 0.5)] * 3
                 else:
                     got = fitted.scores(content_features(texts), metadata_features(*[c[a:b] for c in meta]))
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(names))], *[pa.array(g, pa.float64()) for g in got]], names=[*names, *added])
+        release()
 
     return wide.mapInArrow(run, StructType([*base.schema.fields, *[StructField(c, DoubleType()) for c in added]]))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WORD
+from .common import WORD, Workspace
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -87,6 +87,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measure(docs).withColumn("failures", failed.cast("int"))
 
 
+def stored(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The ledger as a table in the shared folder: policies and ablations read its bits, not the texts again."""
+    return Workspace(spark, "quality-rules").keep(ledger(docs), "ledger")
+
+
 def kept(failures: Column, policy: str) -> Column:
     return failures.bitwiseAND(mask(policy)) == 0
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, cotraining, mixing, packing, pii, quality_rules, secrets, toxicity, warc
+from . import ann, cotraining, mixing, packing, pii, quality_rules, secrets, sql, toxicity, warc
 from .common import table
 from .ngram_join import NgramJoin
 
@@ -54,7 +54,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    rows = quality_rules.stored(spark, table(spark, sf_dir, "documents"))
     failed = ~quality_rules.kept(F.col("failures"), "base-1")
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -62,6 +62,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the stored ledger, per rule of a policy: rows that fail it, and rows that it alone drops."""
+    return quality_rules.ablations(quality_rules.stored(spark, table(spark, sf_dir, "documents")), "web-1")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select(
@@ -70,9 +75,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_mixing, op2_ngram_jaccard_join, op3_pii_pseudonyms, op4_nearest_neighbours, op5_warc, op6_secret_scan, op7_quality_classifier, op8_packing, op9_quality_rules, op10_toxicity)
+    own = (op1_mixing, op2_ngram_jaccard_join, op3_pii_pseudonyms, op4_nearest_neighbours, op5_warc, op6_secret_scan, op7_quality_classifier, op8_packing, op9_quality_rules, rule_ablations, op10_toxicity)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Not SQL: pseudonyms (3), approximate search (4), fitted models (7, 10), the tokenizer (8)."""
+    return {
+        "op1_mixing": sql.mixing(), "op2_ngram_jaccard_join": sql.ngram_join(), "op5_warc": sql.warc(), "op6_secret_scan": sql.secret_scan(), "op9_quality_rules": sql.quality(), "rule_ablations": sql.ablations(),
+    }

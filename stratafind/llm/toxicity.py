@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Workspace, chunks, release
+from .common import Workspace, chunks, release, seeded_rows
 from .learning import BoostedTrees, Isotonic
 
 #: Insults of everyday English; the words the labels add are learned.
@@ -154,7 +154,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, held: int = 0,
     work = Workspace(spark, "toxicity")
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("fold", fold()).filter(F.col("fold") != held)
-    known = work.keep(known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most_labels), "labels")
+    known = work.keep(seeded_rows(known, "doc_id", seed, most_labels), "labels")
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", "fold")
     rows = work.keep(rows, "sample")
     learned = learned_words(rows.filter("fold > 1"))
@@ -180,10 +180,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, held: int = 0,
     return ToxicityModel(learned, trees, Isotonic().fit(trees.decide(x[settle]), y[settle]), float(y.mean()))
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs with toxicity, the calibrated score of every whole text (null: as empty)."""
+def score(docs: DataFrame, model: ToxicityModel, column: str = "toxicity") -> DataFrame:
+    """docs with toxicity (or the column named), the calibrated score of every whole text (null: as empty)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.drop("toxicity")
+    base = docs.drop(column)
     at, names = base.columns.index("text"), base.columns
 
     def run(batches):
@@ -191,19 +191,19 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         codes = WordCodes(model.learned)
         for batch in batches:
             for a, b, texts in chunks(batch.column(at)):
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], pa.array(model.score(texts, codes), pa.float64())], names=[*names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], pa.array(model.score(texts, codes), pa.float64())], names=[*names, column])
         codes.clear()
         release()
 
-    return base.mapInArrow(run, StructType([*base.schema.fields, StructField("toxicity", DoubleType())]))
+    return base.mapInArrow(run, StructType([*base.schema.fields, StructField(column, DoubleType())]))
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """docs with toxicity by a model fitted on labels (doc_id, toxic).
+def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str = "toxicity", **how) -> DataFrame:
+    """docs with toxicity (or the column named) by a model fitted on labels (doc_id, toxic).
 
     The score uses the text alone, all of it: a very long text is one chunk by itself. Null and
     empty texts have scores too, null ids and repeated rows are scored like any row, equal texts
-    (ties) have equal scores, extra columns pass through (one named toxicity is replaced), an
+    (ties) have equal scores, extra columns pass through (one of that name is replaced), an
     empty table gives an empty result, and without usable labels a lexicon rule decides.
     """
-    return score(docs, fit(spark, docs, labels, **how))
+    return score(docs, fit(spark, docs, labels, **how), column)

@@ -90,7 +90,7 @@ def test_mixing(spark, request, name):
     taken, largest = defaultdict(int), defaultdict(int)
     for r in got:
         assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
-        assert r.taken in (0, r["size"], 2 * r["size"])
+        assert r.taken in (0, r["size"], 2 * r["size"]) and r.repeats <= 2
         taken[r.source] += r.taken
         largest[r.source] = max(largest[r.source], 2 * r["size"])
     for s in sizes:
@@ -98,6 +98,37 @@ def test_mixing(spark, request, name):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(spark, frame.repartition(3)).collect()))
 
 
+def test_mixing_copies(spark):
+    """Sources of one row many times over come as near to their target as others; empty texts keep the cap."""
+    rows = [(1, "five words are in here", "a", 7)] * 1000 + [(None, "four words of null", "b", 7)] * 900 + [(i, f"text {i}", "c", 7) for i in range(300)] + [(i, "", "c", 7) for i in range(50)] + [(i, "", "d", 7) for i in range(9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _size int").repartition(5)
+    got = mixing.mix(spark, frame).collect()
+    want, taken = brute_targets({"a": 5000, "b": 3600, "c": 600, "d": 0}), Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert r.repeats <= 2
+    for s, longest in (("a", 5), ("b", 4), ("c", 2), ("d", 0)):
+        assert abs(taken[s] - want[s]) <= longest / 2, (s, taken[s], want[s])
+    out = mixing.repeat_documents(spark, frame)
+    words_of = out.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).filter("source in ('a', 'b')")
+    assert {r.source: r.n for r in words_of.collect()} == {"a": taken["a"], "b": taken["b"]}
+
+
+def test_mixing_refines_its_prefixes(spark, docs, monkeypatch):
+    want = sorted(map(str, mixing.mix(spark, docs).collect()))
+    monkeypatch.setattr(mixing, "FEW", 1)
+    assert sorted(map(str, mixing.mix(spark, docs).collect())) == want
+
+
+def test_repeats_keep_clashing_columns(spark, odd):
+    names = "target part whole cut edge _size repeats _h _bucket source_size more copies _row prefix size col".split()
+    frame = odd.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)], F.create_map(F.lit("a"), F.lit(1)).alias("map"))
+    out = mixing.repeat_documents(spark, frame)
+    assert out.columns == frame.columns and out.count() == mixing.repeat_documents(spark, odd).count()
+    assert all(tuple(r[c] for c in names) == tuple(range(len(names))) for r in out.collect())
+    assert mixing.repeat_documents(spark, frame.limit(0)).count() == 0
+
+
 def test_repeats_keep_columns(spark, docs, odd):
     for frame in (docs, odd):
         out = mixing.repeat_documents(spark, frame)
@@ -167,6 +198,18 @@ def test_ngram_join(spark, sf_dir, odd, k, num):
         assert Counter((r.doc_id, r.n, r.component) for r in got) == brute_components(frame.collect(), k, num, 100)
 
 
+@pytest.mark.parametrize("cell", [1, 8, 40])
+def test_ngram_join_of_long_lists(spark, sf_dir, monkeypatch, cell):
+    """Lists in several cells and size blocks give the same components."""
+    from stratafind.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "CELL", cell)
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(copies(spark))
+    for k, num in ((3, 90), (1, 60)):
+        got = NgramJoin(spark, frame, k, num, 100).labelled().collect()
+        assert Counter((r.doc_id, r.n, r.component) for r in got) == brute_components(frame.collect(), k, num, 100)
+
+
 def test_ngram_join_goes_on_after_an_empty_turn(spark, monkeypatch):
     """3 links to 2 only; the first turn offers it 1, which was tried and is false."""
     from stratafind.llm import ngram_join
@@ -272,11 +315,71 @@ def test_pseudonyms_of_further_layouts():
         assert out != local and out == own.text(f"{local}@mail.example.com").split("@")[0]
 
 
+def invert(own: pii.Pseudonyms, kind: str, value: int, size: int) -> int:
+    """The value whose pseudonym this is: the network's rounds backwards, written from its definition."""
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    width, mask = (half + 7) // 8, (1 << half) - 1
+    tag = hashlib.blake2b(f"{kind}:{size}".encode(), digest_size=8, key=own.key).digest()
+    while True:
+        left, right = value >> half, value & mask
+        for turn in reversed(range(pii.ROUNDS)):
+            drawn = hashlib.blake2b(bytes([turn]) + tag + left.to_bytes(width, "big"), digest_size=min(64, width + 1), key=own.key).digest()
+            left, right = right ^ (int.from_bytes(drawn, "big") & mask), left
+        value = left << half | right
+        if value < size:
+            return value
+
+
+def test_pseudonyms_can_be_inverted_by_the_key():
+    own, rng = pii.Pseudonyms(b"k"), random.Random(9)
+    for size in (2, 1000, 898 * 99 * 9999, 1 << 32, 10**15, 10**18):
+        for value in (0, size - 1, *(rng.randrange(size) for _ in range(20))):
+            assert invert(own, "x", own.permute("x", value, size), size) == value
+    card = own.text("4111 1111 1111 1111").replace(" ", "")
+    assert invert(own, "card16", int(card[:-1]), 10**15) == 411111111111111
+    ip = own.text("10.20.30.40")
+    assert invert(own, "ip", int.from_bytes(bytes(map(int, ip.split("."))), "big"), 1 << 32) == int.from_bytes(bytes((10, 20, 30, 40)), "big")
+    day = datetime.date.fromisoformat(own.text("1985-03-14"))
+    assert pii.FIRST_DAY + datetime.timedelta(days=invert(own, "date", (day - pii.FIRST_DAY).days, pii.DAYS)) == datetime.date(1985, 3, 14)
+    phone = re.sub(r"\D", "", own.text("+49 30 1234 5678"))
+    assert phone[:2] == "49" and invert(own, "phone49:10", int(phone[2:]), 10**10) == 3012345678
+
+
+def test_pseudonyms_link_layouts():
+    own = pii.Pseudonyms(b"k")
+    digits = lambda x: re.sub(r"\D", "", x)
+    forms = ["+1 (017) 555-7713", "+1 017 555 7713", "+1-017-555-7713", "+10175557713", "+1.017.555.7713"]
+    shown = [own.text(f"call {f} now") for f in forms]
+    assert len({digits(x) for x in shown}) == 1 and digits(shown[0]) != "10175557713" and digits(shown[0])[0] == "1"
+    assert [re.sub(r"\d", "0", x) for x in shown] == [re.sub(r"\d", "0", f"call {f} now") for f in forms]
+    local = own.text("call (017) 555-7713 now")
+    assert digits(local) == digits(shown[0])[1:] and re.sub(r"\d", "0", local) == "call (000) 000-0000 now"
+    mails = [own.text(f"{x}@mail.example.com") for x in ("jo.doe", "Jo.Doe", "JO.DOE")]
+    assert len({m.lower() for m in mails}) == 1 and mails[0].islower() and mails[1][0].isupper() and mails[1][1].islower() and mails[2].split("@")[0].isupper()
+    upper, lower = own.text("GB82 WEST 1234 5698 7654 32"), own.text("gb82 west 1234 5698 7654 32")
+    assert upper.lower() == lower != "gb82 west 1234 5698 7654 32" and pii._mod97(upper.replace(" ", "")) == 1
+    for same in ("ab12 some text here more then", "a+5", "+123", "x@y"):
+        assert own.text(same) == same
+    long = "x" * 5000 + ".Y"
+    out = own.text(f"<{long}@mail.example.com>")
+    assert len(out) == len(long) + len("<@mail.example.com>") and long not in out and out == own.text(f"<{long}@mail.example.com>")
+
+
+def test_pseudonym_key(spark):
+    key = pii.pseudonym_key(spark)
+    assert len(key) == 64 and key == pii.pseudonym_key(spark)
+    spark.conf.set("spark.stratafind.pseudonym.key", "mine")
+    try:
+        assert pii.pseudonym_key(spark) == b"mine"
+    finally:
+        spark.conf.unset("spark.stratafind.pseudonym.key")
+
+
 def test_pii_rows(spark, odd, docs):
     for frame in (odd, docs):
         got = pii.pseudonymise(frame)
         assert got.columns[: len(frame.columns)] == frame.columns and got.count() == frame.count()
-        own = pii.Pseudonyms(b"public test key")
+        own = pii.Pseudonyms(pii.pseudonym_key(spark))
         want = Counter((r.doc_id, own.text(r.text) if r.text else r.text) for r in frame.collect())
         assert Counter((r.doc_id, r.text) for r in got.collect()) == want
     clash = pii.pseudonymise(odd.withColumn("n_card", F.lit("x")))
@@ -474,6 +577,25 @@ def test_packing(spark, request, name):
     assert packing.pack(spark, frame.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_ids_are_the_tokenizers(monkeypatch):
+    """Plain and other texts, words of all kinds, with the short cut and, for another file, without it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "KEPT_PARTS", 7)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 5)
+    rng = random.Random(3)
+    pool = ["don't", "we'LL go", "'s", "ab12c3", "x--y", "ÀÉÎ", "Straße", "naïve.", "日本語", "İi", "ΑΣ ", "a\u0301", "½²", "µm", "a\u00a0b", "\x1c", "\x00", "\u0085", "<|endoftext|>", "<|", "e\u2028f", "!!!", "#$%", "UPPER", "0123", "\U0001f600", "\n", "\t"]
+    texts = ["", " ", "a" * 300] + [" ".join(rng.choices(pool, k=rng.randrange(1, 12))) for _ in range(400)] + ["".join(rng.choices(pool, k=4)) for _ in range(400)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        own, model = packing.WordIds(path), Tokenizer.from_file(path)
+        assert own.by_part == (name == "word_bpe_49k.json")
+        for text in texts:
+            ids = model.encode(text, add_special_tokens=False).ids
+            assert own.text(text) == np.array(ids, dtype="<u4").tobytes(), ascii(text)
+
+
 def test_plan_uses_every_piece_once():
     rng = random.Random(2)
     for _ in range(20):
@@ -529,13 +651,34 @@ def test_rule_ablations(spark, docs):
 def test_toxicity(spark):
     base = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
-    got = toxicity.toxicity(spark, docs.select("doc_id", "text"), labels).join(labels, "doc_id").collect()
+    got = toxicity.toxicity(spark, docs.select("doc_id", "text", "lang"), labels).join(labels, "doc_id").collect()
     held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
-    bad = [r for r in held if r.toxic == 1]
     clean = [r for r in held if r.toxic == 0]
-    assert sum(r.toxicity >= 0.5 for r in clean) <= 0.01 * len(clean)
-    lexical = [r for r in bad if re.search("idiot|moron|scum|loser|clown|stupid|worthless|disgusting|pathetic|trash", r.text)]
-    assert sum(r.toxicity >= 0.5 for r in lexical) >= 0.97 * len(lexical)
+    assert sum(r.toxicity >= 0.5 for r in clean) <= 0.02 * len(clean)
+    # all held-out positives count, whatever their words; a few have no sign of their label
+    bad = [r for r in held if r.toxic == 1]
+    assert sum(r.toxicity >= 0.5 for r in bad) >= 0.88 * len(bad)
+    for lang in ("en", "de", "fr", "es"):
+        own = [r for r in bad if r.lang == lang]
+        assert sum(r.toxicity >= 0.5 for r in own) >= 0.6 * len(own), lang
+
+
+def test_toxicity_learns_rare_languages(spark):
+    """Insults of a language in few texts, with marks around them; neighbours of all languages stay clean."""
+    rng, rows = random.Random(5), []
+    plain = {"aa": [f"ka{i}" for i in range(300)], "bb": [f"zo{i}é" for i in range(300)]}
+    insults = {"aa": ["gruk", "vlam"], "bb": ["öxit", "ñapo"]}
+    for i in range(6000):
+        lang = "bb" if i % 10 == 0 else "aa"
+        words, toxic = rng.choices(plain[lang], k=40), int(rng.random() < 0.12)
+        if toxic:
+            for _ in range(3):
+                words[rng.randrange(40)] = rng.choice(["{}", "{}!!", "«{}»", "{}###", "{}."]).format(rng.choice(insults[lang]))
+        rows.append((i, " ".join(words), lang, toxic))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    got = toxicity.toxicity(spark, frame.drop("toxic"), frame.select("doc_id", "toxic")).join(frame.select("doc_id", "toxic"), "doc_id").collect()
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert all((r.toxicity >= 0.5) == (r.toxic == 1) for r in held)
 
 
 def test_toxicity_odd(spark, odd):
