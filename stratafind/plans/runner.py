@@ -47,6 +47,24 @@ def show_status(engine: Engine, out, drift=None) -> bool:
     return all(r["ready"] for r in rows)
 
 
+#: Hits that a scan report shows of its query.
+SHOWN_HITS = 20
+
+
+def show_scan(engine: Engine, out, text: str | None = None) -> int:
+    """The report of one scan: entries by volume and in all, and the first hits of a query; returns the entries."""
+    rows = engine.status().orderBy("mount").collect()
+    for r in rows:
+        print(f"  {r['mount']:<8} {r['entries']:>12} entries", file=out)
+    total = sum(r["entries"] for r in rows)
+    print(f"  {'all':<8} {total:>12} entries", file=out)
+    if text is not None:
+        found = engine.query(text, limit=SHOWN_HITS)
+        print(f"{found.total} match(es) of {text!r}", file=out)
+        outputs.plain_paths(found.hits, out)
+    return total
+
+
 def run(argv: list[str], connect: Callable[[], Engine], out=None, err=None, zone: str | None = None, drift=None) -> int:
     """connect makes the engine; dates are on the clock of zone (None: the session's).
 

@@ -281,6 +281,8 @@ def test_runner(five, tmp_path):
     assert code == 4 and err and file.read_bytes() == b""
     assert run("-export-csv", str(tmp_path / "no" / "o.csv"), "x")[0] == 5 and run("--bogus")[0] == 6 and run("-n", "x")[0] == 4 and run("size:x")[0] == 4
     assert '"total": 1' in run("--json", "ext:xls")[1]
+    report = io.StringIO()
+    assert runner.show_scan(five, report, "ext:xls") == 8 and report.getvalue().endswith("1 match(es) of 'ext:xls'\nC:\\papers\\old\\Budget.XLS\n")
     code, out, _ = run("--status")
     assert code == 0 and out.startswith("status: 1 volume(s)\n  C:") and out.endswith("entries  phase=live\n")
 
