@@ -102,13 +102,19 @@ def seeded_rows(rows: DataFrame, key: str, seed: int, most: int) -> DataFrame:
     return rows.orderBy(drawn, key).limit(most)
 
 
-def fits_broadcast(df: DataFrame, key: str | None = None) -> bool:
-    """Counts df's rows, and the bytes of a text key, against the broadcast bound."""
-    length = F.coalesce(F.sum(F.octet_length(F.col(key))), F.lit(0)) if key else F.lit(0)
-    rows, size = df.agg(F.count("*"), length).first()
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether df's rows, and the bytes of its texts, are within the broadcast bounds."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    size = F.coalesce(F.sum(sum(texts, F.lit(0)).cast("long")), F.lit(0))
+    rows, size = df.agg(F.count("*"), size).first()
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
+def broadcast_small(df: DataFrame) -> DataFrame:
+    """df marked for a broadcast if it fits."""
+    return F.broadcast(df) if fits_broadcast(df) else df
+
+
 def join_dimension(rows: DataFrame, dim: DataFrame, key: str, how: str = "left", salts: int = 64, small: bool | None = None) -> DataFrame:
     """Joins rows to a table with one row per key (nulls match nulls).
 
@@ -116,7 +122,7 @@ def join_dimension(rows: DataFrame, dim: DataFrame, key: str, how: str = "left",
     salt and the rows spread over the salts, so a hot key is shared by many tasks.
     """
     dim = dim.withColumnRenamed(key, "_dim_key")
-    small = fits_broadcast(dim, "_dim_key" if dict(dim.dtypes)["_dim_key"] in ("string", "binary") else None) if small is None else small
+    small = fits_broadcast(dim) if small is None else small
     if small:
         return rows.join(F.broadcast(dim), rows[key].eqNullSafe(dim["_dim_key"]), how).drop("_dim_key")
     left = rows.withColumn("_salt", F.floor(F.rand(17) * salts).cast("int"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import Workspace, chunks, fits_broadcast, free_names, release, seeded_rows
+from .common import Workspace, broadcast_small, chunks, free_names, release, seeded_rows
 from .learning import BoostedTrees, Logistic
 
 #: Most labelled rows that are fitted; rounds; pseudo-labels that are fitted a round and view, and how
@@ -174,7 +174,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_labels: in
         return None
     content, meta = _views(got)
     y, of = got.column("quality").to_numpy().astype(float), got.column("fold").to_numpy()
-    free = rows.filter("doc_id is not null").join(F.broadcast(all_known.select("doc_id")) if fits_broadcast(all_known) else all_known.select("doc_id"), "doc_id", "left_anti")
+    free = rows.filter("doc_id is not null").join(broadcast_small(all_known.select("doc_id")), "doc_id", "left_anti")
     pool = work.keep(_measured(free.withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))), ["key"]), "pool")
     model = CoTrained().fit(content, meta, y, of, _surest(pool, taken, seed))
     work.drop("pool")

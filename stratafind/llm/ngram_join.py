@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
-from .common import BROADCAST_ROWS, Workspace, chunks, join_dimension, row_hash
+from .common import Workspace, broadcast_small, chunks, join_dimension, row_hash
 from .components import connected_components
 from .shingles import bitmap, distance, folded, forget, shingle_sets
 
@@ -334,9 +334,7 @@ class NgramJoin:
         """Exact overlaps of pairs (a, b, na, nb), from the whole texts of their nodes."""
         work = self.work
         nodes = work.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.classes.select("node", "cid", "rep"), "node"), f"{name}-nodes", small=True)
-        reps = nodes.select("rep").distinct().withColumnRenamed("rep", "_rep")
-        if reps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            reps = F.broadcast(reps)
+        reps = broadcast_small(nodes.select("rep").distinct().withColumnRenamed("rep", "_rep"))
         texts = self.docs.join(reps, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
         sets = texts.mapInArrow(_full_sets(self.k), "cid binary, tokens binary")
         # Both joins read one shuffle of the sets, by node.
@@ -398,7 +396,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, de
     twice = labelled.filter("n > 0").join(best, is_best, "left_semi").groupBy("doc_id", "row_hash").count().filter("count > 1")
     twice = work.keep(twice.select(F.col("doc_id").alias("t_id"), F.col("row_hash").alias("t_hash")), "twice")
     keyed = docs.select(docs["doc_id"].alias("_id"), row_hash(docs).alias("_hash"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    few = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
+    few = broadcast_small(gone)
     kept = keyed.join(few, keyed["_id"].eqNullSafe(few["g_id"]) & (keyed["_hash"] == few["g_hash"]), "left_anti")
     if not twice.isEmpty():
         among = kept["_id"].eqNullSafe(twice["t_id"]) & (kept["_hash"] == twice["t_hash"])

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import BROADCAST_ROWS, Workspace
+from .common import Workspace, broadcast_small
 from .trigrams import grams_of, trigram_query
 
 #: Documents of one posting block, about.
@@ -142,7 +142,7 @@ def scan(spark: SparkSession, docs: DataFrame, rules=BASE + MORE) -> DataFrame:
         blocks = max(1, -(-docs.select(F.lit(1)).count() // BLOCK_DOCS))
         index = work.keep(postings(rows, grams, blocks), "postings")
         chosen = work.keep(candidates(index, queries, grams), "candidates").withColumnRenamed("doc_id", "c_id")
-        few = F.broadcast(chosen) if chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else chosen
+        few = broadcast_small(chosen)
         marked = rows.join(few, rows["doc_id"].eqNullSafe(few["c_id"]), "left").drop("c_id").withColumn("rules", F.coalesce("rules", F.lit(0)))
     none = F.array().cast("array<struct<start:int,end:int>>")
     parts = []

@@ -17,7 +17,7 @@ from datetime import datetime, timezone
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Workspace, fits_broadcast
+from .common import Workspace, broadcast_small
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -46,7 +46,7 @@ def plan_records(pages: DataFrame, work: Workspace, min_bytes: int = 1000) -> Da
     copies = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.count("*").alias("n"), F.max(order).alias("best"))
     copies = copies.filter("n > 1").select(F.col("payload_digest").alias("d"), F.col("best.page_id").alias("refers_to"), F.col("best.url").alias("best_url"))
     copies = work.keep(copies, "copies", small=True)
-    few = F.broadcast(copies) if fits_broadcast(copies, "best_url") else copies
+    few = broadcast_small(copies)
     rows = rows.join(few, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") >= min_bytes), "left")
     is_best = F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.coalesce("url", F.lit("")) == F.col("best_url"))
     rows = rows.withColumn("record_type", F.when(F.col("d").isNull() | is_best, "response").otherwise("revisit"))
