@@ -18,6 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows and bytes of a table that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 
+#: Bytes of a table on disk for which a file of the next one is worth its cost, about.
+FILE_BYTES = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables (a file or a folder of part files)."""
@@ -48,6 +51,13 @@ class Workspace:
         files.mkdirs(path)
         files.deleteOnExit(path)
 
+    def fewer(self, df: DataFrame, source: str) -> DataFrame:
+        """df in no more tasks than the kept table source has FILE_BYTES, two a core at least: for steps
+        whose rows are about as many as its own, so that a wide shuffle of a small table writes few files."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{source}")
+        size = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+        return df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
+
     def keep(self, df: DataFrame, name: str, small: bool = False, dealt: bool = False) -> DataFrame:
         """Writes df as Parquet and returns a reader of it, which cuts its lineage.
 

@@ -269,7 +269,7 @@ class NgramJoin:
         signed = work.keep(self.docs.mapInArrow(_signatures(k, num, den, order), schema), "signed")
         self.rows = signed.select("doc_id", "row_hash", "n", "cid")
         first = signed.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("common").alias("common"), F.first("bits").alias("bits"))
-        self.classes = work.keep(first.withColumn("node", F.monotonically_increasing_id()), "classes")
+        self.classes = work.keep(work.fewer(first.withColumn("node", F.monotonically_increasing_id()), "signed"), "classes")
         self._link()
 
     def _link(self) -> None:
@@ -291,7 +291,7 @@ class NgramJoin:
         before = F.coalesce(den * F.col("prev.n") >= num * F.col("n"), F.lit(False))
         behind = F.coalesce(den * F.col("n") >= num * F.col("after"), F.lit(False))
         lists = lists.filter((F.col("parts") > 1) | before | behind).withColumn("head", head).drop("after", "cell")
-        lists = work.keep(lists, "lists")
+        lists = work.keep(work.fewer(lists, "signed"), "lists")
         # Linear candidates: the head of the size block, the neighbour in the list, and for the
         # heads of a long list's parts the least head of their block.
         tries = lists.select("node", "n", "pos", F.explode(F.array("head", "prev")).alias("o")).filter("o is not null and o.node <> node")
@@ -390,11 +390,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, de
     labelled = work.keep(rows.labelled().select("doc_id", "row_hash", "n", "root"), "labelled")
     in_order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_hash"))
     best = labelled.filter("n > 0").groupBy("root").agg(F.min(in_order).alias("m"))
-    best = work.keep(best.select(F.col("m.doc_id").alias("k_id"), F.col("m.row_hash").alias("k_hash")), "kept")
+    best = work.keep(best.select(F.col("m.doc_id").alias("k_id"), F.col("m.row_hash").alias("k_hash")), "kept", small=True)
     is_best = labelled["doc_id"].eqNullSafe(best["k_id"]) & (labelled["row_hash"] == best["k_hash"])
-    gone = work.keep(labelled.filter("n > 0").join(best, is_best, "left_anti").select(F.col("doc_id").alias("g_id"), F.col("row_hash").alias("g_hash")).distinct(), "gone")
+    gone = work.keep(labelled.filter("n > 0").join(best, is_best, "left_anti").select(F.col("doc_id").alias("g_id"), F.col("row_hash").alias("g_hash")).distinct(), "gone", small=True)
     twice = labelled.filter("n > 0").join(best, is_best, "left_semi").groupBy("doc_id", "row_hash").count().filter("count > 1")
-    twice = work.keep(twice.select(F.col("doc_id").alias("t_id"), F.col("row_hash").alias("t_hash")), "twice")
+    twice = work.keep(twice.select(F.col("doc_id").alias("t_id"), F.col("row_hash").alias("t_hash")), "twice", small=True)
     keyed = docs.select(docs["doc_id"].alias("_id"), row_hash(docs).alias("_hash"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     few = broadcast_small(gone)
     kept = keyed.join(few, keyed["_id"].eqNullSafe(few["g_id"]) & (keyed["_hash"] == few["g_hash"]), "left_anti")

@@ -314,8 +314,9 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, window: int
     placed = placed.join(F.broadcast(by_length), "length")
     slot = F.get(F.filter("slots", lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["last"])), F.lit(0))
     placed = placed.withColumn("slot", slot).withColumn("in", F.col("rank") - F.col("slot.first"))
-    return placed.select(
+    placed = placed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.col("slot.sequence0") + F.floor(F.col("in") / F.col("slot.each"))).cast("long").alias("sequence_id"),
         (F.col("slot.offset0") + F.pmod("in", F.col("slot.each")) * F.col("length")).cast("long").alias("offset"),
     )
+    return work.fewer(placed, "pieces")

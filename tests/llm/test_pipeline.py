@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from stratafind.llm import mixing, packing, pii, queries, toxicity
+from stratafind.llm.common import Workspace
 from tests.llm.test_operators import DOCS, brute_components, brute_targets, odd_documents, words
 
 
@@ -89,3 +90,32 @@ def test_repeats_follow_the_mix(spark, sf_dir):
     rows = [r.asDict() for r in docs.collect()]
     want = Counter(r["doc_id"] for r, n in brute_mix(rows) if n)
     assert Counter({i: c for i, c in out.items() if i in want}) == want
+
+
+def test_wide_shuffles_of_small_tables_write_few_files(spark, sf_dir, monkeypatch):
+    """Each file starts a process in an executor, which for a moment counts with the memory of the whole."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    keep, parts = Workspace.keep, {}
+
+    def counted(self, df, name, **how):
+        out = keep(self, df, name, **how)
+        parts[name] = len(out.inputFiles())
+        return out
+
+    want = Counter(map(tuple, corpus_pipeline.drop_near_copies(spark, docs, sf_dir).select("doc_id", "text").collect()))
+    wide = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wide}
+    monkeypatch.setattr(Workspace, "keep", counted)
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        kept = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+        assert Counter(map(tuple, kept.select("doc_id", "text").collect())) == want
+        assert set(parts) >= {"classes", "lists", "kept", "gone", "twice"}
+        assert max(parts.values()) <= 2 * spark.sparkContext.defaultParallelism, parts
+        packed = corpus_pipeline.pack_sequences(spark, docs, sf_dir)
+        assert packed.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        assert packed.filter("start = 0").count() == docs.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
