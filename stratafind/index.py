@@ -14,7 +14,7 @@ from .tables import VersionedTable, work_folder
 
 class Index:
     """A versioned entry table below a shared folder. Every operation publishes a new version;
-    the paths of directories and entries are built once per version, when a search asks for them."""
+    the paths of directories are built once per version, when a search asks for them, those of entries at its second search."""
 
     def __init__(self, spark: SparkSession, root: str, volumes: DataFrame, root_frn: int = ROOT_FRN, buckets: int = 64):
         self.spark, self.volumes, self.root_frn = spark, volumes, root_frn
@@ -55,7 +55,7 @@ class Index:
         if self._engine is None or self._engine[0] != version:
             entries = self.entries
             paths = dir_paths(entries, self.root_frn)
-            self._engine = version, Engine(self.spark, entries, paths, self.volumes, locate(entries, paths, f"{work_folder(self.spark)}/located"))
+            self._engine = version, Engine(self.spark, entries, paths, self.volumes, lambda: locate(entries, paths, f"{work_folder(self.spark)}/located"))
         return self._engine[1]
 
     def query(self, text: str, scope: str | None = None, sort: Sort | None = Sort(), offset: int = 0, limit: int | None = None, match_case: bool = False) -> Result:

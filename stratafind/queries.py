@@ -20,18 +20,19 @@ SQL: dict[str, str] = {}
 _engines: dict[tuple, Engine] = {}
 
 
+def entry_rows(spark: SparkSession, sf_dir: str, lose: int = 0) -> DataFrame:
+    """Entries of both drives, read from their tables each time: no copy is written, so a query scans what it needs only."""
+    rows = adapters.drive_c(spark, sf_dir, lose)
+    return rows if lose else rows.unionByName(adapters.drive_d(spark, sf_dir))
+
+
 def engine(spark: SparkSession, sf_dir: str, lose: int = 0) -> Engine:
-    """Both drives, written once per session: entries by volume, their directory paths, and entries with paths."""
+    """Both drives: entries, their directory paths, and from the second search on entries with paths; the paths are written once per session."""
     key = (spark.sparkContext.applicationId, sf_dir, lose)
     if key not in _engines:
-        rows = adapters.drive_c(spark, sf_dir, lose)
-        if not lose:
-            rows = rows.unionByName(adapters.drive_d(spark, sf_dir))
-        folder = f"{work_folder(spark)}/entries"
-        rows.write.partitionBy("volume").parquet(folder)
-        entries = spark.read.schema(rows.schema).parquet(folder)
+        entries = entry_rows(spark, sf_dir, lose)
         paths = dir_paths(entries, adapters.ROOT)
-        _engines[key] = Engine(spark, entries, paths, adapters.volumes(spark), locate(entries, paths, f"{work_folder(spark)}/located"))
+        _engines[key] = Engine(spark, entries, paths, adapters.volumes(spark), lambda: locate(entries, paths, f"{work_folder(spark)}/located"))
     return _engines[key]
 
 

@@ -27,3 +27,28 @@ def test_query(spark, sf_dir, duck, name):
     order = [d[0] for d in want.description]
     assert sorted(order) == names
     assert rows == Counter(tuple(r[order.index(c)] for c in names) for r in want.fetchall())
+
+
+def test_first_search_writes_no_located_entries(spark, sf_dir, monkeypatch):
+    """One search joins its matches; entries with paths are written once, at the second, with the same rows."""
+    from stratafind import queries
+
+    written = []
+    monkeypatch.setattr(queries, "locate", lambda *a, make=queries.locate: written.append(1) or make(*a))
+    monkeypatch.setattr(queries, "_engines", {})
+    hits = [Counter(map(tuple, QUERIES["kind_file"](spark, sf_dir).collect())) for _ in range(3)]
+    assert len(written) == 1 and len(hits) == 3 and hits[0] and hits[0] == hits[1] == hits[2]
+    monkeypatch.setattr(queries, "_engines", {})
+    QUERIES["kind_file"](spark, sf_dir).collect()
+    assert len(written) == 1
+
+
+def test_leaf_directories_stay_out_of_the_rounds(spark, sf_dir, monkeypatch):
+    """Only directories that hold others go through the rounds."""
+    from stratafind.operators import paths
+    from stratafind.sources import adapters
+
+    rows = {}
+    monkeypatch.setattr(paths, "keep", lambda df, at, make=paths.keep: rows.setdefault(at.rsplit("/", 1)[1], make(df, at)))
+    got = paths.dir_paths(adapters.drive_c(spark, sf_dir), adapters.ROOT)
+    assert rows["r0"].count() == 30 < got.count()
