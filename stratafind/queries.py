@@ -157,12 +157,12 @@ def status_by_volume(spark, sf_dir):
 
 @query(TREE + "SELECT volume, count(*) AS entries, count(DISTINCT name) AS names FROM e GROUP BY volume")
 def name_dup_ratio(spark, sf_dir):
-    return engine(spark, sf_dir).entries.groupBy("volume").agg(F.count("*").alias("entries"), F.countDistinct("name").alias("names"))
+    return entry_rows(spark, sf_dir).groupBy("volume").agg(F.count("*").alias("entries"), F.countDistinct("name").alias("names"))
 
 
 @query(TREE + "SELECT name, count(*) AS entries FROM e GROUP BY name HAVING count(*) > 1")
 def shared_names(spark, sf_dir):
-    return engine(spark, sf_dir).entries.groupBy("name").agg(F.count("*").alias("entries")).filter("entries > 1")
+    return entry_rows(spark, sf_dir).groupBy("name").agg(F.count("*").alias("entries")).filter("entries > 1")
 
 
 _LOST = _tree("WHERE c_custkey % 50 <> 0", d=False)

@@ -63,3 +63,10 @@ def test_orphans_send_no_directories_to_the_driver(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(paths, "PLANNED_IDS", 0)
     lost = paths.orphans(adapters.drive_c(spark, sf_dir, 50), known)
     assert lost.count() > 0 and "BroadcastHashJoin" not in lost._jdf.queryExecution().executedPlan().toString()
+
+
+def test_name_counts_build_no_paths(spark, sf_dir, monkeypatch):
+    from stratafind import queries
+
+    monkeypatch.setattr(queries, "engine", None)
+    assert {r.volume for r in QUERIES["name_dup_ratio"](spark, sf_dir).collect()} == {"C", "D"}
