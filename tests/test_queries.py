@@ -70,3 +70,15 @@ def test_name_counts_build_no_paths(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(queries, "engine", None)
     assert {r.volume for r in QUERIES["name_dup_ratio"](spark, sf_dir).collect()} == {"C", "D"}
+
+
+def test_paths_send_no_directories_to_the_driver(spark, sf_dir, monkeypatch):
+    """Every join of the directory paths is hinted once its table is beyond the limit."""
+    from stratafind.operators import paths
+    from stratafind.sources import adapters
+
+    sides = []
+    monkeypatch.setattr(paths, "unsent", lambda df, ids, make=paths.unsent: sides.append(make(df, ids)) or sides[-1])
+    monkeypatch.setattr(paths, "PLANNED_IDS", 0)
+    assert paths.dir_paths(adapters.drive_c(spark, sf_dir), adapters.ROOT).filter("status = 'Ok'").count() > 30
+    assert len(sides) > 3 and all("strategy=merge" in x._jdf.queryExecution().analyzed().toString() for x in sides)
