@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.text import extension, fold_ascii, frn_parts, with_folded
 from ..schema import DIRECTORY, ENTRY_COLUMNS
 from ..tables import keep, work_folder
-from .paths import ROOT_FRN
+from .paths import ROOT_FRN, unsent
 
 # Reason bits.
 REASON = {
@@ -44,19 +44,34 @@ def record_ops(journal: DataFrame) -> DataFrame:
     return journal.select("*", F.posexplode(F.filter(ops, lambda x: x.isNotNull())).alias("sub", "op"))
 
 
-def record_events(journal: DataFrame, root_frn: int = ROOT_FRN) -> DataFrame:
-    """Ensure(parent) and Claim of every Upsert, Kill of every Delete, each on its record number."""
+def _events(journal: DataFrame, root_frn: int) -> DataFrame:
+    """record_events with its repeats, in one pass over the journal."""
     raw = journal if "name_raw" in journal.columns else journal.withColumn("name_raw", F.lit(None).cast("binary"))
-    ops = record_ops(raw)
-    claim = ops.filter("op = 'Upsert'")
     null = {c: F.lit(None).cast(t).alias(c) for c, t in (("parent", "bigint"), ("name", "string"), ("name_raw", "binary"), ("is_dir", "boolean"))}
-    events = (
-        claim.select("volume", "usn", F.lit(0).alias("step"), F.col("parent_frn").alias("frn"), F.lit("Ensure").alias("kind"), *null.values())
-        .unionByName(claim.select("volume", "usn", F.lit(1).alias("step"), "frn", F.lit("Claim").alias("kind"), F.col("parent_frn").alias("parent"), "name", "name_raw", (F.col("attributes").bitwiseAND(F.lit(DIRECTORY)) != 0).alias("is_dir")))
-        .unionByName(ops.filter("op = 'Delete'").select("volume", "usn", F.lit(1).alias("step"), "frn", F.lit("Kill").alias("kind"), *null.values()))
-        .dropDuplicates(["volume", "usn", "step", "frn", "kind"])
+    event = lambda step, frn, kind, *of: F.struct(F.lit(step).alias("step"), F.col(frn).alias("frn"), F.lit(kind).alias("kind"), *of)
+    upsert = ~has("delete") & has("create", "rename_new")
+    claim = event(1, "frn", "Claim", F.col("parent_frn").alias("parent"), F.col("name").alias("name"), F.col("name_raw").alias("name_raw"), (F.col("attributes").bitwiseAND(F.lit(DIRECTORY)) != 0).alias("is_dir"))
+    of_record = F.array(F.when(upsert, event(0, "parent_frn", "Ensure", *null.values())), F.when(upsert, claim), F.when(has("delete"), event(1, "frn", "Kill", *null.values())))
+    wanted = lambda x: x.isNotNull() & x["frn"].isNotNull() & (x["frn"] != root_frn)
+    events = raw.select("volume", "usn", F.explode(F.filter(of_record, wanted)).alias("e")).select("volume", "usn", "e.*")
+    return events.withColumn("record_no", frn_parts(F.col("frn"))[0])
+
+
+def record_events(journal: DataFrame, root_frn: int = ROOT_FRN) -> DataFrame:
+    """Ensure(parent) and Claim of every Upsert, Kill of every Delete, each on its record number."""
+    return _events(journal, root_frn).dropDuplicates(["volume", "usn", "step", "frn", "kind"])
+
+
+def references(journal: DataFrame, root_frn: int = ROOT_FRN) -> DataFrame:
+    """(volume, record_no, frn, seen, killed, claim) of every reference that a journal acts on.
+
+    All aggregates combine map-side, so a hot record costs one row per task; repeats change none of them."""
+    at = F.struct("usn", "step")
+    return _events(journal, root_frn).groupBy("volume", "record_no", "frn").agg(
+        F.max(F.when(F.col("kind") != "Kill", at)).alias("seen"),
+        F.max(F.when(F.col("kind") == "Kill", at)).alias("killed"),
+        F.max(F.when(F.col("kind") == "Claim", F.struct("usn", "step", "parent", "name", "name_raw", "is_dir"))).alias("claim"),
     )
-    return events.filter(F.col("frn").isNotNull() & (F.col("frn") != root_frn)).withColumn("record_no", frn_parts(F.col("frn"))[0])
 
 
 def latest_state(journal: DataFrame, root_frn: int = ROOT_FRN) -> tuple[DataFrame, DataFrame]:
@@ -68,31 +83,27 @@ def latest_state(journal: DataFrame, root_frn: int = ROOT_FRN) -> tuple[DataFram
     the last claim since it last vanished (none: a placeholder directory). Repeats are harmless:
     the last event decides.
     """
-    events = record_events(journal, root_frn)
-    at = F.struct("usn", "step")
-    # Per reference: all aggregates combine map-side, so a hot record costs one row per task.
-    per_frn = events.groupBy("volume", "record_no", "frn").agg(
-        F.max(F.when(F.col("kind") != "Kill", at)).alias("seen"),
-        F.max(F.when(F.col("kind") == "Kill", at)).alias("killed"),
-        F.max(F.when(F.col("kind") == "Claim", F.struct("usn", "step", "parent", "name", "name_raw", "is_dir"))).alias("claim"),
-    )
+    return _final(references(journal, root_frn)), drift(record_events(journal, root_frn), record_ops(journal))
+
+
+def _final(per_frn: DataFrame, rows: int = 0) -> DataFrame:
+    """Who holds each record number at the end of a journal with these references."""
     tenant = per_frn.filter("seen is not null").groupBy("volume", "record_no").agg(F.max(F.struct("seen", "frn", "killed", "claim")).alias("t"))
     alive = tenant.filter(F.col("t.killed").isNull() | (F.col("t.seen") > F.col("t.killed")))
     # A claim counts only since the reference last vanished, by a Delete or by another tenant.
     others = per_frn.filter("seen is not null").select(F.col("volume").alias("v"), F.col("record_no").alias("r"), F.col("frn").alias("f"), F.col("seen").alias("other"))
     lost = (
-        alive.join(others, (F.col("volume") == F.col("v")) & (F.col("record_no") == F.col("r")) & (F.col("t.frn") != F.col("f")), "left")
+        alive.join(unsent(others, rows), (F.col("volume") == F.col("v")) & (F.col("record_no") == F.col("r")) & (F.col("t.frn") != F.col("f")), "left")
         .groupBy("volume", "record_no").agg(F.first("t").alias("t"), F.max("other").alias("other"))
     )
     since = F.greatest(F.coalesce("t.killed", F.col("other")), F.coalesce("other", F.col("t.killed")))
     claim_at = F.struct(F.col("t.claim.usn").alias("usn"), F.col("t.claim.step").alias("step"))
     valid = F.col("t.claim").isNotNull() & (since.isNull() | (claim_at > since))
-    final = lost.select(
+    return lost.select(
         "volume", "record_no", F.col("t.frn").alias("frn"), F.col("t.seen.usn").alias("usn"),
         F.when(valid, F.col("t.claim.parent")).alias("parent_frn"), F.when(valid, F.col("t.claim.name")).alias("name"), F.when(valid, F.col("t.claim.name_raw")).alias("name_raw"),
         F.when(valid, F.col("t.claim.is_dir")).otherwise(F.lit(True)).alias("is_dir"), (~valid).alias("is_placeholder"),
     )
-    return final, drift(events, record_ops(journal))
 
 
 def drift(events: DataFrame, ops: DataFrame) -> DataFrame:
@@ -153,11 +164,6 @@ def snapshot(records: DataFrame) -> DataFrame:
     return completed(last.select("volume", "r.frn", "r.parent_frn", "r.name", "r.name_raw", is_dir.alias("is_dir"), F.lit(False).alias("is_placeholder"), null.alias("size"), null.alias("mtime_ft")))
 
 
-def touched_records(journal: DataFrame, root_frn: int = ROOT_FRN) -> DataFrame:
-    """(volume, record_no) of all record numbers that a batch acts on."""
-    return record_events(journal, root_frn).select("volume", "record_no").distinct()
-
-
 def apply_journal(entries: DataFrame, journal: DataFrame, root_frn: int = ROOT_FRN) -> DataFrame:
     """The entry table after a batch of change records, applied as one.
 
@@ -168,21 +174,27 @@ def apply_journal(entries: DataFrame, journal: DataFrame, root_frn: int = ROOT_F
     are, raw names included; rows of untouched record numbers take no part in any join but the
     one that tells them apart. What is derived is computed for new and renamed rows only.
     """
-    final, _ = latest_state(journal, root_frn)
-    events = record_events(journal, root_frn)
-    seen = events.filter("kind <> 'Kill'").groupBy(F.col("volume").alias("sv"), F.col("record_no").alias("sr")).agg(F.min("frn").alias("low"), F.max("frn").alias("high"))
-    kills = events.filter("kind = 'Kill'").select(F.col("volume").alias("kv"), F.col("frn").alias("kf")).distinct()
-    touched = touched_records(journal, root_frn).select(F.col("volume").alias("tv"), F.col("record_no").alias("tr"))
+    folder = work_folder(entries.sparkSession)
+    return apply_references(entries, keep(references(journal, root_frn), f"{folder}/references"))
+
+
+def apply_references(entries: DataFrame, refs: DataFrame) -> DataFrame:
+    """apply_journal with the references of its batch, which are best written down: they are read many times."""
+    rows = refs.count()
+    final = keep(_final(refs, rows), f"{work_folder(entries.sparkSession)}/final")
+    seen = refs.filter("seen is not null").groupBy(F.col("volume").alias("sv"), F.col("record_no").alias("sr")).agg(F.min("frn").alias("low"), F.max("frn").alias("high"))
+    kills = refs.filter("killed is not null").select(F.col("volume").alias("kv"), F.col("frn").alias("kf"))
+    touched = unsent(refs.select(F.col("volume").alias("tv"), F.col("record_no").alias("tr")).distinct(), rows)
     of_batch = (F.col("volume") == F.col("tv")) & (F.col("record_no") == F.col("tr"))
     rest = entries.join(touched, of_batch, "left_anti")
     mine = entries.join(touched, of_batch, "left_semi")
     # Gone are references that were deleted and those whose record another one took, even for a while.
-    left = mine.join(kills, (F.col("volume") == F.col("kv")) & (F.col("frn") == F.col("kf")), "left_anti")
-    left = left.join(seen, (F.col("volume") == F.col("sv")) & (F.col("record_no") == F.col("sr")), "left")
+    left = mine.join(unsent(kills, rows), (F.col("volume") == F.col("kv")) & (F.col("frn") == F.col("kf")), "left_anti")
+    left = left.join(unsent(seen, rows), (F.col("volume") == F.col("sv")) & (F.col("record_no") == F.col("sr")), "left")
     left = left.filter(F.col("low").isNull() | ((F.col("low") == F.col("frn")) & (F.col("high") == F.col("frn")))).select(*ENTRY_COLUMNS)
     new = final.select(F.col("volume").alias("v"), F.col("frn").alias("f"), F.struct("parent_frn", "name", "name_raw", "is_dir", "is_placeholder").alias("new"))
     links = mine.groupBy(F.col("volume").alias("lv"), F.col("frn").alias("lf")).agg(F.count("*").alias("links"))
-    both = left.join(new, (F.col("volume") == F.col("v")) & (F.col("frn") == F.col("f")), "left").join(links, (F.col("volume") == F.col("lv")) & (F.col("frn") == F.col("lf")), "left")
+    both = left.join(unsent(new, rows), (F.col("volume") == F.col("v")) & (F.col("frn") == F.col("f")), "left").join(links, (F.col("volume") == F.col("lv")) & (F.col("frn") == F.col("lf")), "left")
     changes = [~F.col(c).eqNullSafe(F.col(f"new.{c}")) for c in ("parent_frn", "name", "name_raw", "is_dir", "is_placeholder")]
     renamed = F.col("f").isNotNull() & ~F.col("new.is_placeholder") & (F.coalesce("links", F.lit(1)) == 1)
     renamed = F.coalesce(renamed & (changes[0] | changes[1] | changes[2] | changes[3] | changes[4]), F.lit(False))

@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.changes import MASK, apply_journal, touched_records
+from ..operators.changes import MASK, apply_references, references
 from ..operators.paths import ROOT_FRN
 from ..schema import COMPLETE, ENTRIES, JOURNAL
-from ..tables import VersionedTable
+from ..tables import VersionedTable, keep, work_folder
 
 # Supervision policy in seconds and counts; below, the names of outcomes, actions and phases.
 BEAT_STALL, BUSY_STALL, MAX_REVIVES, HEALTHY_AFTER, BEAT_FRESH = 300, 30 * 60, 3, 10 * 60, 60
@@ -36,14 +36,12 @@ def merge_batch(table: VersionedTable, root_frn: int = ROOT_FRN):
         state = table.state()
         if batch_id <= state["batch"]:
             return
-        batch = batch.persist()
-        try:
-            last = batch.agg(F.max("usn")).first()[0]
-            only = sorted(r[0] for r in touched_records(batch, root_frn).select(table.bucket()).distinct().collect())
-            cursor = last if last is not None else state["cursor"] or 0
-            table.publish(apply_journal(table.read(ENTRIES, only), batch, root_frn), batch_id, cursor, only)
-        finally:
-            batch.unpersist()
+        # the position first: what a source gets meanwhile is applied again, never left out
+        last = batch.agg(F.max("usn")).first()[0]
+        refs = keep(references(batch, root_frn), f"{work_folder(table.spark)}/references")
+        only = sorted(r[0] for r in refs.select(table.bucket()).distinct().collect())
+        cursor = last if last is not None else state["cursor"] or 0
+        table.publish(apply_references(table.read(ENTRIES, only), refs), batch_id, cursor, only)
 
     return write
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from stratafind.queries import QUERIES, SQL
 
@@ -82,3 +83,15 @@ def test_paths_send_no_directories_to_the_driver(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(paths, "PLANNED_IDS", 0)
     assert paths.dir_paths(adapters.drive_c(spark, sf_dir), adapters.ROOT).filter("status = 'Ok'").count() > 30
     assert len(sides) > 3 and all("strategy=merge" in x._jdf.queryExecution().analyzed().toString() for x in sides)
+
+
+def test_a_batch_reads_its_journal_once(spark, sf_dir, monkeypatch):
+    """One pass for the references and one for the position, not one for every join."""
+    from stratafind import queries
+
+    read, seen = spark.sparkContext.accumulator(0), F.udf(lambda x: read.add(1) or x, "bigint").asNondeterministic()
+    make = queries.adapters.journal
+    monkeypatch.setattr(queries.adapters, "journal", lambda *a: make(*a).withColumn("reason", seen("reason")))
+    assert QUERIES["compaction_keeps_rows"](spark, sf_dir).count() > 0
+    rows = make(spark, sf_dir).count()
+    assert rows <= read.value <= 2 * rows
